@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywatch.plans import pipeline  # noqa: F401
+from tallywatch.plans import evaluation, operations, pipeline  # noqa: F401
 from tallywatch.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
