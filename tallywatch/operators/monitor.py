@@ -23,10 +23,11 @@ def minute_of(ts: str = "ts") -> Column:
     return F.date_trunc("minute", F.col(ts))
 
 
-def per_minute(df: DataFrame, series: Sequence[str], ts: str = "ts", value: str | None = None) -> DataFrame:
-    """Increase per series and minute: the sum of ``value``, or the row count."""
+def per_minute(df: DataFrame, series: Sequence[str], ts: str = "ts", value: str | None = None,
+               grain: str = "minute") -> DataFrame:
+    """Increase per series and minute (or a coarser grain): the sum of ``value``, or the row count."""
     amount = F.count("*") if value is None else F.sum(value)
-    return df.groupBy(*series, minute_of(ts).alias("minute")).agg(amount.alias("n"))
+    return df.groupBy(*series, F.date_trunc(grain, F.col(ts)).alias("minute")).agg(amount.alias("n"))
 
 
 def sliding(minutes: DataFrame, series: Sequence[str], length: int, value: str = "n") -> DataFrame:

@@ -245,8 +245,7 @@ def updated_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CTE_SAMPLES = """samples AS (SELECT event_id, ts, date_trunc('minute', ts) AS minute, event_type AS component,
   CASE WHEN value < 3 THEN 'failure' ELSE 'success' END AS status, value AS duration FROM events), slid AS (
-SELECT *, minute - k * INTERVAL 1 MINUTE AS s5 FROM samples, range(5) r(k)), slid10 AS (
-SELECT *, minute - k * INTERVAL 1 MINUTE AS s10 FROM samples, range(10) r(k))"""
+SELECT *, minute - k * INTERVAL 1 MINUTE AS s5 FROM samples, range(5) r(k))"""
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,29 +302,30 @@ def histogram_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT unnest(generate_series((SELECT min(minute) FROM samples), (SELECT max(minute) FROM samples), INTERVAL 1 MINUTE)) AS m),
 c AS (SELECT m, count(event_id) AS n FROM spine LEFT JOIN samples ON minute = m GROUP BY m)
 SELECT epoch(m)::BIGINT AS minute FROM c
-QUALIFY sum(n) OVER w = 0 AND count(*) OVER w = 10 WINDOW w AS (ORDER BY m ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+WINDOW w AS (ORDER BY m ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) QUALIFY sum(n) OVER w = 0 AND count(*) OVER w = 10""")
 def silent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _epoch(monitor.silent_minutes(samples(spark, sf_dir)), "minute")
 
 
 @query("firing_spans", f"""WITH {CTE_SAMPLES}, a AS (
-SELECT DISTINCT component, minute FROM samples WHERE duration < 20), g AS (
-SELECT *, minute - row_number() OVER (PARTITION BY component ORDER BY minute) * INTERVAL 1 MINUTE AS island FROM a)
-SELECT component, epoch(min(minute))::BIGINT AS active_since, epoch(min(minute))::BIGINT + 120 AS firing_from,
-  epoch(max(minute))::BIGINT AS active_until FROM g GROUP BY component, island
-HAVING epoch(max(minute)) >= epoch(min(minute)) + 120""")
+SELECT DISTINCT component, date_trunc('hour', ts) AS h FROM samples WHERE status = 'failure'), g AS (
+SELECT *, h - row_number() OVER (PARTITION BY component ORDER BY h) * INTERVAL 1 HOUR AS island FROM a)
+SELECT component, epoch(min(h))::BIGINT AS active_since, epoch(min(h))::BIGINT + 7200 AS firing_from,
+  epoch(max(h))::BIGINT AS active_until FROM g GROUP BY component, island
+HAVING epoch(max(h)) >= epoch(min(h)) + 7200""")
 def firing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = monitor.per_minute(samples(spark, sf_dir).where("duration < 20"), ["component"]).withColumn(
-        "active", F.col("n") > 0)
-    out = monitor.firing_spans(states, ["component"], "active", hold=2)
+    failed = samples(spark, sf_dir).where("status = 'failure'")
+    states = monitor.per_minute(failed, ["component"], grain="hour").withColumn("active", F.col("n") > 0)
+    out = monitor.firing_spans(states, ["component"], "active", hold=120, every=60)
     return _epoch(out, "active_since", "firing_from", "active_until")
 
 
-@query("repeated_failures", f"""WITH {CTE_SAMPLES}
-SELECT component, epoch(s10)::BIGINT AS window_start, count(*) AS n FROM slid10 WHERE status = 'failure'
-GROUP BY component, s10 HAVING count(*) >= 3""")
+@query("repeated_failures", f"""WITH {CTE_SAMPLES}, slid60 AS (
+SELECT *, minute - k * INTERVAL 1 MINUTE AS s60 FROM samples, range(60) r(k) WHERE status = 'failure')
+SELECT component, epoch(s60)::BIGINT AS window_start, count(*) AS n FROM slid60 GROUP BY component, s60
+HAVING count(*) >= 3""")
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = monitor.repeated_failures(samples(spark, sf_dir), F.col("status") == "failure", ["component"])
+    out = monitor.repeated_failures(samples(spark, sf_dir), F.col("status") == "failure", ["component"], length=60)
     return _epoch(out.drop("window_end"), "window_start")
 
 
@@ -347,16 +347,16 @@ def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("counter_increase", f"""WITH {CTE_SAMPLES}, m AS (
 SELECT component, minute, count(*) AS n FROM samples GROUP BY 1, 2), c AS (
-SELECT component, epoch(minute)::BIGINT AS at,
+SELECT component, epoch(minute)::BIGINT AS seen_at,
   (sum(n) OVER (PARTITION BY component, date_trunc('day', minute) ORDER BY minute))::BIGINT AS total FROM m), p AS (
-SELECT *, lag(total) OVER (PARTITION BY component ORDER BY at) AS before FROM c)
-SELECT component, at, total, (CASE WHEN before IS NULL THEN NULL WHEN total < before THEN total ELSE total - before END)::DOUBLE
+SELECT *, lag(total) OVER (PARTITION BY component ORDER BY seen_at) AS earlier FROM c)
+SELECT component, seen_at, total, (CASE WHEN earlier IS NULL THEN NULL WHEN total < earlier THEN total ELSE total - earlier END)::DOUBLE
   AS increase FROM p""")
 def increase(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     minutes = monitor.per_minute(samples(spark, sf_dir), ["component"])
     day = Window.partitionBy("component", F.date_trunc("day", "minute")).orderBy("minute")
-    counter = minutes.select("component", F.unix_timestamp("minute").alias("at"), F.sum("n").over(day).alias("total"))
-    out = monitor.counter_increase(counter, ["component"], "total", "at", F.floor(F.col("at") / 21600))
+    counter = minutes.select("component", F.unix_timestamp("minute").alias("seen_at"), F.sum("n").over(day).alias("total"))
+    out = monitor.counter_increase(counter, ["component"], "total", "seen_at", F.floor(F.col("seen_at") / 21600))
     return out.withColumn("increase", F.col("increase").cast("double"))
