@@ -44,22 +44,23 @@ def rows_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int]) ->
     return {rank: prefix for rank, (prefix, _) in found.items()}
 
 
-def chronological_split(
+def chronological_label(
     df: DataFrame, order: Sequence[str] = ("step", "amount", "event_id"),
     shares: Sequence[float] = (0.6, 0.2, 0.2), names: Sequence[str] = ("train", "validation", "test"),
-) -> DataFrame:
-    """Label rows by position in a total order: the first 60 %, the next 20 %, the rest.
+) -> Column:
+    """The split of a row by its position in a total order: first 60 %, next 20 %, rest.
 
-    The two cut rows are found by selection; labelling is then a plain
-    projection, so no row is shuffled or globally sorted.
+    The cut rows are found by selection over the order columns of ``df``. The
+    result is a plain expression over those columns, so it can label any frame
+    built from the same rows, and labelling shuffles nothing.
     """
     total = df.count()
     ends, used = [], 0.0
     for share in shares[:-1]:
         used += share
-        ends.append(int(round(used, 9) * total))
-    inner = [end for end in ends if 0 < end < total]
-    cuts = rows_at_ranks(df, order, sorted(set(inner))) if inner else {}
+        ends.append(math.floor(round(used, 9) * total))
+    inner = sorted({end for end in ends if 0 < end < total})
+    cuts = rows_at_ranks(df, order, inner) if inner else {}
     kinds = {f.name: f.dataType for f in df.schema.fields}
     here = F.struct(*[F.col(c) for c in order])
 
@@ -70,12 +71,17 @@ def chronological_split(
             return F.lit(True)
         return here < F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(order, cuts[end])])
 
-    label = F.lit(None).cast("string")
-    branch = F
+    label = F
     for end, name in zip(ends, names):
-        branch = branch.when(before(end), F.lit(name))
-    label = branch.otherwise(F.lit(names[-1])) if ends else F.lit(names[-1])
-    return df.withColumn("split", label)
+        label = label.when(before(end), F.lit(name))
+    return label.otherwise(F.lit(names[-1]))
+
+
+def chronological_split(
+    df: DataFrame, order: Sequence[str] = ("step", "amount", "event_id"),
+    shares: Sequence[float] = (0.6, 0.2, 0.2), names: Sequence[str] = ("train", "validation", "test"),
+) -> DataFrame:
+    return df.withColumn("split", chronological_label(df, order, shares, names))
 
 
 def stratified_split(

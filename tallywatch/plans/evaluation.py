@@ -57,9 +57,8 @@ SELECT split, count(*) AS total_rows, count(*) FILTER (isFraud = 1) AS fraud_row
   {', '.join(f"count(*) FILTER (risk_level = 'L{i}' AND isFraud = 1) AS fraud_in_L{i}" for i in range(1, 6))}
 FROM t GROUP BY split""")
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = splits.chronological_split(inputs.valid_transactions(spark, sf_dir)).select("event_id", "split")
-    tiered = assign_tiers(inputs.scored(spark, sf_dir)).select("event_id", "risk_level", "isFraud")
-    return evaluate.population_report(tiered.join(split, "event_id"))
+    split = splits.chronological_label(inputs.valid_transactions(spark, sf_dir))
+    return evaluate.population_report(assign_tiers(inputs.scored(spark, sf_dir)).withColumn("split", split))
 
 
 @query("confusion_metrics", f"""WITH {CTE_JUDGED}, c AS (

@@ -14,10 +14,10 @@ LEDGER_COLUMNS = ["transaction_id", "batch_id", "type", "amount", "nameOrig", "n
                   "investigation_status"]
 
 
-def decision_messages(df: DataFrame) -> DataFrame:
+def decision_messages(df: DataFrame, *keep: str) -> DataFrame:
     """Key and JSON value per decision; null fields are left out of the JSON."""
     fields = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in DECISION_PAYLOAD]
-    return df.select(F.col("transaction_id").cast("string").alias("key"), F.to_json(F.struct(*fields)).alias("value"))
+    return df.select(F.col("transaction_id").cast("string").alias("key"), F.to_json(F.struct(*fields)).alias("value"), *keep)
 
 
 def publish(messages: DataFrame, topic: str, servers: str | None = None, folder: str | None = None) -> None:

@@ -34,9 +34,7 @@ def route_batch(decide: Callable[[DataFrame], DataFrame], folder: str) -> Callab
         write_batch(bad, f"{folder}/rejects", batch_id)
         decided = routed(decide(good)).persist()
         try:
-            messages = decision_messages(decided).join(
-                decided.select(F.col("transaction_id").alias("key"), "route"), "key")
-            write_batch(messages, f"{folder}/messages", batch_id, "route")
+            write_batch(decision_messages(decided, "route"), f"{folder}/messages", batch_id, "route")
             write_batch(decision_counts(decided), f"{folder}/counters", batch_id)
         finally:
             decided.unpersist()
