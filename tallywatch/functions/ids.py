@@ -14,14 +14,10 @@ def uuid5_url(name: Column) -> Column:
     """Version-5 UUID of a name in the URL namespace, as lower-case text."""
     digest = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE_HEX)), F.encode(name, "UTF-8")))
     variant = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)
-    return F.lower(F.concat_ws(
-        "-",
-        F.substring(digest, 1, 8),
-        F.substring(digest, 9, 4),
-        F.concat(F.lit("5"), F.substring(digest, 14, 3)),
-        F.concat(F.hex(variant.cast("long")), F.substring(digest, 18, 3)),
-        F.substring(digest, 21, 12),
-    ))
+    dash = F.lit("-")
+    return F.lower(F.concat(
+        F.substring(digest, 1, 8), dash, F.substring(digest, 9, 4), dash, F.lit("5"), F.substring(digest, 14, 3), dash,
+        F.hex(variant.cast("long")), F.substring(digest, 18, 3), dash, F.substring(digest, 21, 12)))
 
 
 def _present(value: Column) -> Column:

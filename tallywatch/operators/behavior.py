@@ -25,38 +25,53 @@ LOOK_BACK = 24
 _EARLIER = (Window.unboundedPreceding, -1)
 
 
-def _destination_spans(rows: DataFrame) -> DataFrame:
-    """One row per (account, destination, step) that opens or ends a span of use."""
-    uses = rows.groupBy("_key", "_dest", "_step").agg(F.min("_order").alias("_first"))
-    along = Window.partitionBy("_key", "_dest").orderBy("_step")
-    return uses.select(
-        "_key", "_step", "_first",
-        F.coalesce(F.col("_step") - F.lag("_step").over(along) > LOOK_BACK, F.lit(True)).alias("_opens"),
-        F.coalesce(F.lead("_step").over(along) - F.col("_step") > LOOK_BACK, F.lit(True)).alias("_ends"),
-    )
-
-
-def _cells(rows: DataFrame, spans: DataFrame, width: int) -> DataFrame:
-    """Totals per cell plus destination openings and closings, then look-back windows."""
-    zero, none = F.lit(0).cast("long"), F.lit(0.0)
-    activity = rows.select(
-        "_key", "_step", "_block", F.lit(1).cast("long").alias("n"), F.col("_amount").alias("amount"),
-        F.col("_cashout").alias("cashouts"), F.col("_transfer").alias("transfers"),
-        zero.alias("opened"), zero.alias("closed"))
-    opened = spans.where("_opens").select(
-        "_key", "_step", block_of("_first", width).alias("_block"), zero.alias("n"), none.alias("amount"),
-        zero.alias("cashouts"), zero.alias("transfers"), F.lit(1).cast("long").alias("opened"), zero.alias("closed"))
-    # A span ends before the first block of the step that leaves the window.
-    closed = spans.where("_ends").select(
-        "_key", (F.col("_step") + LOOK_BACK + 1).alias("_step"), F.lit(None).cast("long").alias("_block"),
-        zero.alias("n"), none.alias("amount"), zero.alias("cashouts"), zero.alias("transfers"),
-        zero.alias("opened"), F.lit(1).cast("long").alias("closed"))
-    totals = activity.unionByName(opened).unionByName(closed).groupBy("_key", "_step", "_block").agg(
+def _uses(rows: DataFrame) -> DataFrame:
+    """Totals per (account, destination, cell), with the openings and endings of use."""
+    uses = rows.groupBy("_key", "_dest", "_step", "_block").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_amount").alias("amount"),
+        F.sum("_cashout").alias("cashouts"), F.sum("_transfer").alias("transfers"), F.min("_order").alias("_first"))
+    along = Window.partitionBy("_key", "_dest").orderBy("_step", "_block")
+    return uses.withColumns({
+        "_opens": F.coalesce(F.col("_step") - F.lag("_step").over(along) > LOOK_BACK, F.lit(True)),
+        "_ends": F.coalesce(F.lead("_step").over(along) - F.col("_step") > LOOK_BACK, F.lit(True)),
+    })
+
+
+def _markers(uses: DataFrame) -> DataFrame:
+    """One marker per opening, at the order of the row that opens.
+
+    The condition on the totals is always true. It keeps the columns of this
+    branch equal to those under the cells, so Spark shuffles ``uses`` once.
+    """
+    always = (F.col("n") > 0) & (F.col("cashouts") + F.col("transfers") <= F.col("n")) & (
+        F.col("amount").isNull() | (F.col("n") > 0))
+    return uses.where(F.col("_opens") & always).select(
+        "_key", "_step", "_block", F.col("_first").alias("_order"), F.lit(1).alias("_marker"))
+
+
+def _cells(uses: DataFrame) -> DataFrame:
+    """Look-back totals as they stand at the start of each cell."""
+    zero = F.lit(0).cast("long")
+
+    def entry(step: Column, block: Column, opened: Column, closed: Column, used: bool) -> Column:
+        return F.struct(
+            step.alias("step"), block.alias("block"), (F.col("n") if used else zero).alias("n"),
+            (F.col("amount") if used else F.lit(0.0)).alias("amount"),
+            (F.col("cashouts") if used else zero).alias("cashouts"),
+            (F.col("transfers") if used else zero).alias("transfers"), opened.alias("opened"), closed.alias("closed"))
+
+    here = entry(F.col("_step"), F.col("_block"), F.col("_opens").cast("long"), zero, True)
+    # A use that ends closes before the first block of the step that leaves the window.
+    leaves = entry(F.col("_step") + LOOK_BACK + 1, F.lit(None).cast("long"), zero, F.lit(1).cast("long"), False)
+    entries = F.when(F.col("_ends"), F.array(here, leaves)).otherwise(F.array(here))
+    totals = uses.select("_key", F.inline(entries)).groupBy(
+        "_key", F.col("step").alias("_step"), F.col("block").alias("_block")).agg(
         *[F.sum(c).alias(c) for c in ("n", "amount", "cashouts", "transfers", "opened", "closed")])
 
     account = Window.partitionBy("_key")
-    same_step = Window.partitionBy("_key", "_step").orderBy(F.col("_block").asc_nulls_first()).rowsBetween(*_EARLIER)
-    path = account.orderBy("_step", F.col("_block").asc_nulls_first())
+    by_block = F.col("_block").asc_nulls_first()
+    same_step = Window.partitionBy("_key", "_step").orderBy(by_block).rowsBetween(*_EARLIER)
+    path = account.orderBy("_step", by_block)
 
     def back(column: str, steps: int) -> Column:
         older = F.sum(column).over(account.orderBy("_step").rangeBetween(-steps, -1))
@@ -102,14 +117,11 @@ def behavioral_features(
         "_block": block_of(order, width), "_dest": F.col(destination), "_amount": F.col(amount).cast("double"),
         "_cashout": (F.col(kind) == "CASH_OUT").cast("long"), "_transfer": (F.col(kind) == "TRANSFER").cast("long"),
     })
-    spans = _destination_spans(rows)
-    cells = _cells(rows, spans, width)
+    uses = _uses(rows)
+    cells = _cells(uses)
     # A marker sits just before the row that opens a destination, so one sort
     # of the cell yields both the flag and the running count of openings.
-    markers = spans.where("_opens").select(
-        "_key", "_step", F.col("_first").alias("_order"), block_of("_first", width).alias("_block"),
-        F.lit(1).alias("_marker"))
-    placed = rows.withColumn("_marker", F.lit(0)).unionByName(markers, allowMissingColumns=True)
+    placed = rows.withColumn("_marker", F.lit(0)).unionByName(_markers(uses), allowMissingColumns=True)
     inside = Window.partitionBy("_key", "_step", "_block").orderBy("_order", F.col("_marker").desc())
     before = inside.rowsBetween(*_EARLIER)
     is_row = F.col("_marker") == 0

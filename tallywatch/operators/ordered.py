@@ -111,7 +111,7 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], groups:
 
 def block_of(order: str, width: int) -> Column:
     """Block number of a unique integer order: at most ``width`` rows share one."""
-    return F.floor(F.col(order).cast("long") / F.lit(width)).cast("long")
+    return F.expr(f"CAST(`{order}` AS BIGINT) DIV {int(width)}")
 
 
 def position_in_group(

@@ -23,6 +23,17 @@ def local_session(app: str = "tallywatch", cores: str | int = 8, memory: str = "
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return tune(spark)
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the operators count on.
+
+    Times are UTC. Generated methods above 8000 bytecodes are never compiled by
+    HotSpot, so wide projections are faster outside whole-stage code generation.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
