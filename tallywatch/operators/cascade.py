@@ -57,16 +57,23 @@ def train_second_stage(
         "_features", F.col(label).cast("double").alias("_label"),
         F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(1.0).alias("_weight"))
     best, best_key, table = None, None, []
-    for index, config in enumerate(configs):
-        model = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", seed=seed, **config).fit(ready)
-        stage = SecondStage(model, list(features), 0.5, dict(config))
-        sweep = threshold_sweep(stage.apply(valid), PROBABILITY, label, grid)
-        rows = [row.asDict() | {"config_index": index} for row in sweep.orderBy("ordinal").collect()]
-        table += rows
-        for row in rows:
-            rank = (row["recall"], row["f1"], -row["fp"], -row["fn"])
-            if best_key is None or rank > best_key:
-                best_key, stage.threshold, best = rank, row["threshold"], stage
+    # Every setting reads the same vectors; lost blocks are recomputed from lineage.
+    ready, held_out = ready.persist(), valid.select(*features, label).persist()
+    try:
+        for index, config in enumerate(configs):
+            model = GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", seed=seed,
+                                  **config).fit(ready)
+            stage = SecondStage(model, list(features), 0.5, dict(config))
+            sweep = threshold_sweep(stage.apply(held_out), PROBABILITY, label, grid)
+            rows = [row.asDict() | {"config_index": index} for row in sweep.orderBy("ordinal").collect()]
+            table += rows
+            for row in rows:
+                rank = (row["recall"], row["f1"], -row["fp"], -row["fn"])
+                if best_key is None or rank > best_key:
+                    best_key, stage.threshold, best = rank, row["threshold"], stage
+    finally:
+        ready.unpersist()
+        held_out.unpersist()
     return best, table
 
 

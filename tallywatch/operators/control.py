@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallywatch.functions.ids import alert_id
 from tallywatch.operators.evaluate import ratio
-from tallywatch.operators.ordered import position_in_group
+from tallywatch.operators.ordered import leading_rows, position_in_group
 from tallywatch.schema import RISK_TIERS
 
 # Statuses.
@@ -81,7 +81,7 @@ def recent(df: DataFrame, order: str | Sequence[str], limit: int) -> DataFrame:
 
 def bounded_log(log: DataFrame, order: str = "event_id", keep: int = ACTIVITY_KEPT) -> DataFrame:
     """The newest rows of an activity log; older ones are dropped by design."""
-    return recent(log, order, keep)
+    return leading_rows(log, order, keep, descending=True)
 
 
 DECISION_FIELDS = ["risk_level", "anomaly_score", "xgboost_probability", "xgboost_prediction", "final_prediction"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch.functions.ids import content_id
 from tallywatch.functions.text import as_decimal, decimal_difference, present
+from tallywatch.operators.ordered import leading_rows
 
 # Field titles, phrases and sizes of the corpus.
 FIELD_TITLES = {
@@ -92,8 +93,10 @@ def sampled_normal_rows(df: DataFrame, k: int = MAX_NORMAL_CASES, ordinal: str =
     """The k normal rows with the smallest hash: the same rows in any input order."""
     if k <= 0:
         return df.limit(0)
-    return (df.where(~is_fraud_row()).withColumn("_digest", sample_digest(F.col(ordinal)))
-            .orderBy("_digest").limit(k).drop("_digest"))
+    hashed = df.where(~is_fraud_row()).withColumn("_digest", sample_digest(F.col(ordinal)))
+    # The first 13 hex digits fit a double exactly and grow with the digest.
+    position = F.conv(F.substring("_digest", 1, 13), 16, 10).cast("long")
+    return leading_rows(hashed, "_digest", k, position=position).drop("_digest")
 
 
 def fraud_rows(df: DataFrame) -> DataFrame:
@@ -134,7 +137,9 @@ def account_profiles(df: DataFrame, ordinal: str = "source_row_id") -> DataFrame
 
 def profile_documents(df: DataFrame, limit: int = MAX_ACCOUNT_PROFILES, ordinal: str = "source_row_id") -> DataFrame:
     """Profile texts of the first accounts by name."""
-    chosen = account_profiles(df, ordinal).orderBy("account").limit(limit)
+    # The first six bytes as a number grow with the name in byte order.
+    prefix = F.rpad(F.hex(F.substring(F.encode("account", "UTF-8"), 1, 6)), 12, "0")
+    chosen = leading_rows(account_profiles(df, ordinal), "account", limit, position=F.conv(prefix, 16, 10).cast("long"))
     types = F.array_join(F.transform("types", lambda t: F.concat(
         F.lit('"'), t["type"], F.lit('": '), t["n"].cast("string"))), ", ")
     amount = F.round("total_amount", 2).cast("decimal(38,2)").cast("string")

@@ -46,7 +46,13 @@ def account_evidence(alerts: DataFrame, transactions: DataFrame, alert_table: Da
                           RECENT_ALERTS, alert_fields, "_near")
     results = latest_per_key(investigations, "alert_id", [F.col("generated_at").desc(), F.col("investigation_id")],
                              RECENT_INVESTIGATIONS, investigation_fields, "_results")
-    joined = alerts.join(tx, "name_orig", "left").join(near, "name_orig", "left")
+    # Results of the listed alerts are gathered once per account, not once per alert of it.
+    about = near.select("name_orig", F.explode("_near.alert_id").alias("alert_id")).join(results, "alert_id")
+    told = about.groupBy("name_orig").agg(F.flatten(F.collect_list("_results")).alias("_told"))
+    lists = tx.unionByName(near, allowMissingColumns=True).unionByName(told, allowMissingColumns=True)
+    names = ["recent_transactions", "_near", "_told"]
+    account = lists.groupBy("name_orig").agg(*[F.any_value(c, ignoreNulls=F.lit(True)).alias(c) for c in names])
+    joined = alerts.join(account, "name_orig", "left").join(results, "alert_id", "left")
     mine = F.filter("_near", lambda r: (r["alert_id"] == F.col("alert_id")) | (
         r["transaction_id"] == F.col("transaction_id")))
     current = F.when(F.size(mine) > 0, mine[0]["alert_id"]).otherwise(F.col("alert_id"))
@@ -54,20 +60,16 @@ def account_evidence(alerts: DataFrame, transactions: DataFrame, alert_table: Da
         "recent_transactions": F.coalesce("recent_transactions", F.array()),
         "recent_alerts": F.coalesce(F.filter("_near", lambda r: r["alert_id"] != F.col("_current")), F.array()),
     })
-    # Investigations hang on the current alert and the listed ones: at most eleven ids per alert.
-    ids = found.select("alert_id", F.explode(F.array_union(
-        F.array("_current"), F.col("recent_alerts.alert_id"))).alias("_about"))
-    wanted = ids.join(results.withColumnRenamed("alert_id", "_about"), "_about").groupBy("alert_id").agg(
-        F.flatten(F.collect_list("_results")).alias("_results"))
+    wanted = F.array_union(F.array("_current"), F.col("recent_alerts.alert_id"))
+    shared = F.filter(F.coalesce("_told", F.array()), lambda r: F.array_contains(wanted, r["alert_id"]))
+    own = F.when(F.col("_current") == F.col("alert_id"), F.col("_results"))
     newest_first = F.slice(F.array_sort(
-        F.array_distinct("_results"),
+        F.array_distinct(F.concat(shared, F.coalesce(own, F.array()))),
         lambda a, b: F.when(a["generated_at"] > b["generated_at"], -1).when(a["generated_at"] < b["generated_at"], 1)
         .when(a["investigation_id"] < b["investigation_id"], -1).when(a["investigation_id"] > b["investigation_id"], 1)
         .otherwise(0)), 1, RECENT_INVESTIGATIONS)
-    history = wanted.select("alert_id", newest_first.alias("previous_investigations"))
-    out = found.drop("_near", "_current").join(history, "alert_id", "left")
-    return out.withColumns({
-        "previous_investigations": F.coalesce("previous_investigations", F.array()),
+    found = found.withColumn("previous_investigations", newest_first).drop("_told", "_results")
+    return found.drop("_near", "_current").withColumns({
         "retrieval_note": F.when(present(F.col("name_orig")).isNull(),
                                  "origin account missing; account history skipped"),
     })

@@ -76,37 +76,156 @@ def value_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataF
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def ranked_values(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+def ranked_values(df: DataFrame, value: str, groups: Sequence[str] = (), bounds: Sequence[float] | None = None) -> DataFrame:
     """Distinct values with their count and the ranks they span."""
     return running(value_counts(df, value, groups), value, {"n": "n"}, groups,
-                   bounds=value_bounds(df, value))
+                   bounds=value_bounds(df, value) if bounds is None else bounds)
 
 
-def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str] = ()) -> DataFrame:
-    """Linear-interpolated exact quantiles per group: one row per group and share.
+SMALL_GROUP = 200_000
+_ACCURACY = 10_000
+_MAX_GROUPS = 10_000
 
-    Equal values collapse before the sort, and the sort is split into blocks,
-    so no group is ever buffered whole.
+
+def _rank_brackets(df: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str]):
+    """Per group: its size and, per share, a short grid of values around the rank.
+
+    The sketch is off by at most 1/accuracy of the ranks; the grid reaches three
+    times as far, so the wanted rank lies between its ends.
     """
-    groups = list(groups)
-    ranked = ranked_values(df, value, groups)
-    targets = F.array(*[F.lit(float(share)) for share in shares])
-    first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
-    position = F.col("share") * (F.col("n_total") - 1)
-    low, high = F.floor(position), F.ceil(position)
-    # A value matters only if it holds one of the two neighbouring ranks.
-    wanted = F.filter(targets, lambda share: (
-        (first <= F.ceil(share * (F.col("n_total") - 1))) & (last >= F.floor(share * (F.col("n_total") - 1)))))
-    hits = ranked.withColumn("share", F.explode(wanted))
-    column = F.col(value).cast("double")
-    picked = hits.groupBy(*groups, "share").agg(
-        F.max(F.when((first <= low) & (low <= last), column)).alias("_low"),
-        F.max(F.when((first <= high) & (high <= last), column)).alias("_high"),
-        F.max(position - low).alias("_weight"),
-        F.max("n_total").alias("n"),
-    )
-    return picked.select(
-        *groups, "share", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_weight")).alias("quantile"), "n")
+    offsets = [k / (2 * _ACCURACY) for k in (-6, -4, -2, 0, 2, 4, 6)]
+    grid = sorted({min(1.0, max(0.0, share + o)) for share in shares for o in offsets})
+    rows = (df.where(F.col(value).isNotNull()).groupBy(*groups)
+            .agg(F.count("*").alias("n"), F.percentile_approx(F.col(value).cast("double"), grid, _ACCURACY).alias("grid"))
+            .limit(_MAX_GROUPS + 1).collect())
+    return grid, offsets, rows
+
+
+def _near_ranks(df: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str], grid, offsets, rows) -> DataFrame:
+    """Ranked distinct values near each share only: (groups, target, value, n, n_before).
+
+    Rows below a bracket collapse into one count per task before the shuffle, so
+    only the few values inside the brackets are shuffled and sorted.
+    """
+    spark = df.sparkSession
+    table, cuts = [], set()
+    for row in rows:
+        if row["n"] == 0:
+            continue
+        at = dict(zip(grid, row["grid"]))
+        ends = []
+        for share in shares:
+            low, high = share + offsets[0], share + offsets[-1]
+            ends.append((None if low <= 0 else float(at[low]), None if high >= 1 else float(at[high])))
+        table.append((*[row[g] for g in groups], ends, int(row["n"])))
+        cuts |= {float(v) for v in row["grid"]}
+    kinds = ", ".join([f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups]
+                      + ["_ends array<struct<low:double,high:double>>", "n_total long"])
+    brackets = F.broadcast(spark.createDataFrame(table, kinds))  # at most _MAX_GROUPS rows
+    column = F.col(value)
+    matched = df.where(column.isNotNull()).select(*groups, value)
+    joined = matched.join(brackets, list(groups))
+    placed = F.transform("_ends", lambda e, i: F.when(e["low"].isNotNull() & (column < e["low"]), F.struct(
+        i.alias("target"), F.lit(None).cast(df.schema[value].dataType).alias(value))).when(
+        e["high"].isNull() | (column <= e["high"]), F.struct(i.alias("target"), column.alias(value))))
+    entries = joined.select(*groups, "n_total", F.inline(F.array_compact(placed)))
+    counts = entries.groupBy(*groups, "n_total", "target", value).agg(F.count("*").alias("n"))
+    below = counts.where(column.isNull()).select(*groups, "target", F.col("n").alias("_below"))
+    inside = running(counts.where(column.isNotNull()), value, {"n": "n"}, [*groups, "n_total", "target"],
+                     bounds=sorted(cuts)).drop("n_total")
+    ranked = inside.join(below, [*groups, "target"], "left").join(brackets.drop("_ends"), list(groups))
+    return ranked.withColumn("n_before", F.col("n_before") + F.coalesce("_below", F.lit(0))).drop("_below")
+
+
+def order_statistics(
+    df: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str] = (), interpolate: bool = True,
+    small: int = SMALL_GROUP,
+) -> list[dict]:
+    """Exact values at shares of the rank order, per group, as driver rows.
+
+    With ``interpolate`` the position is ``share * (n - 1)`` and neighbours are
+    blended; without, it is ``floor(share * n)`` and the value there is returned.
+    The result holds one row per group and share, never data rows.
+    """
+    if not groups:
+        found = order_statistics(df.withColumn("_all", F.lit(0)), value, shares, ["_all"], interpolate, small)
+        return [{k: v for k, v in row.items() if k != "_all"} for row in found]
+    groups, shares = list(groups), [float(s) for s in shares]
+    grid, offsets, rows = _rank_brackets(df, value, shares, groups)
+    if not rows or all(row["n"] == 0 for row in rows):
+        return []
+    wide = len(rows) > _MAX_GROUPS
+    if wide or max(row["n"] for row in rows) <= small:
+        return _statistics(ranked_values(df, value, groups, bounds=None if wide else []), value, shares, groups, interpolate)
+    found = _statistics(_near_ranks(df, value, shares, groups, grid, offsets, rows), value, shares, groups, interpolate)
+    if len(found) == len(shares) * sum(row["n"] > 0 for row in rows):
+        return found
+    return _statistics(ranked_values(df, value, groups), value, shares, groups, interpolate)
+
+
+def _statistics(ranked: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str], interpolate: bool) -> list[dict]:
+    first, last, total = F.col("n_before"), F.col("n_before") + F.col("n") - 1, F.col("n_total")
+    places = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(s).alias("share")) for i, s in enumerate(shares)])
+
+    def ends(share: Column) -> tuple[Column, Column]:
+        if interpolate:
+            return F.floor(share * (total - 1)), F.ceil(share * (total - 1))
+        rank = F.least(F.floor(share * total), total - 1)
+        return rank, rank
+
+    def holds(place: Column) -> Column:
+        low, high = ends(place["share"])
+        here = (first <= high) & (last >= low)
+        return here & (F.col("target") == place["place"]) if "target" in ranked.columns else here
+
+    hits = ranked.withColumn("_p", F.explode(F.filter(places, holds)))
+    share = F.col("_p.share")
+    low, high = ends(share)
+    column = F.col(value)
+    picked = hits.groupBy(*groups, F.col("_p.place").alias("place"), share.alias("share")).agg(
+        F.max(F.when((first <= low) & (low <= last), column)).alias("low"),
+        F.max(F.when((first <= high) & (high <= last), column)).alias("high"),
+        F.max(share * (total - 1) - F.floor(share * (total - 1))).alias("weight"), F.max("n_total").alias("n"))
+    out = []
+    for row in picked.collect():
+        if row["low"] is None or row["high"] is None:
+            continue
+        exact = row["low"] if not interpolate else float(row["low"]) + (float(row["high"]) - float(row["low"])) * row["weight"]
+        out.append({g: row[g] for g in groups} | {"share": row["share"], "quantile": exact, "n": row["n"]})
+    return out
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str] = (),
+                    small: int = SMALL_GROUP) -> DataFrame:
+    """Linear-interpolated exact quantiles: one row per group and share."""
+    found = order_statistics(df, value, shares, groups, small=small)
+    schema = ", ".join([f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups] + ["share double, quantile double, n long"])
+    return df.sparkSession.createDataFrame(
+        [(*[row[g] for g in groups], row["share"], float(row["quantile"]), row["n"]) for row in found], schema)
+
+
+def leading_rows(df: DataFrame, column: str, k: int, descending: bool = False, position: Column | None = None,
+                 direct: int = 1000) -> DataFrame:
+    """The k first rows along a column without gathering k rows per task.
+
+    A small k is a plain top-k. For a larger one the k-th value is found by
+    selection and the rows are filtered by it; ``position`` is a numeric column
+    that grows with ``column`` (needed for text). Rows that tie with the k-th
+    value are ordered and cut among themselves.
+    """
+    order = F.col(column).desc() if descending else F.col(column).asc()
+    if k <= direct:
+        return df.orderBy(order).limit(k)
+    if df.count() <= k:
+        return df
+    place = (F.col(column) if position is None else position).cast("double")
+    placed = df.withColumn("_place", -place if descending else place)
+    counts = placed.groupBy("_place").agg(F.count("*").alias("n"))
+    ranked = running(counts, "_place", {"n": "n"}, bounds=value_bounds(placed, "_place"))
+    edge = ranked.where((F.col("n_before") < k) & (F.col("n_before") + F.col("n") >= k)).select("_place", "n_before").first()
+    inside = placed.where(F.col("_place") < edge["_place"])
+    ties = placed.where(F.col("_place") == edge["_place"]).orderBy(order).limit(k - edge["n_before"])
+    return inside.unionByName(ties).drop("_place")
 
 
 def block_of(order: str, width: int) -> Column:

@@ -64,8 +64,8 @@ def nearest_neighbors(
     batch means more passes, not a bigger broadcast.
     """
     spark = vectors.sparkSession
-    total = queries.count()
-    slices = max(1, math.ceil(total / batch))
+    first = queries.select("query_id", "vector").limit(batch + 1).collect()
+    slices = 1 if len(first) <= batch else math.ceil(queries.count() / (0.9 * batch))
     id_type = queries.schema["query_id"].dataType
     fields = [T.StructField("query_id", id_type), T.StructField("document_id", vectors.schema["document_id"].dataType),
               T.StructField("distance", T.DoubleType())]
@@ -73,10 +73,9 @@ def nearest_neighbors(
         fields.append(vectors.schema[per])
     columns = ["document_id", "vector", *([per] if per else [])]
     passes = []
-    # Finer hash slices are grouped until a batch is full, so none exceeds it by much.
     sliced = queries.withColumn("_slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)))
     for number in range(slices):
-        rows = sliced.where(F.col("_slice") == number).select("query_id", "vector").collect()
+        rows = first if slices == 1 else sliced.where(F.col("_slice") == number).select("query_id", "vector").collect()
         if not rows:
             continue
         ids = spark.sparkContext.broadcast(np.array([row["query_id"] for row in rows]))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch.functions.ids import hash_order
-from tallywatch.operators.ordered import ranked_values
+from tallywatch.operators.ordered import leading_rows, order_statistics, ranked_values
 
 
 def rows_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int]) -> dict[int, tuple]:
@@ -94,28 +94,26 @@ def stratified_split(
     a comparison with it labels the row.
     """
     hashed = df.withColumn("_hash", hash_order(F.col(key), seed))
-    ranked = ranked_values(hashed, "_hash", [label])
-    cut_columns, used = [], 0.0
-    for i, share in enumerate(shares[:-1]):
+    ends, used = [], 0.0
+    for share in shares[:-1]:
         used += share
-        rank = F.floor(F.lit(round(used, 9)) * F.col("n_total"))
-        cut_columns.append(F.min(F.when(F.col("n_before") >= rank, F.col("_hash"))).alias(f"_cut{i}"))
-    cuts = ranked.groupBy(label).agg(*cut_columns)
-    joined = hashed.join(cuts, label)
+        ends.append(round(used, 9))
+    # One value per class and cut: the classes are few, so the cuts become literals.
+    cuts = order_statistics(hashed, "_hash", ends, [label], interpolate=False)
     split = F
-    for i, name in enumerate(names[:-1]):
-        split = split.when(F.col(f"_cut{i}").isNull() | (F.col("_hash") < F.col(f"_cut{i}")), F.lit(name))
-    return joined.withColumn("split", split.otherwise(F.lit(names[-1]))).select(*df.columns, "split")
+    for end, name in zip(ends, names):
+        below = F.lit(False)
+        for row in cuts:
+            if row["share"] == end:
+                below = below | (F.col(label).eqNullSafe(F.lit(row[label])) & (F.col("_hash") < F.lit(row["quantile"])))
+        split = split.when(below, F.lit(name))
+    return hashed.withColumn("split", split.otherwise(F.lit(names[-1]))).drop("_hash")
 
 
 def seeded_sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """k rows without replacement, the same rows for the same seed."""
-    return (df.withColumn("_hash", hash_order(F.col(key), seed))
-            .orderBy("_hash", key).limit(k).drop("_hash"))
-
-
-def legitimate_then_fraud(df: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    return df.where(F.col(label) == 0), df.where(F.col(label) == 1)
+    hashed = df.withColumn("_hash", hash_order(F.col(key), seed))
+    return leading_rows(hashed, "_hash", k).drop("_hash")
 
 
 def expected_sizes(total: int, shares: Sequence[float]) -> list[int]:

@@ -376,7 +376,7 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("P"), r["document_id"]).alias("document_id"), F.lit("text").alias("text"),
             F.when(r["document_id"] % 2 == 0, "fraud").otherwise("normal").alias("label"))).alias("cases"))
     alerts = _history(spark, sf_dir).withColumn("query_id", (F.col("event_id") % 12).cast("int"))
-    return evidence.evidence_context(alerts.join(F.broadcast(listed), "query_id", "left"))
+    return evidence.evidence_context(alerts.join(listed, "query_id", "left"))
 
 
 _LISTED = """listed AS (SELECT query_id, string_agg(concat('K', document_id), ',' ORDER BY rank) AS knowledge_ids,
@@ -527,7 +527,7 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("items", lambda i: F.struct(
             i["document_id"].alias("document_id"), F.lit("text").alias("text"),
             F.when(i["document_id"] % 2 == 0, "fraud").otherwise("normal").alias("label"))).alias("cases"))
-    out = evidence.select_evidence(asked.join(F.broadcast(lists), "query_id", "left"))
+    out = evidence.select_evidence(asked.join(lists, "query_id", "left"))
     return out.select(
         "conv_id", "turn", "intent", F.coalesce(F.array_join("knowledge.document_id", ","), F.lit("")).alias("knowledge_ids"),
         F.coalesce(F.array_join("cases.document_id", ","), F.lit("")).alias("case_ids"))

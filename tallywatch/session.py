@@ -29,11 +29,14 @@ def local_session(app: str = "tallywatch", cores: str | int = 8, memory: str = "
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings the operators count on.
 
-    Times are UTC. Generated methods above 8000 bytecodes are never compiled by
+    Times are UTC. Joins with a hot key are split at run time, even where that
+    costs one more shuffle. Generated methods above 8000 bytecodes are never compiled by
     HotSpot, so wide projections are faster outside whole-stage code generation.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    for name in ("enabled", "skewJoin.enabled", "forceOptimizeSkewedJoin"):
+        spark.conf.set(f"spark.sql.adaptive.{name}", "true")
     return spark
 
 

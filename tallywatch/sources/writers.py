@@ -54,9 +54,9 @@ def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[s
         found = False
     merged = incoming
     if found:
-        touched = F.broadcast(incoming.select(partition).distinct())  # one row per date
-        merged = last_write(stored.join(touched, partition, "left_semi").select(*incoming.columns).unionByName(incoming),
-                            keys, order)
+        # One value per partition of the batch, so the scan is pruned before it starts.
+        touched = [row[0] for row in incoming.select(partition).distinct().collect()]
+        merged = last_write(stored.where(F.col(partition).isin(touched)).unionByName(incoming), keys, order)
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
 
 

@@ -158,3 +158,34 @@ def test_impute_touches_only_holes(spark):
     df = spark.createDataFrame([(1.0, "a", 1), (None, None, 2), (3.0, "b", 3)], "v double, c string, i int")
     rows = validate.impute(df, ["v", "i"], ["c"]).collect()
     assert [(r["v"], r["c"]) for r in rows] == [(1.0, "a"), (2.0, "Unknown"), (3.0, "b")]
+
+
+def test_quantiles_of_large_groups_use_brackets(spark):
+    """The bracket path, forced by a low size limit, must equal numpy as well."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    values = np.round(np.concatenate([rng.exponential(30, 40_000), np.full(20_000, 12.5)]), 3)
+    df = spark.createDataFrame([(int(i % 4 == 0), float(v)) for i, v in enumerate(values)], "g int, v double").repartition(7)
+    shares = [0.0, 0.01, 0.5, 0.6, 0.95, 0.999, 1.0]
+    for groups in ([], ["g"]):
+        rows = exact_quantiles(df, "v", shares, groups, small=100).collect()
+        assert len(rows) == len(shares) * (2 if groups else 1)
+        for row in rows:
+            mine = values if not groups else values[(np.arange(len(values)) % 4 == 0) == bool(row["g"])]
+            assert row["quantile"] == pytest.approx(float(np.quantile(mine, row["share"])), abs=1e-9)
+            assert row["n"] == len(mine)
+
+
+def test_leading_rows_by_selection(spark):
+    from tallywatch.operators.ordered import leading_rows
+
+    df = spark.range(5000).select("id", (F.col("id") % 50).alias("v"), F.concat(F.lit("C"), F.col("id")).alias("name")).repartition(6)
+    big = leading_rows(df, "v", 1234, direct=10).collect()
+    assert len(big) == 1234 and sorted(r["v"] for r in big) == sorted(i % 50 for i in range(5000))[:1234]
+    newest = {r["id"] for r in leading_rows(df, "id", 1500, descending=True, direct=10).collect()}
+    assert newest == set(range(3500, 5000))
+    prefix = F.conv(F.rpad(F.hex(F.substring(F.encode("name", "UTF-8"), 1, 3)), 6, "0"), 16, 10).cast("long")
+    names = sorted(r["name"] for r in leading_rows(df, "name", 2000, position=prefix, direct=10).collect())
+    assert names == sorted(f"C{i}" for i in range(5000))[:2000]
+    assert leading_rows(df, "id", 9000, direct=10).count() == 5000
