@@ -63,9 +63,14 @@ def _without(item: Column, keys: Sequence[str], strings: bool) -> Column:
     return bad
 
 
-def _shape_rules(doc: Column, json: Column, required: Sequence[str], allowed: Sequence[str], stored: bool) -> dict[str, Column]:
-    is_object = _is(doc, "OBJECT")
+def _parsed(df: DataFrame, json: str) -> DataFrame:
+    """Parse once; the rules read the parsed column many times."""
     keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
+    return df.withColumns({"_doc": F.try_parse_json(json), "_keys": keys})
+
+
+def _shape_rules(doc: Column, keys: Column, required: Sequence[str], allowed: Sequence[str], stored: bool) -> dict[str, Column]:
+    is_object = _is(doc, "OBJECT")
     rules: dict[str, Column] = {"root": ~is_object}
     rules["unsupported_key"] = is_object & (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in allowed]))) > 0)
     for key in required:
@@ -97,22 +102,22 @@ def _shape_rules(doc: Column, json: Column, required: Sequence[str], allowed: Se
     return rules
 
 
-def payload_violations(json: Column) -> Column:
-    """Rules that a generated payload breaks, all of them, in rule order."""
-    doc = F.try_parse_json(json)
-    return violations(_shape_rules(doc, json, PAYLOAD_KEYS, PAYLOAD_KEYS, stored=False))
+def check_payloads(df: DataFrame, json: str) -> DataFrame:
+    """Adds ``violations``: every rule that a generated payload breaks, in rule order."""
+    rules = _shape_rules(F.col("_doc"), F.col("_keys"), PAYLOAD_KEYS, PAYLOAD_KEYS, stored=False)
+    return _parsed(df, json).withColumn("violations", violations(rules)).drop("_doc", "_keys")
 
 
-def result_violations(json: Column) -> Column:
-    """Rules that a stored result breaks: keys, status set and nested shapes."""
-    doc = F.try_parse_json(json)
+def check_results(df: DataFrame, json: str) -> DataFrame:
+    """Adds ``violations`` of a stored result: keys, status set and nested shapes."""
+    doc = F.col("_doc")
     required = [*PAYLOAD_KEYS, *RESULT_ONLY_KEYS]
-    rules = _shape_rules(doc, json, required, [*required, *OPTIONAL_RESULT_KEYS], stored=True)
+    rules = _shape_rules(doc, F.col("_keys"), required, [*required, *OPTIONAL_RESULT_KEYS], stored=True)
     status = _text(doc, "investigation_status")
     rules["invalid:investigation_status"] = status.isNotNull() & ~status.isin(RESULT_STATUSES)
     assessment = _get(doc, "alert_assessment")
     rules["invalid:alert_assessment"] = assessment.isNotNull() & _without(assessment, ASSESSMENT_KEYS, False)
-    return violations(rules)
+    return _parsed(df, json).withColumn("violations", violations(rules)).drop("_doc", "_keys")
 
 
 def investigation_status(status: str = "retrieval_status", missing: str = "missing_evidence") -> Column:
@@ -186,6 +191,8 @@ def claim_flags(text: Column, sources: Column, case_fields: Column, regulatory_t
     carried = F.coalesce(F.array_contains(case_fields, named), F.lit(False)) | (
         (named == "decision_path") & F.coalesce(F.array_contains(case_fields, "final_decision_path"), F.lit(False)))
     supported = F.coalesce(regulatory_text, F.lit("")).rlike(BALANCE_CONCEPT) & text.rlike(BALANCE_CONCEPT)
+    # One pass finds whether any term occurs at all; most texts stop there.
+    customer = folded.rlike("|".join(CUSTOMER_TERMS)) & customer
     return {
         "proof_claim": text.rlike(UNSAFE_CLAIM),
         "customer_claim": customer,

@@ -127,7 +127,7 @@ SELECT doc_id, i::INT AS chunk_index, CASE WHEN n <= 700 THEN regexp_replace(bod
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_documents(table(spark, sf_dir, "documents"), "doc_id")
+    return chunking.chunk_documents(table(spark, sf_dir, "documents", heavy=True), "doc_id")
 
 
 @query("document_chunks", f"""WITH {CTE_CHUNKS} SELECT doc_id, chunk_index, md5(chunk) AS chunk_md5, length(chunk) AS chars,
@@ -161,7 +161,7 @@ SELECT doc_id, relative_path, CASE WHEN hist THEN 'historical_reference' ELSE co
     ELSE 'reference' END AS status, concat(doc_id, ', ', doc_id + 1) AS source_pages
 FROM v LEFT JOIN t ON folder = top""")
 def knowledge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = table(spark, sf_dir, "documents", heavy=True).select("doc_id", "source", "text")
     written = docs.withColumns({
         "relative_path": F.expr(_PATH_SQL),
         "text": F.concat_ws(

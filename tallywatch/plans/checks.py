@@ -42,8 +42,8 @@ SELECT doc_id, concat_ws(',', CASE WHEN j IS NULL THEN 'root' END,
   CASE WHEN len(list_filter(json_extract(j, '$.regulatory_references[*]'), lambda x: json_type(x, '$.reference') IS NULL)) > 0
     THEN 'invalid:regulatory_references' END) AS violations FROM v""")
 def payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", F.expr(_JSON).alias("payload"))
-    return df.select("doc_id", F.array_join(quality.payload_violations(F.col("payload")), ",").alias("violations"))
+    df = table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.expr(_JSON).alias("payload"))
+    return quality.check_payloads(df, "payload").select("doc_id", F.array_join("violations", ",").alias("violations"))
 
 
 _RESULT = f"""concat(substr({_BODY}, 1, length({_BODY}) - 1), ', "alert_assessment": {{"risk_level": "L3", "model_prediction": 1, ',
@@ -71,8 +71,8 @@ SELECT doc_id, concat_ws(',', CASE WHEN json_type(j, '$.extra_field') IS NOT NUL
     THEN 'invalid:investigation_status' END,
   CASE WHEN json_type(j, '$.alert_assessment.decision_path') IS NULL THEN 'invalid:alert_assessment' END) AS violations FROM v""")
 def result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", F.expr(_RESULT).alias("payload"))
-    return df.select("doc_id", F.array_join(quality.result_violations(F.col("payload")), ",").alias("violations"))
+    df = table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.expr(_RESULT).alias("payload"))
+    return quality.check_results(df, "payload").select("doc_id", F.array_join("violations", ",").alias("violations"))
 
 
 # Whole documents with a claim in front of them.
@@ -92,7 +92,7 @@ SELECT doc_id, regexp_matches(t, '{_UNSAFE_SQL}') AS proof_claim, ({_TERMS_SQL})
     AND regexp_matches(t, '(?i)anomaly[_ ]score|xgboost[_ ]probability|risk[_ ]level|final[_ ]prediction|decision[_ ]path') AS model_leak,
   regexp_matches(t, '{_REGULATOR_SQL}') AND NOT (regexp_matches(src, '(?i)balance|origin|destination')) AS regulator_claim FROM c""")
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", F.expr(_CLAIM).alias("t"), F.expr(_SOURCES).alias("src"))
+    df = table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.expr(_CLAIM).alias("t"), F.expr(_SOURCES).alias("src"))
     flags = quality.claim_flags(F.col("t"), F.col("src"), F.array(F.lit("amount"), F.lit("type")), F.lit("EWS and RFA text"))
     return df.select("doc_id", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()])
 
@@ -107,7 +107,7 @@ SELECT *, CASE WHEN regexp_matches(t2, '{_REGULATOR_SQL}') THEN '{quality.WITHHE
 SELECT *, lower(t3) AS f FROM d)
 SELECT doc_id, md5(CASE WHEN {_TERMS_SQL} THEN '{quality.WITHHELD_CUSTOMER}' ELSE t3 END) AS guarded_md5 FROM e""")
 def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", F.expr(_CLAIM).alias("t"), F.expr(_SOURCES).alias("src"))
+    df = table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.expr(_CLAIM).alias("t"), F.expr(_SOURCES).alias("src"))
     text = quality.guarded_claim(F.col("t"), F.col("src"), F.array(F.lit("amount"), F.lit("type")), F.lit("EWS and RFA text"))
     return df.select("doc_id", F.md5(text).alias("guarded_md5"))
 
@@ -130,7 +130,7 @@ SELECT conv_id, turn, round(len(list_intersect(q, a)) / greatest(len(q), 1), 4)
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.struct(F.lit("s").alias("source_id"), F.lit("model_output").alias("source_type"))
     blank = F.struct(F.lit("").alias("source_id"), F.lit("model_output").alias("source_type"))
-    df = table(spark, sf_dir, "conversations").select(
+    df = table(spark, sf_dir, "conversations", heavy=True).select(
         "conv_id", "turn", F.lit("Is the customer account de la unusual and why").alias("question"),
         F.expr(_ANSWER).alias("answer"), F.lit("").alias("evidence_text"),
         F.when(F.col("turn") % 2 == 0, F.array(source, blank)).otherwise(F.array(source)).alias("cited"),

@@ -44,7 +44,7 @@ TX_SQL = _view(
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events", heavy=True)
     return spark.sql(_SPARK_VIEW.replace("FROM events", "FROM {events}"), events=events)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywatch.session import tune
+from tallywatch.session import spread, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,5 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A test table; ``heavy`` says that much work per row follows."""
+    df = tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if heavy else df

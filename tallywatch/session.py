@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "tallywatch", cores: str | int = 8, memory: str = "12g") -> SparkSession:
@@ -40,6 +40,22 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input too small to split by itself.
+
+    A file below one split is read by one task, which is slow when the work per
+    row is heavy. Only inputs under one split per core are reshuffled; a large
+    scan already has more splits than cores and is returned unchanged.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b").lower().rstrip("b")
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if not split.isdigit() or int(str(size)) >= cores * int(split):
+        return df
+    return df.repartition(cores)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared checkpoint root of the session.
 

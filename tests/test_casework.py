@@ -201,7 +201,7 @@ def test_answer_checks(spark):
 def test_payload_edges(spark):
     texts = ["[]", "null", "", '{"investigation_summary": "s"}']
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [r[0] for r in df.select(quality.payload_violations(F.col("t"))).collect()]
+    got = [r[0] for r in quality.check_payloads(df, "t").select("violations").collect()]
     assert got[0] == got[1] == got[2] == ["root"]
     assert got[3] == [f"missing:{k}" for k in quality.PAYLOAD_KEYS if k != "investigation_summary"]
 
