@@ -222,6 +222,13 @@ def population_report(df: DataFrame, label: str = "isFraud", tier: str = "risk_l
         *[F.count_if((F.col(tier) == t) & fraud).alias(f"fraud_in_{t}") for t in RISK_TIERS])
 
 
+def fraud_guard(report: DataFrame) -> DataFrame:
+    """Per split: does it hold fraud, and does its second-stage input?"""
+    return report.select(
+        "split", (F.col("fraud_rows") > 0).alias("has_fraud"),
+        (F.col("fraud_in_L1") + F.col("fraud_in_L2") > 0).alias("has_low_tier_fraud"))
+
+
 def require_fraud(report: DataFrame, split: str = "validation") -> DataFrame:
     """Stop when a split, or its second-stage input, holds no fraud at all."""
     row = report.where(F.col("split") == split).first()

@@ -140,14 +140,17 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "missing_evidence_acknowledged", F.array_join("unsupported_claim_flags", ",").alias("unsupported_claim_flags"))
 
 
-@query("numeric_grounding", """WITH c AS (SELECT item_id, text AS answer, list_filter(list_distinct(regexp_extract_all(
-  regexp_replace(text, '[^0-9]+', ' ', 'g'), '[0-9]+')), lambda x: x <> '') AS n FROM benchmark)
-SELECT item_id, 1.0::DOUBLE AS grounded_in_itself FROM c""")
+_NUMBERS = "concat('Found ', doc_id, ' items, +', n_chars, ' chars and -', doc_id % 7, '.25 points in v', n_chars, 'x')"
+_KNOWN = "concat('items=', doc_id, CASE WHEN n_chars % 2 = 0 THEN concat('; chars=', n_chars) ELSE '' END)"
+
+
+@query("numeric_grounding", """WITH c AS (SELECT doc_id, list_distinct([doc_id::VARCHAR, n_chars::VARCHAR,
+  concat('-', doc_id % 7, '.25')]) AS said, CASE WHEN n_chars % 2 = 0 THEN [doc_id::VARCHAR, n_chars::VARCHAR]
+  ELSE [doc_id::VARCHAR] END AS known FROM documents)
+SELECT doc_id, round(len(list_intersect(said, known)) / len(said), 4) AS numeric_grounding_fraction FROM c""")
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An answer is fully grounded in itself, whatever numbers it holds."""
-    df = table(spark, sf_dir, "benchmark").select(
-        "item_id", F.lit("q").alias("question"), F.col("text").alias("answer"), F.col("text").alias("evidence_text"),
+    df = table(spark, sf_dir, "documents").select(
+        "doc_id", F.lit("q").alias("question"), F.expr(_NUMBERS).alias("answer"), F.expr(_KNOWN).alias("evidence_text"),
         F.array().cast("array<struct<source_id:string,source_type:string>>").alias("cited"),
         F.array().cast("array<string>").alias("missing"))
-    return quality.assess_answers(df).select(
-        "item_id", F.col("numeric_grounding_fraction").alias("grounded_in_itself"))
+    return quality.assess_answers(df).select("doc_id", "numeric_grounding_fraction")

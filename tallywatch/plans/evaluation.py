@@ -61,6 +61,15 @@ def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.population_report(assign_tiers(inputs.scored(spark, sf_dir)).withColumn("split", split))
 
 
+@query("split_fraud_guard", f"""WITH {CTE_DECIDED}, s AS (
+SELECT *, row_number() OVER (ORDER BY step, amount, event_id) - 1 AS r, count(*) OVER () AS n FROM decided)
+SELECT CASE WHEN r < floor(0.6 * n) THEN 'train' WHEN r < floor(0.8 * n) THEN 'validation' ELSE 'test' END AS split,
+  max(isFraud) = 1 AS has_fraud, max(CASE WHEN risk_level IN ('L1', 'L2') THEN isFraud ELSE 0 END) = 1 AS has_low_tier_fraud
+FROM s GROUP BY 1""")
+def fraud_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.fraud_guard(population(spark, sf_dir))
+
+
 @query("confusion_metrics", f"""WITH {CTE_JUDGED}, c AS (
 SELECT lang, count(*) FILTER (label = 1 AND score >= 600) AS tp, count(*) FILTER (label = 0 AND score >= 600) AS fp,
   count(*) FILTER (label = 1 AND score < 600) AS fn, count(*) FILTER (label = 0 AND score < 600) AS tn

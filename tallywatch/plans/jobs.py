@@ -326,6 +326,15 @@ def forest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _forest_scored(spark, sf_dir).select("event_id", "isFraud", F.round("anomaly_score", 9).alias("anomaly_score"))
 
 
+@query("isolation_forest_checks", f"""WITH {CTE_TX}
+SELECT isFraud, count(*) AS rows, count(*) AS in_range FROM valid GROUP BY isFraud""")
+def forest_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is scored once and every score lies inside the open range."""
+    inside = (F.col("anomaly_score") > -0.5) & (F.col("anomaly_score") < 0.5)
+    return _forest_scored(spark, sf_dir, 30).groupBy("isFraud").agg(
+        F.count("*").alias("rows"), F.count_if(inside).alias("in_range"))
+
+
 @query("isolation_forest_nodes")
 def forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = base_features(inputs.valid_transactions(spark, sf_dir)).where("isFraud = 0")
@@ -365,6 +374,15 @@ def reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.round("reconstruction_error", 6).alias("reconstruction_error"))
 
 
+@query("full_rank_reconstruction", f"""WITH {CTE_TX} SELECT count(*) AS rows, count(*) AS exact FROM valid""")
+def full_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With as many axes as features nothing is lost."""
+    columns = ["amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest", "log_amount"]
+    df = base_features(inputs.valid_transactions(spark, sf_dir))
+    out = cascade.reconstruction_error(df.where("isFraud = 0"), df, columns, k=len(columns))
+    return out.agg(F.count("*").alias("rows"), F.count_if(F.col("reconstruction_error") < 1e-9).alias("exact"))
+
+
 @query("approximate_tier_thresholds")
 def approximate_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.approximate_tier_thresholds(inputs.scored(spark, sf_dir), "anomaly_score", "isFraud")

@@ -234,6 +234,20 @@ def alert_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("xgboost_prediction").cast("double"), "final_prediction", "alert_id", "alert_required", "final_risk_action", "status")
 
 
+@query("rejected_payloads", f"""WITH {CTE_DECIDED}
+SELECT violation, count(*) AS n FROM (SELECT unnest(list_filter([
+  CASE WHEN xgboost_probability IS NULL THEN 'missing:source' END, CASE WHEN nameDest = 'M7' THEN 'missing:nameDest' END,
+  CASE WHEN event_id % 40 = 1 THEN 'invalid:event_time' END], lambda x: x IS NOT NULL)) AS violation FROM decided) GROUP BY 1""")
+def rejected_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads with planted holes; every broken rule is named."""
+    holes = _payload(spark, sf_dir).withColumns({
+        "source": F.when(F.col("xgboost_probability").isNotNull(), F.col("source")),
+        "nameDest": F.when(F.col("nameDest") == "M7", "").otherwise(F.col("nameDest")),
+        "event_time": F.when(F.col("event_id") % 40 == 1, "soon").otherwise(F.col("event_time"))})
+    _, bad = validate.transaction_rows(holes)
+    return bad.select(F.explode("violations").alias("violation")).groupBy("violation").agg(F.count("*").alias("n"))
+
+
 @query("event_time_parsing", """SELECT event_id, epoch_us(ts) AS utc_micros FROM events""")
 def event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallywatch.functions.times import parse_event_time
