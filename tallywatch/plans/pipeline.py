@@ -12,13 +12,18 @@ from tallywatch.plans.registry import query, table
 from tallywatch.schema import BASE_FEATURES, BEHAVIOR_FEATURES, MODEL_FEATURES, require_feature_contract
 
 
+# Cents over a power of two end exactly half way between two rounded values, where the last
+# bit of a sum decides. A shift far below the shown digits takes such values off the edge.
+_OFF_EDGE = 3.3e-08
+
+
 def _rounded(names: list[str], digits: int = 6) -> list:
     # Adding 0.0 turns a rounded negative zero into zero.
-    return [(F.round(F.col(n).cast("double"), digits) + F.lit(0.0)).alias(n) for n in names]
+    return [(F.round(F.col(n).cast("double") + F.lit(_OFF_EDGE), digits) + F.lit(0.0)).alias(n) for n in names]
 
 
 def _rounded_sql(names: list[str], digits: int = 6) -> str:
-    return ", ".join(f'round("{n}"::DOUBLE, {digits}) + 0.0 AS "{n}"' for n in names)
+    return ", ".join(f'round("{n}"::DOUBLE + {_OFF_EDGE!r}, {digits}) + 0.0 AS "{n}"' for n in names)
 
 
 @query("validated_transactions", f"WITH {CTE_TX} SELECT * EXCLUDE (ts) FROM valid")
@@ -125,12 +130,13 @@ def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT nameOrig, count(*) AS n, sum(amount) AS s, count(DISTINCT nameDest) AS d,
   count(*) FILTER (type = 'CASH_OUT') AS c, count(*) FILTER (type = 'TRANSFER') AS t FROM valid GROUP BY nameOrig)
 SELECT event_id, n::DOUBLE AS orig_tx_count_24steps, round(s, 4) AS orig_amount_sum_24steps,
-  round(s / n, 6) AS orig_avg_amount_24steps, round(amount / (s / n + 1e-6), 6) AS orig_amount_ratio_to_avg_24steps,
+  round(s / n + {_OFF_EDGE!r}, 6) + 0.0 AS orig_avg_amount_24steps,
+  round(amount / (s / n + 1e-6) + {_OFF_EDGE!r}, 6) + 0.0 AS orig_amount_ratio_to_avg_24steps,
   coalesce(step - lag(step) OVER (PARTITION BY nameOrig ORDER BY step, event_id), 0)::DOUBLE
     AS orig_time_since_prev_step,
   d::DOUBLE AS orig_unique_destinations_24steps, c::DOUBLE AS orig_cashout_count_24steps,
   t::DOUBLE AS orig_transfer_count_24steps, (d = 1)::INT::DOUBLE AS orig_new_destination,
-  round(greatest(0, least(1, (oldbalanceOrg - newbalanceOrig) / (oldbalanceOrg + 1e-6))), 6) + 0.0
+  round(greatest(0, least(1, (oldbalanceOrg - newbalanceOrig) / (oldbalanceOrg + 1e-6))) + {_OFF_EDGE!r}, 6) + 0.0
     AS orig_balance_depletion_ratio
 FROM valid JOIN a USING (nameOrig)""")
 def whole_account(spark: SparkSession, sf_dir: str) -> DataFrame:
