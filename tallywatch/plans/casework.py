@@ -173,12 +173,13 @@ def knowledge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "relative_path", "source_type", "document_type", "topic", "authority", "version", "status", "source_pages")
 
 
-@query("changed_documents", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'changed' END AS change
-FROM documents WHERE doc_id % 3 = 0 OR (doc_id % 3 = 1 AND upper(text) <> text)""")
+@query("changed_documents", """SELECT doc_id, CASE WHEN lang = 'en' THEN 'new' ELSE 'changed' END AS change
+FROM documents WHERE lang = 'en' OR (n_chars > 800 AND upper(text) <> text)""")
 def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = docs.where("doc_id % 3 <> 0").withColumn(
-        "text", F.when(F.col("doc_id") % 3 == 1, F.upper("text")).otherwise(F.col("text")))
+    """The store lacks the English documents and holds long ones in another form."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
+    stored = docs.where("lang <> 'en'").select(
+        "doc_id", F.when(F.col("n_chars") > 800, F.upper("text")).otherwise(F.col("text")).alias("text"))
     return corpus.changed_documents(docs, stored, key="doc_id").select("doc_id", "change")
 
 
@@ -337,11 +338,11 @@ SELECT nameOrig, string_agg(transaction_id, ',' ORDER BY r) AS tx_ids, count(*)
   PARTITION BY nameOrig ORDER BY generated_at DESC, transaction_id) AS r FROM ledger WHERE processing_status = 'LOW_RISK')
 WHERE r <= 20 GROUP BY nameOrig), na AS (
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nameOrig ORDER BY generated_at DESC, alert_id) AS r FROM alerts) WHERE r <= 10),
-ra AS (SELECT a.alert_id, n.alert_id AS other, n.event_id AS other_event, r FROM alerts a JOIN na n USING (nameOrig)
+ra AS (SELECT a.alert_id, n.alert_id AS other, n.event_id AS other_event, n.risk_level AS other_level, r FROM alerts a JOIN na n USING (nameOrig)
   WHERE n.alert_id <> a.alert_id), ids AS (
-SELECT alert_id, event_id AS e FROM alerts UNION SELECT alert_id, other_event FROM ra), inv AS (
+SELECT alert_id, event_id AS e, risk_level AS level FROM alerts UNION SELECT alert_id, other_event, other_level FROM ra), inv AS (
 SELECT alert_id, e * 10 + v AS made, concat('INV-', CASE v WHEN 0 THEN 'a' ELSE 'b' END, '-', e) AS iid
-FROM ids, range(2) q(v) WHERE e % 3 <> 0), li AS (
+FROM ids, range(2) q(v) WHERE level <> 'L5'), li AS (
 SELECT alert_id, string_agg(iid, ',' ORDER BY made DESC) AS investigation_ids, count(*) AS inv_n FROM (
   SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY made DESC) AS r FROM inv) WHERE r <= 10 GROUP BY 1), la AS (
 SELECT alert_id, string_agg(other, ',' ORDER BY r) AS alert_ids, count(*) AS alert_n FROM ra GROUP BY 1), hist AS (

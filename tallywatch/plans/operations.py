@@ -216,8 +216,8 @@ def conversation_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two results per investigated alert; only the newer one counts."""
-    rows = ledger(spark, sf_dir).where("alert_id IS NOT NULL AND event_id % 3 <> 0")
+    """Two results per investigated alert, none for the highest tier; only the newer one counts."""
+    rows = ledger(spark, sf_dir).where("alert_id IS NOT NULL AND risk_level <> 'L5'")
     return rows.select("alert_id", F.inline(F.array(
         F.struct((F.col("event_id") * 10).alias("generated_at"), F.concat(F.lit("INV-a-"), "event_id").alias("investigation_id"),
                  F.lit("failed").alias("investigation_status")),
@@ -227,16 +227,16 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("alerts_not_yet_investigated", f"""WITH {CTE_LEDGER}
-SELECT alert_id, transaction_id FROM ledger WHERE alert_id IS NOT NULL AND event_id % 3 = 0""")
+SELECT alert_id, transaction_id FROM ledger WHERE alert_id IS NOT NULL AND risk_level = 'L5'""")
 def not_investigated(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = ledger(spark, sf_dir).where("alert_id IS NOT NULL").select("alert_id", "transaction_id")
     return control.not_yet_investigated(alerts, _results(spark, sf_dir))
 
 
 @query("updated_pending_alerts", f"""WITH {CTE_LEDGER}
-SELECT transaction_id, CASE WHEN investigation_status = 'PENDING' AND alert_id IS NOT NULL AND event_id % 3 <> 0
+SELECT transaction_id, CASE WHEN investigation_status = 'PENDING' AND alert_id IS NOT NULL AND risk_level <> 'L5'
     THEN CASE WHEN event_id % 2 = 0 THEN 'COMPLETED' ELSE 'FAILED' END ELSE investigation_status END AS investigation_status,
-  CASE WHEN investigation_status = 'PENDING' AND alert_id IS NOT NULL AND event_id % 3 <> 0
+  CASE WHEN investigation_status = 'PENDING' AND alert_id IS NOT NULL AND risk_level <> 'L5'
     THEN concat('INV-b-', event_id) END AS investigation_id FROM ledger""")
 def updated_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = control.update_pending(ledger(spark, sf_dir), _results(spark, sf_dir))

@@ -39,32 +39,48 @@ class AccountBehavior(StatefulProcessor):
         used = {k[0]: set(v[0]) for k, v in self.used.iterator()}
         stored_steps, stored_used = set(totals), {d: frozenset(s) for d, s in used.items()}
         latest = max(totals, default=None)
-        features = []
+        features, here = [], None
         for step, amount, target, kind in zip(batch["step"], batch["amount"], batch["nameDest"], batch["type"]):
-            step = int(step)
-            late = latest is not None and step < latest
-            recent = {s: t for s, t in totals.items() if 0 <= step - s <= LOOK_BACK}
-            in_window = {d for d, steps in used.items() if any(0 <= step - s <= LOOK_BACK for s in steps)}
-
-            def within(span: int, field: int):
-                return sum(t[field] for s, t in recent.items() if step - s <= span)
-
-            n6, n24, a6, a24 = within(6, 0), within(24, 0), float(within(6, 1)), float(within(24, 1))
-            mean24 = a24 / n24 if n24 else 0.0
-            earlier = [s for s in (recent if self.gap_mode == "retained" else totals) if s <= step]
+            step, amount = int(step), float(amount)
+            if step != here:
+                # Rows are in step order, so the look-back is read once per step and then grows.
+                here, seen = step, self._look_back(totals, used, step)
+            n24, n6 = seen["n24"], seen["n6"]
+            mean24 = seen["a24"] / n24 if n24 else 0.0
             features.append((
-                float(within(1, 0)), float(n6), float(n24), a6, a24, a6 / n6 if n6 else 0.0, mean24,
-                amount / mean24 if mean24 > 0 else 0.0, float(step - max(earlier)) if earlier else 0.0,
-                float(len(in_window)), float(within(24, 2)), float(within(24, 3)), float(target not in in_window), late))
+                float(seen["n1"]), float(n6), float(n24), seen["a6"], seen["a24"], seen["a6"] / n6 if n6 else 0.0, mean24,
+                amount / mean24 if mean24 > 0 else 0.0, 0.0 if seen["last"] is None else float(step - seen["last"]),
+                float(len(seen["live"])), float(seen["c24"]), float(seen["t24"]), float(target not in seen["live"]),
+                latest is not None and step < latest))
+            cashout, transfer = int(kind == "CASH_OUT"), int(kind == "TRANSFER")
+            for name, more in (("n1", 1), ("n6", 1), ("n24", 1), ("a6", amount), ("a24", amount), ("c24", cashout),
+                               ("t24", transfer)):
+                seen[name] += more
+            seen["live"].add(target)
+            seen["last"] = step
             n, total, cashouts, transfers = totals.get(step, (0, 0.0, 0, 0))
-            totals[step] = (n + 1, total + float(amount), cashouts + (kind == "CASH_OUT"), transfers + (kind == "TRANSFER"))
+            totals[step] = (n + 1, total + amount, cashouts + cashout, transfers + transfer)
             used.setdefault(target, set()).add(step)
-            latest = step if latest is None else max(latest, step)
+        latest = max(totals)
         self._store(totals, used, stored_steps, stored_used, latest)
         names = [f for f in _FEATURES if f != "orig_balance_depletion_ratio"]
         found = pd.DataFrame(features, columns=[*names, "late"], index=batch.index)
         yield pd.concat([batch, found], axis=1)
 
+    def _look_back(self, totals, used, step) -> dict:
+        """Totals at or before a step, inside the windows, and the destinations in use."""
+        near = {step - s: t for s, t in totals.items() if 0 <= step - s <= LOOK_BACK}
+        known = [s for s in totals if s <= step and (self.gap_mode == "last" or step - s <= LOOK_BACK)]
+
+        def total(span: int, field: int):
+            return sum(t[field] for distance, t in near.items() if distance <= span)
+
+        return {
+            "n1": total(1, 0), "n6": total(6, 0), "n24": total(LOOK_BACK, 0), "a6": float(total(6, 1)),
+            "a24": float(total(LOOK_BACK, 1)), "c24": total(LOOK_BACK, 2), "t24": total(LOOK_BACK, 3),
+            "live": {d for d, steps in used.items() if any(0 <= step - s <= LOOK_BACK for s in steps)},
+            "last": max(known, default=None)}
+
     def _store(self, totals, used, stored_steps, stored_used, latest) -> None:
         # The gap of the 'last' mode needs the newest step even when it is old.
         floor = latest - LOOK_BACK
