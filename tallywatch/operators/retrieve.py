@@ -14,6 +14,7 @@ TOP_K = 5
 CANDIDATE_MULTIPLIER = 3
 SIMILAR_AMOUNT_FACTOR = 2.0
 QUERY_BATCH = 2048
+VECTOR_BLOCK = 2048
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -28,22 +29,23 @@ def _nearest_in_partition(query_ids, query_vectors, k: int, per: str | None):
         ids, units = query_ids.value, query_vectors.value
         best: dict[object, pd.DataFrame] = {}
         for frame in frames:
-            for label, part in (frame.groupby(per) if per else [(None, frame)]):
-                vectors = _unit(np.stack(part["vector"].to_numpy()).astype(np.float64))
-                distance = 1.0 - units @ vectors.T
-                keep = min(k, distance.shape[1])
-                columns = np.argsort(distance, axis=1, kind="stable")[:, :keep] if keep == distance.shape[1] else (
-                    np.argpartition(distance, keep - 1, axis=1)[:, :keep])
-                # Equal distances at the edge must survive to the final tie-break.
-                edge = np.take_along_axis(distance, columns, axis=1).max(axis=1, keepdims=True)
-                rows, cols = np.nonzero(distance <= edge)
-                found = pd.DataFrame({
-                    "query_id": ids[rows], "document_id": part["document_id"].to_numpy()[cols],
-                    "distance": distance[rows, cols]})
-                if label in best:
-                    found = pd.concat([best[label], found])
-                found = found.sort_values(["query_id", "distance", "document_id"])
-                best[label] = found.groupby("query_id", sort=False).head(k)
+            for label, group in (frame.groupby(per) if per else [(None, frame)]):
+                # Blocks bound the distance matrix at queries x VECTOR_BLOCK.
+                for at in range(0, len(group), VECTOR_BLOCK):
+                    part = group.iloc[at:at + VECTOR_BLOCK]
+                    vectors = _unit(np.stack(part["vector"].to_numpy()).astype(np.float64))
+                    distance = 1.0 - units @ vectors.T
+                    keep = min(k, distance.shape[1])
+                    # Equal distances at the edge must survive to the final tie-break.
+                    edge = np.partition(distance, keep - 1, axis=1)[:, keep - 1:keep]
+                    rows, cols = np.nonzero(distance <= edge)
+                    found = pd.DataFrame({
+                        "query_id": ids[rows], "document_id": part["document_id"].to_numpy()[cols],
+                        "distance": distance[rows, cols]})
+                    if label in best:
+                        found = pd.concat([best[label], found])
+                    found = found.sort_values(["query_id", "distance", "document_id"])
+                    best[label] = found.groupby("query_id", sort=False).head(k)
         for label, found in best.items():
             if per:
                 found = found.assign(**{per: label})

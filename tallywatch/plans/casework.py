@@ -237,11 +237,11 @@ def nearest_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("nearest_within_distance", f"""WITH {CTE_NEAR}
-SELECT query_id, document_id FROM near WHERE rank <= 15 AND distance <= 0.8""")
+SELECT query_id, document_id FROM near WHERE rank <= 15 AND distance <= 0.7""")
 def within(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallywatch.operators.validate import within_distance
 
-    return within_distance(near(spark, sf_dir, 15), 0.8).select("query_id", "document_id")
+    return within_distance(near(spark, sf_dir, 15), 0.7).select("query_id", "document_id")
 
 
 @query("deduplicated_candidates", """SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY conv_id, role""")
