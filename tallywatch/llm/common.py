@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text handed to one numpy step, in characters; a longer single text is its own step.
 STEP_CHARS = 1_000_000
@@ -54,3 +55,41 @@ def in_steps(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = STEP_
             size += len(x) + 1
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+
+
+def append_columns(docs: DataFrame, text_col: str, fields: list[T.StructField], run: Callable[[list[str]], list[pa.Array]]) -> DataFrame:
+    """``docs`` with new columns that ``run`` makes of the whole texts (null as empty), step by step.
+
+    A column that has the name of a new one is replaced; all others pass through unread.
+    """
+    new = {f.name for f in fields}
+    kept = [f for f in docs.schema.fields if f.name not in new]
+    rows = docs.select(F.col(text_col).alias("_text"), *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)))
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)] + fields)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in in_steps(batches, text=0):
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *run(texts)], names=schema.names)
+
+    out = rows.mapInArrow(step, schema)
+    return out.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)), *(f.name for f in fields))
+
+
+#: Ids that may be broadcast: about 50 MB as a hash table.
+BROADCAST_IDS = 1_000_000
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose id and text hash are in ``gone`` (id, text_hash); null ids match null ids.
+
+    ``gone`` is counted: up to BROADCAST_IDS rows are sent to the documents, more are joined by shuffle.
+    """
+    gone = written(gone.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "rows-to-drop")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (text_hash(text_col) == F.col("_hash"))
+    return docs.join(gone, same, "left_anti")
+
+
+def text_hash(text_col: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywatch.llm import ann, common, secrets, simhash, tokenfiles, urlfilter
+from tallywatch.llm import ann, common, decontam, secrets, simhash, tokenfiles, urlfilter
 from tallywatch.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -90,3 +90,33 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 def nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return ann.nearest_codes(rows, rows.where(F.col("vec_id") % 100 == 0), 10)
+
+
+_WORDS_SQL = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+_OVERLAP_SQL = f"""
+WITH d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS at, len(w) AS n FROM (SELECT doc_id, {_WORDS_SQL} AS w FROM documents)),
+b AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS at, len(w) AS n FROM (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark) WHERE len(w) >= 5),
+laid AS (
+  SELECT doc_id, item_id, d.at - b.at AS shift, b.at AS place, least(13, b.n) AS w, least(b.n, d.n - (d.at - b.at)) AS high
+  FROM d JOIN b ON d.word = b.word),
+-- Only places with enough agreeing words within 12 places can lie in a window that counts.
+dense AS (
+  SELECT DISTINCT doc_id, item_id, shift, w, high, place FROM (
+    SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY place RANGE BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS near FROM laid)
+  WHERE near >= CASE WHEN w < 13 THEN w ELSE 11 END),
+starts AS (
+  SELECT DISTINCT doc_id, item_id, shift, w, s FROM (
+    SELECT doc_id, item_id, shift, w, high, unnest(range(greatest(place - 12, 0, -shift), place + 1)) AS s FROM dense) WHERE s + w <= high),
+counted AS (
+  SELECT x.doc_id, x.item_id, x.shift, x.s, x.w, count(*) AS same
+  FROM starts x JOIN laid l ON x.doc_id = l.doc_id AND x.item_id = l.item_id AND x.shift = l.shift AND l.place BETWEEN x.s AND x.s + x.w - 1
+  GROUP BY ALL)
+SELECT doc_id, item_id, min(shift + s)::INTEGER AS first_word, max(shift + s + w)::INTEGER AS end_word, max(same)::INTEGER AS best
+FROM counted WHERE same >= CASE WHEN w < 13 THEN w ELSE 11 END GROUP BY doc_id, item_id
+"""
+
+
+@query("op2_benchmark_overlaps", _OVERLAP_SQL)
+def benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "end_word", "best")

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallywatch.llm.common import in_steps
+from tallywatch.llm.common import append_columns
 
 # Patterns of the three base kinds, and the least length of what they must match.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -94,17 +94,13 @@ def entropy_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[in
     return [(a, b, 3) for a, b in joined if not any(s <= a and b <= e for s, e, _ in known)]
 
 
-_SPANS = "array<struct<kind:string,start:int,end:int>>"
+_SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_SPANS_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for step, texts in in_steps(batches, text=0):
-        rows = []
-        for text in texts:
-            known = base_spans(text)
-            rows.append([{"kind": KINDS[k], "start": a, "end": b} for a, b, k in sorted(known + entropy_spans(text, known), key=lambda x: (x[0], x[2]))])
-        yield pa.RecordBatch.from_arrays([*step.columns, pa.array(rows, kind)], names=[*step.schema.names, "spans"])
+def all_spans(text: str) -> list[tuple[int, int, int]]:
+    known = base_spans(text)
+    return sorted(known + entropy_spans(text, known), key=lambda x: (x[0], x[2]))
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
@@ -114,10 +110,11 @@ def find_secrets(docs: DataFrame, text_col: str = "text", spans_col: str = "span
     replace one. Null and empty texts have no spans, repeated rows are all scanned, an empty table gives no
     rows; a column named as ``spans_col`` is replaced, all others stay.
     """
-    kept = [c for c in docs.columns if c != spans_col]
-    ordered = docs.select(F.col(text_col).alias("_text"), *kept)
-    schema = ", ".join(["_text string", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"spans {_SPANS}"])
-    return ordered.mapInArrow(_scan, schema).select(*kept, F.col("spans").alias(spans_col))
+
+    def scan(texts: list[str]) -> list[pa.Array]:
+        return [pa.array([[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in all_spans(x)] for x in texts], _SPANS_ARROW)]
+
+    return append_columns(docs, text_col, [T.StructField(spans_col, _SPANS)], scan)
 
 
 def span_text(spans: Column) -> Column:
@@ -125,24 +122,19 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each secret of the text replaced by ``mark``; overlapping spans become one. Texts without secrets stay as they are."""
+    """``docs`` with each secret of the text replaced by ``mark``; overlapping spans become one. Texts without secrets, null ones too, stay as they are."""
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = [x if not s else _cut(x, s, mark) for x, s in zip(texts, spans)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], names=[f"c{i}" for i in range(batch.num_columns - 1)])
+    def clean(texts: list[str]) -> list[pa.Array]:
+        return [pa.array([_cut(x, spans, mark) if (spans := all_spans(x)) else None for x in texts], pa.string())]
 
-    found = find_secrets(docs, text_col, "_spans").select(F.col(text_col).alias("_new"), "_spans", *docs.columns)
-    schema = ", ".join(["c0 string", *(f"c{i + 1} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(docs.columns))])
-    clean_rows = found.mapInArrow(clean, schema)
-    return clean_rows.select(*(F.col("c0" if c == text_col else f"c{i + 1}").alias(c) for i, c in enumerate(docs.columns)))
+    found = append_columns(docs, text_col, [T.StructField("_redacted", T.StringType())], clean)
+    return found.select(*(F.coalesce("_redacted", F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
-def _cut(text: str, spans: list[dict], mark: str) -> str:
+def _cut(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
     out, at = [], 0
-    for s in spans:
-        if s["start"] >= at:
-            out += [text[at : s["start"]], mark]
-        at = max(at, s["end"])
+    for start, end, _ in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
     return "".join([*out, text[at:]])
