@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywatch.llm import ann, common, decontam, secrets, simhash, tokenfiles, urlfilter
+from tallywatch.llm import ann, common, decontam, langid, quality, secrets, simhash, tokenfiles, urlfilter
 from tallywatch.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -120,3 +120,20 @@ FROM counted WHERE same >= CASE WHEN w < 13 THEN w ELSE 11 END GROUP BY doc_id,
 def benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "first_word", "end_word", "best")
+
+
+@query("op4_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (common.fold("doc_id", 3) == 1).alias("held_out"))
+    models = langid.fit(docs.where("NOT held_out").select("lang", "text"))
+    found = common.written(langid.identify(docs, models).drop("text"), "languages")
+    limits = found.where("NOT held_out AND lang = lang_pred")
+    return langid.calibrated(found, limits).select("doc_id", "held_out", "lang_pred", "score", "bits", "rejected")
+
+
+@query("op9_quality_scores")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = common.fold("doc_id", 5) == 0
+    model = quality.train(docs.select("doc_id", "text").where(~held_out), labels.where(~held_out))
+    return quality.add_scores(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted", "passages", "top_passage")
