@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywatch.llm import ann, common, decontam, langid, quality, secrets, simhash, tokenfiles, urlfilter
+from tallywatch.llm import ann, common, decontam, langid, pieces, quality, secrets, simhash, tokenfiles, urlfilter
 from tallywatch.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -137,3 +137,16 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = common.fold("doc_id", 5) == 0
     model = quality.train(docs.select("doc_id", "text").where(~held_out), labels.where(~held_out))
     return quality.add_scores(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "score", "predicted", "passages", "top_passage")
+
+
+@query("op3_sentence_pieces")
+def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return pieces.decode(coded, path).select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.xxhash64("piece_ids").alias("ids_hash"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"),
+    )
