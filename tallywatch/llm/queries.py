@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywatch.llm import ann, common, decontam, langid, pieces, quality, secrets, simhash, tokenfiles, urlfilter
+from tallywatch.llm import ann, common, decontam, langid, pieces, quality, repeats, secrets, simhash, tokenfiles, urlfilter
 from tallywatch.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -150,3 +150,8 @@ def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"),
     )
+
+
+@query("op8_repeated_bytes")
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
