@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import in_steps, written
+from tallywatch.llm.common import BROADCAST_IDS, in_steps, text_hash, without_rows, written
 from tallywatch.llm.components import components
 
 BITS = 64
@@ -148,8 +148,11 @@ def _root(parent: list[int], x: int) -> int:
     return x
 
 
-def spanning_links(groups: np.ndarray, ids: np.ndarray, values: np.ndarray, tree: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that connect, within each group, what is linked: ``tree`` marks the rows of the tree, all rows are queries."""
+def spanning_links(groups: np.ndarray, ids: np.ndarray, values: np.ndarray, tree: np.ndarray, radius: int, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that connect, within each group, what is linked: ``tree`` marks the rows of the tree, all rows are queries.
+
+    With ``nearest``, each id is also paired with the nearest one in its tree (of equally near ones, the first).
+    """
     rows = np.flatnonzero(tree)
     forest = Forest(groups[rows], values[rows])
     asks = np.flatnonzero(np.isin(groups, forest.groups))
@@ -163,8 +166,12 @@ def spanning_links(groups: np.ndarray, ids: np.ndarray, values: np.ndarray, tree
         a, b = _root(parent, int(order[i])), _root(parent, int(order[i - 1]))
         parent[max(a, b)] = min(a, b)
     top = np.array([_root(parent, x) for x in range(len(values))])
+    closest = np.full(len(values), np.iinfo(np.int64).max)
     for q, v in forest.search(groups[asks], values[asks], radius):
         q, v = asks[q], rows[v]
+        if nearest:
+            other = ids[q] != ids[v]
+            np.minimum.at(closest, q[other], (np.bitwise_count(values[q[other]] ^ values[v[other]]).astype(np.int64) << 40) | v[other])
         # Nearest first; of many links between two parts, one is enough.
         pairs = np.c_[np.minimum(top[q], top[v]), np.maximum(top[q], top[v])]
         apart = pairs[:, 0] != pairs[:, 1]
@@ -188,13 +195,15 @@ def spanning_links(groups: np.ndarray, ids: np.ndarray, values: np.ndarray, tree
                 if (up == top).all():
                     break
                 top = up
-    a = np.array([x[0] for x in out], np.int64)
-    b = np.array([x[1] for x in out], np.int64)
+    met = np.flatnonzero(closest < np.iinfo(np.int64).max)
+    a = np.r_[np.array([x[0] for x in out], np.int64), met]
+    b = np.r_[np.array([x[1] for x in out], np.int64), closest[met] & ((1 << 40) - 1)]
     return ids[a], ids[b]
 
 
-def fingerprint_links(nodes: DataFrame, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b) pairs of ids of ``nodes`` (id, fp; distinct fp) within ``radius`` bits that connect all linked ones; pairs may come twice."""
+def fingerprint_links(nodes: DataFrame, radius: int, shard_rows: int = SHARD_ROWS, nearest: bool = False) -> DataFrame:
+    """(a, b) pairs of ids of ``nodes`` (id, fp; distinct fp) within ``radius`` bits that connect all linked ones, and with
+    ``nearest`` the nearest ones of each bucket too; pairs may come twice."""
     masks = key_masks(radius, nodes.count())
     keyed = nodes.select("id", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])).alias("mask", "part"))
     keyed = keyed.select("id", "fp", F.xxhash64("mask", "part").alias("bucket"))
@@ -220,7 +229,7 @@ def fingerprint_links(nodes: DataFrame, radius: int, shard_rows: int = SHARD_ROW
 
     def links(table: pa.Table) -> pa.RecordBatch:
         columns = [table.column(c).to_numpy(zero_copy_only=False) for c in ("group", "id", "fp", "tree")]
-        a, b = spanning_links(columns[0], columns[1], columns[2].view(np.uint64), columns[3].astype(bool), radius)
+        a, b = spanning_links(columns[0], columns[1], columns[2].view(np.uint64), columns[3].astype(bool), radius, nearest)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rows = met.select(shard.alias("group"), "id", "fp", "tree").repartition("group").sortWithinPartitions("group", "id")
@@ -248,3 +257,75 @@ def similar_groups(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+#: What near copies share: this part of their distinct shingles of so many words.
+SIMILARITY, SHINGLE_WORDS = 0.8, 5
+#: Texts with that in common differ in few words, so fingerprints of their distinct words are at most so far apart.
+WORD_RADIUS = 6
+
+
+def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(id, shingles): the distinct shingle hashes of each text of ``docs`` (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step, texts in in_steps(batches):
+            sets = [np.unique(shingle_hashes(x, words)).view(np.int64) for x in texts]
+            offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([step.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["id", "shingles"])
+
+    return docs.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
+
+
+def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, radius: int = WORD_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, component) for every row: rows of one component are near copies of each other, directly or by way of others.
+
+    Candidates are texts whose fingerprints of distinct words are within ``radius`` bits: for each text its nearest in
+    each bucket, and enough others to connect all. Of these, pairs that share ``similarity`` of their distinct shingles
+    of ``words`` words (Jaccard) are links. Equal texts are one node; null, empty and blank texts are near copies of each other.
+    """
+    marked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    hashed = marked.select(text_hash("text").alias("doc_id"), "text")
+    prints = written(fingerprints(hashed, 1, distinct=True).select(F.col("doc_id").alias("id"), "fp").distinct(), "word-fingerprints")
+    heads = prints.groupBy("fp").agg(F.min("id").alias("head"))
+    equal = prints.join(heads, "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    near = fingerprint_links(heads.select(F.col("head").alias("id"), "fp"), radius, nearest=True)
+    pairs = written(equal.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = shingle_sets(rows_of(marked, met).dropDuplicates(["id"]), words)
+    sets = written(sets, "shingles")
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    either = F.size("x") + F.size("y") - both
+    links = pairs.join(left, "a").join(right, "b").where((either == 0) | (both >= similarity * either)).select("a", "b")
+    groups = components(links, "copies").withColumnRenamed("node", "_node")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_hash(text_col).alias("text_hash"))
+    return rows.join(groups, F.col("text_hash") == F.col("_node"), "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("component"))
+
+
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the rows of ``docs`` whose text hash is in ``ids``; up to BROADCAST_IDS ids are sent to the texts."""
+    ids = written(ids, "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.select(text_hash("text").alias("id"), "text").join(ids, "id", "left_semi")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one of the smallest id. Columns stay.
+
+    A row that is wholly repeated, id and text, stays once. A row without id stays only where no row of its group has one.
+    """
+    rows = written(near_copy_groups(docs, id_col=id_col, text_col=text_col, **settings), "copy-groups")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    gone = rows.join(first, "component").where(~kept).select(F.col("doc_id").alias("id"), "text_hash")
+    left = without_rows(docs, gone, id_col, text_col)
+    again = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), "text_hash")
+    if not again.take(1):
+        return left
+    once = left.withColumns({"_id": F.col(id_col).cast("bigint"), "_hash": text_hash(text_col)})
+    again = again.select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
+    repeated = once.join(again, same, "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
+    return without_rows(left, again.select(F.col("_i").alias("id"), F.col("_h").alias("text_hash")), id_col, text_col).unionByName(repeated)
