@@ -33,8 +33,8 @@ LENGTH, GRAM = 200, 32
 GROUP_ROWS = 32_768
 #: A longer text is read in blocks of so many window starts.
 BLOCK = 1 << 22
-#: Classes whose spans may be broadcast to the texts; more are joined by shuffle.
-BROADCAST_CLASSES = 100_000
+#: Spans that may be broadcast to the texts (some 30 MB); more are joined by shuffle.
+BROADCAST_SPANS = 400_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _PLACES = np.uint64((1 << 28) - 1)
@@ -46,25 +46,37 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """64-bit hash of the ``gram`` bytes from each place on."""
-    n = len(data)
-    power = _powers(int(_BASE), n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, dtype=np.uint64, out=sums[1:])
-    inverse = _powers(pow(int(_BASE), -1, 1 << 64), n)
-    x = (sums[gram:] - sums[: n + 1 - gram]) * inverse[: n + 1 - gram]
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+class Hashes:
+    """Hashes of any substring of ``data`` by running sums."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(int(_BASE), n), dtype=np.uint64, out=self.sums[1:])
+        self.inverse = _powers(pow(int(_BASE), -1, 1 << 64), n)
+
+    def grams(self, size: int) -> np.ndarray:
+        n = len(self.inverse) - size + 1
+        return self._mixed((self.sums[size:] - self.sums[:n]) * self.inverse[:n])
+
+    def parts(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return self._mixed((self.sums[stop] - self.sums[start]) * self.inverse[start])
+
+    @staticmethod
+    def _mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """For texts that stand one after the other in ``data``: the text, the anchor's hash and place, and the first
-    and the number of the window starts of each anchor (places within the text). Texts below ``length`` bytes have none."""
+    """For texts that stand one after the other in ``data``: the text, the anchor's hash and place, the first and the
+    number of the window starts of each anchor, and a hash of the bytes of all its windows (places in ``data``). Texts
+    below ``length`` bytes have none."""
     ends = np.r_[starts[1:], len(data)]
     if not (ends - starts >= length).any():
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64))
-    hashes = gram_hashes(data, gram)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64, np.uint64))
+    all_hashes = Hashes(data)
+    hashes = all_hashes.grams(gram)
     n = len(hashes)
     least = (hashes & ~_PLACES) | np.arange(n, dtype=np.uint64)
     width, reach = length - gram + 1, 1
@@ -79,8 +91,31 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: in
     place = np.repeat(starts - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
     anchor = (least[place] & _PLACES).astype(np.int64)
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])])
-    first, text = place[new], owner[new]
-    return text, hashes[anchor[new]], anchor[new] - starts[text], first - starts[text], np.diff(np.r_[new, len(place)])
+    first, n = place[new], np.diff(np.r_[new, len(place)])
+    return owner[new], hashes[anchor[new]], anchor[new], first, n, all_hashes.parts(first, first + n - 1 + length)
+
+
+def told_apart(data: bytes, key: np.ndarray, low: np.ndarray, first: np.ndarray, n: np.ndarray, digest: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which segments of one step are the first of their kind, and which have an equal one in the step (compared byte by byte)."""
+    order = np.lexsort((first, digest, n, low, key))
+    same = np.r_[False, (key[order][1:] == key[order][:-1]) & (low[order][1:] == low[order][:-1]) & (n[order][1:] == n[order][:-1]) & (digest[order][1:] == digest[order][:-1])]
+    leader, repeated = np.ones(len(key), bool), np.zeros(len(key), bool)
+    head = 0
+    for i, again in zip(order.tolist(), same.tolist()):
+        if not again:
+            head = i
+        elif data[first[i] : first[i] + n[i] - 1 + length] == data[first[head] : first[head] + n[head] - 1 + length]:
+            leader[i] = False
+            repeated[i] = repeated[head] = True
+    return leader, repeated
+
+
+def _joined(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (sorted by row and start, stops rising) with those that touch made one."""
+    if not len(row):
+        return row, start, stop
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] > stop[:-1])])
+    return row[new], start[new], stop[np.r_[new[1:] - 1, len(row) - 1]]
 
 
 def repeated_windows(columns: np.ndarray, groups: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
@@ -154,16 +189,25 @@ def _find_anchors(length: int, gram: int):
             parts = [(i, s, part) for i, x in enumerate(texts) for s, part in _blocks(x.encode(), length)]
             owner, base = np.array([p[0] for p in parts]), np.array([p[1] for p in parts], np.int64)
             starts = np.cumsum([0, *(len(p[2]) for p in parts[:-1])])
-            text, key, anchor, first, n = anchors(np.frombuffer(b"".join(p[2] for p in parts), np.uint8), starts, length, gram)
-            row = owner[text]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(a[row]), pa.array(size[row]), pa.array(first + base[text]), pa.array((first - anchor + length - gram).astype(np.int32)), pa.array(n.astype(np.int32))],
-                names=["key", "a", "bytes", "start", "low", "n"],
-            )
+            data = b"".join(p[2] for p in parts)
+            text, key, anchor, first, n, digest = anchors(np.frombuffer(data, np.uint8), starts, length, gram)
+            low = first - anchor + length - gram
+            # Equal segments of one step (periodic stretches, near copies) are settled here; one of them stands for all.
+            leader, repeated = told_apart(data, key, low, first, n, digest, length)
+            move = (base - starts)[text] if len(text) else np.zeros(0, np.int64)
+            row, start, stop = _joined(text[repeated], (first + move)[repeated], (first + move + n - 1 + length)[repeated])
+            yield _places(a[owner[text[leader]]], size[owner[text[leader]]], (first + move)[leader], n[leader], key[leader].view(np.int64), low[leader])
+            if len(row):
+                yield _places(a[owner[row]], size[owner[row]], start, stop - start, None, np.zeros(len(row), np.int64))
 
     return run
 
 
+def _places(a: np.ndarray, size: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray | None, low: np.ndarray) -> pa.RecordBatch:
+    keys = pa.nulls(len(a), pa.int64()) if key is None else pa.array(key, pa.int64())
+    return pa.RecordBatch.from_arrays([keys, pa.array(a), pa.array(size), pa.array(start, pa.int64()), pa.array(low, pa.int32()), pa.array(n, pa.int32())], names=_NAMES[:6])
+
+
 def _cut_segments(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step, texts in in_steps(batches, text=2):
@@ -253,10 +297,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     classes = written(classed.groupBy("a", "bytes").agg(F.count("*").alias("copies"), F.min("doc_id").alias("one")), "text-classes")
     places = classed.where(F.col("bytes") >= length).select("a", "bytes", "text").mapInArrow(_find_anchors(length, gram), f"key bigint, {_CLASS}, start bigint, low int, n int")
     places = written(places, "anchors")
-    # Keys at two different places; the copies of a class are the same place, whatever their number.
-    place = F.xxhash64("a", "bytes", "start")
-    keys = places.groupBy("key").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("rows")).where("x <> y").select("key", "rows")
-    shared = places.join(keys, "key").groupBy("a", "bytes").agg(F.collect_set(F.struct("key", "start", "low", "n", "rows")).alias("windows"))
+    settled = places.where("key IS NULL").select("a", "bytes", "start", (F.col("start") + F.col("n")).alias("stop"))
+    places = places.where("key IS NOT NULL")
+    keys = places.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = places.join(keys.select("key"), "key").groupBy("a", "bytes").agg(F.collect_set(F.struct("key", "start", "low", "n")).alias("windows"))
     members = shared.join(classes, ["a", "bytes"]).select("a", "bytes", F.col("one").alias("doc_id"), "windows")
     # One member of each class carries the text; its id keeps the copies of a hot text apart.
     same = [F.col("t.a") == F.col("m.a"), F.col("t.bytes") == F.col("m.bytes"), F.col("t.doc_id").eqNullSafe(F.col("m.doc_id"))]
@@ -269,10 +313,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     hot = keys.where(F.col("rows") > group_rows).select("key")
     cut = _cut_segments(length)
     if not hot.take(1):
-        return classes, judged(texts.mapInArrow(cut, _SEGMENT))
+        return classes, settled.unionByName(judged(texts.mapInArrow(cut, _SEGMENT)))
     segments = written(texts.mapInArrow(cut, _SEGMENT), "segments")
     few, many = _sized(segments, group_rows)
-    found = [judged(few)]
+    found = [settled, judged(few)]
     ranges = [(0, length - gram, written(many, "segments"))]
     while ranges:
         low, high, rows = ranges.pop()
@@ -295,21 +339,30 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     return classes, spans
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for step, texts in in_steps(batches, text=2):
-        spans, kept = [], []
-        for text, found in zip(texts, step.column(3).to_pylist()):
-            data, joined, at, out = text.encode(), [], 0, []
-            for x in sorted((x["start"], x["stop"]) for x in found):
-                if joined and x[0] <= joined[-1][1]:
-                    joined[-1] = (joined[-1][0], max(joined[-1][1], x[1]))
+_LISTED = f"{_CLASS}, spans array<struct<start:bigint,stop:bigint>>"
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for found in batch.column(2).to_pylist():
+            joined: list[dict] = []
+            for x in sorted(found, key=lambda x: (x["start"], x["stop"])):
+                if joined and x["start"] <= joined[-1]["stop"]:
+                    joined[-1]["stop"] = max(joined[-1]["stop"], x["stop"])
                 else:
                     joined.append(x)
-            for start, stop in joined:
-                out.append(data[at:start])
-                at = stop
-            spans.append(joined)
-            kept.append(b"".join([*out, data[at:]]))
+            out.append(joined)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, batch.column(2).type)], names=["a", "bytes", "spans"])
+
+
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for step, texts in in_steps(batches, text=2):
+        spans = [[(x["start"], x["stop"]) for x in found] for found in step.column(3).to_pylist()]
+        kept = []
+        for text, found in zip(texts, spans):
+            data = text.encode()
+            kept.append(b"".join(data[a:b] for (_, a), (b, _) in zip([(0, 0), *found], [*found, (len(data), 0)])))
         yield pa.RecordBatch.from_arrays(
             [step.column(0), step.column(1), pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(kept, pa.binary())],
             names=["a", "bytes", "n_removed", "n_spans", "kept"],
@@ -326,9 +379,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     classes, spans = repeated_spans(rows, length, gram, group_rows)
-    listed = written(spans.groupBy("a", "bytes").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
-    listed = listed.join(classes.where("copies = 1").select("a", "bytes"), ["a", "bytes"])
-    if listed.count() <= BROADCAST_CLASSES:
+    single = classes.where("copies = 1").select("a", "bytes")
+    listed = spans.groupBy("a", "bytes").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).join(single, ["a", "bytes"])
+    listed = written(listed.select("a", "bytes", "spans").mapInArrow(_merged, _LISTED), "spans")
+    if (listed.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS:
         listed = F.broadcast(listed)
     changed = rows.select("text", *text_class()).join(listed, ["a", "bytes"]).select("a", "bytes", "text", "spans")
     left = changed.mapInArrow(_removed, f"{_CLASS}, n_removed bigint, n_spans bigint, kept binary").select("a", "bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
