@@ -9,7 +9,9 @@ prefix sums of their token counts give the place of each shard in the whole stor
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -25,10 +27,21 @@ from pyspark.sql import types as T
 from tallywatch.llm.common import in_steps
 
 #: Words whose ids a Python worker remembers; it forgets all when it has so many.
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 1_200_000
 _SHARD = "shard int, file string, width int, docs bigint, nulls bigint, tokens bigint"
 
 
+def _byte_chars() -> dict[int, str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others by number from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_CHARS = _byte_chars()
+_BLANK = _BYTE_CHARS[32]
+
+
 class WordEncoder:
     """Ids of texts by a byte-level BPE of the tokenizers library, word by word.
 
@@ -43,54 +56,79 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = f"<u{self.width}"
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are packed in the byte order of the machine, which must be little-endian")
+        self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
+        # Ids of words after a blank, and of words at the start of a line.
         self.known: dict[str, bytes] = {}
+        self.begun: dict[str, bytes] = {}
+        self.line_end = self.whole(["\n"])[0]
         # Only for a plain byte-level BPE may the text be taken apart.
         split = self.tokenizer.pre_tokenizer
         self.apart = isinstance(split, pre_tokenizers.ByteLevel) and not split.add_prefix_space and self.tokenizer.normalizer is None
+        self.model = self.tokenizer.model
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def letters(self, words: list[str], blank: str = _BLANK) -> list[bytes]:
+        """Ids of words of letters only: with or without a blank, each is one token before merging, so the merges alone are asked for."""
+        merge, code = self.model.tokenize, self.code
+        spelled = (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS) for w in words)
+        return [array(code, [x.id for x in merge(blank + w)]).tobytes() for w in spelled]
 
     def learn(self, words: list[str]) -> None:
         """Remember new words (without their blank). A mark after letters is a token of its own, so such words share the letters."""
         marked = [w for w in words if w[-1:] in {".", ",", "!", "|", ";"} and w[:-1].isalpha()]
         stems = {w[:-1] for w in marked} - self.known.keys()
         marks = dict(zip(m := sorted({w[-1] for w in marked}), self.whole(m)))
-        rest = list(stems | (set(words) - set(marked)))
+        plain = [w for w in words if w.isalpha()]
+        stems = list(stems | set(plain))
+        self.known.update(zip(stems, self.letters(stems)))
+        rest = list(set(words).difference(marked, plain))
         self.known.update(zip(rest, self.whole([" " + w for w in rest])))
         self.known.update((w, self.known[w[:-1]] + marks[w[-1]]) for w in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
         out: list[bytes | None] = [None] * len(texts)
-        parts: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            if self.apart and not any(s in text for s in self.special):
-                # White space next to a blank belongs together: such stretches are one "word" that keeps its blanks.
-                parts.append((i, _words(text)))
-        heads = dict(zip([i for i, _ in parts], self.whole([w[0] for _, w in parts])))
-        new = set().union(*(w[1:] for _, w in parts)) if parts else set()
-        if len(self.known) + len(new) > KNOWN_WORDS:
+        apart = [i for i, x in enumerate(texts) if self.apart and not any(s in x for s in self.special)]
+        words = {i: texts[i].split(" ") for i in apart}
+        # Lines are split off too: a lone line end between two non-blanks is a token of its own.
+        lines = {i: [x.split(" ") for x in texts[i].split("\n")] for i in apart}
+        words = lambda: set().union(*(line for found in lines.values() for line in found))
+        seen = words()
+        # Known words stand at lone blanks, so only new ones need be looked at.
+        if loose := {w for w in seen - self.known.keys() - self.begun.keys() if not _tight(w)}:
+            for i in apart:
+                if not all(map(loose.isdisjoint, lines[i])):
+                    lines[i] = [_words(texts[i])]
+            seen = words()
+        if len(self.known) + len(seen) > KNOWN_WORDS:
             self.known.clear()
-        new -= self.known.keys()
-        if new:
-            self.learn(sorted(new))
-        known = self.known.__getitem__
-        for i, words in parts:
-            out[i] = heads[i] + b"".join(map(known, words[1:]))
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self.whole([texts[i] for i in rest])):
+        if len(self.begun) + len(seen) > KNOWN_WORDS:
+            self.begun.clear()
+        self.learn(list(set().union(*(line[1:] for found in lines.values() for line in found)) - self.known.keys()))
+        heads = {line[0] for found in lines.values() for line in found} - self.begun.keys()
+        plain = [w for w in heads if w.isalpha()]
+        self.begun.update(zip(plain, self.letters(plain, "")))
+        odd = [w for w in heads.difference(plain) if _tight(w)]
+        self.begun.update(zip(odd, self.whole(odd)))
+        rest = [w for w in heads if not _tight(w)]
+        begun = dict(zip(rest, self.whole(rest)))
+        known, start = self.known.__getitem__, self.begun.get
+        for i, found in lines.items():
+            out[i] = self.line_end.join([(begun[line[0]] if line[0] in begun else start(line[0])) + b"".join(map(known, line[1:])) for line in found])
+        left = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(left, self.whole([texts[i] for i in left])):
             out[i] = x
         return out
 
 
 def _words(text: str) -> list[str]:
-    """Pieces that, joined by blanks, are the text; no piece but the first is empty, starts or ends at white space beside its blank."""
+    """Pieces that, joined by blanks, are the text; no blank between two pieces has white space beside it."""
     words = text.split(" ")
-    if all(map(_tight, words)):
-        return words
     out = [words[0]]
     for w in words[1:]:
         if _tight(w) and out[-1] and not out[-1][-1].isspace():
