@@ -205,27 +205,33 @@ def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], groups:
 
 
 def leading_rows(df: DataFrame, column: str, k: int, descending: bool = False, position: Column | None = None,
-                 direct: int = 1000) -> DataFrame:
-    """The k first rows along a column without gathering k rows per task.
+                 tie: str | None = None) -> DataFrame:
+    """The k first rows along a column without gathering k rows per task; nulls come first, descending last.
 
-    A small k is a plain top-k. For a larger one the k-th value is found by
-    selection and the rows are filtered by it; ``position`` is a numeric column
-    that grows with ``column`` (needed for text). Rows that tie with the k-th
-    value are ordered and cut among themselves.
+    The k-th value is found by selection and the rows are filtered by it, for any k;
+    ``position`` is a numeric column that grows with ``column`` (needed for text). Rows
+    that tie with the k-th value are ordered by ``column``, then ``tie``, and cut among themselves.
     """
-    order = F.col(column).desc() if descending else F.col(column).asc()
-    if k <= direct:
-        return df.orderBy(order).limit(k)
-    if df.count() <= k:
-        return df
+    order = [F.col(column).desc() if descending else F.col(column).asc(), *([F.col(tie)] if tie else [])]
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.count(column).alias("known")).first()
+    nulls = size["rows"] - size["known"]
+    wanted = min(size["known"], k if descending else max(0, k - nulls))
+    some_nulls = min(nulls, k - wanted)
+    empty, known = df.where(F.col(column).isNull()), df.where(F.col(column).isNotNull())
+    if some_nulls < nulls:
+        empty = empty.orderBy(*order).limit(some_nulls)
+    if wanted == size["known"]:
+        return known.unionByName(empty)
+    if not wanted:
+        return empty
     place = (F.col(column) if position is None else position).cast("double")
-    placed = df.withColumn("_place", -place if descending else place)
+    placed = known.withColumn("_place", -place if descending else place)
     counts = placed.groupBy("_place").agg(F.count("*").alias("n"))
     ranked = running(counts, "_place", {"n": "n"}, bounds=value_bounds(placed, "_place"))
-    edge = ranked.where((F.col("n_before") < k) & (F.col("n_before") + F.col("n") >= k)).select("_place", "n_before").first()
+    edge = ranked.where((F.col("n_before") < wanted) & (F.col("n_before") + F.col("n") >= wanted)).select("_place", "n_before").first()
     inside = placed.where(F.col("_place") < edge["_place"])
-    ties = placed.where(F.col("_place") == edge["_place"]).orderBy(order).limit(k - edge["n_before"])
-    return inside.unionByName(ties).drop("_place")
+    ties = placed.where(F.col("_place") == edge["_place"]).orderBy(*order).limit(wanted - edge["n_before"])
+    return inside.unionByName(ties).drop("_place").unionByName(empty)
 
 
 def block_of(order: str, width: int) -> Column:

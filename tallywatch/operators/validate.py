@@ -93,16 +93,15 @@ def manual_event_rules(columns: Sequence[str]) -> dict[str, Column]:
 
 
 def normalize_alerts(df: DataFrame) -> DataFrame:
-    """One naming for alerts from any source; names already in place win.
+    """One naming for alerts from any source; row by row, a value under the new name wins.
 
     Adds a stable alert id, the event date and the event hour where absent.
     """
     out = df
     for source, target in FIELD_ALIASES.items():
         if source in out.columns:
-            if target not in out.columns:
-                out = out.withColumn(target, F.col(source))
-            out = out.drop(source)
+            present = [F.col(target)] if target in out.columns else []
+            out = out.withColumn(target, F.coalesce(*present, F.col(source))).drop(source)
     supplied = F.col("alert_id") if "alert_id" in out.columns else None
     fields = [c for c in out.columns if c != "alert_id"]
     if "transaction_id" in out.columns:

@@ -59,11 +59,12 @@ def spread(df: DataFrame) -> DataFrame:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared checkpoint root of the session.
 
-    ``spark.checkpoint.dir`` names the shared root on a cluster. Only where it
-    is unset (tests, a laptop) is a local temporary folder chosen.
+    ``spark.checkpoint.dir`` names the shared root on a cluster. Only a local master,
+    where all tasks run on this machine, may do without: it gets a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "tallywatch-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

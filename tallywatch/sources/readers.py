@@ -6,15 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from tallywatch.schema import CSV_TEXT, CSV_TYPED, TRANSACTION_EVENT
 
-MAX_OFFSETS_PER_TRIGGER = 500
-
-
-def kafka_events(spark: SparkSession, servers: str, topic: str, max_offsets: int = MAX_OFFSETS_PER_TRIGGER) -> DataFrame:
-    """Raw event stream of a topic; needs the Kafka package on the class path."""
-    raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-           .option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", max_offsets)
-           .option("failOnDataLoss", "false").load())
-    return raw.select("key", "value", "topic", "partition", "offset", "timestamp")
+def kafka_events(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None,
+                 fail_on_data_loss: bool = True) -> DataFrame:
+    """Raw event stream of a topic; needs the Kafka package on the class path. ``max_offsets`` bounds a micro-batch."""
+    source = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
+              .option("startingOffsets", "earliest").option("failOnDataLoss", str(fail_on_data_loss).lower()))
+    if max_offsets is not None:
+        source = source.option("maxOffsetsPerTrigger", max_offsets)
+    return source.load().select("key", "value", "topic", "partition", "offset", "timestamp")
 
 
 def file_events(spark: SparkSession, path: str, schema: T.StructType, **options: object) -> DataFrame:

@@ -181,11 +181,28 @@ def test_leading_rows_by_selection(spark):
     from tallywatch.operators.ordered import leading_rows
 
     df = spark.range(5000).select("id", (F.col("id") % 50).alias("v"), F.concat(F.lit("C"), F.col("id")).alias("name")).repartition(6)
-    big = leading_rows(df, "v", 1234, direct=10).collect()
+    big = leading_rows(df, "v", 1234).collect()
     assert len(big) == 1234 and sorted(r["v"] for r in big) == sorted(i % 50 for i in range(5000))[:1234]
-    newest = {r["id"] for r in leading_rows(df, "id", 1500, descending=True, direct=10).collect()}
+    newest = {r["id"] for r in leading_rows(df, "id", 1500, descending=True).collect()}
     assert newest == set(range(3500, 5000))
     prefix = F.conv(F.rpad(F.hex(F.substring(F.encode("name", "UTF-8"), 1, 3)), 6, "0"), 16, 10).cast("long")
-    names = sorted(r["name"] for r in leading_rows(df, "name", 2000, position=prefix, direct=10).collect())
+    names = sorted(r["name"] for r in leading_rows(df, "name", 2000, position=prefix).collect())
     assert names == sorted(f"C{i}" for i in range(5000))[:2000]
-    assert leading_rows(df, "id", 9000, direct=10).count() == 5000
+    assert leading_rows(df, "id", 9000).count() == 5000
+
+
+def test_leading_rows_count_nulls_for_any_k(spark):
+    from tallywatch.operators.ordered import leading_rows
+
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else float(i % 700)) for i in range(5000)], "id long, v double")
+    for k in (0, 1, 400, 500, 900, 1500, 4999, 6000):
+        for descending in (False, True):
+            rows = leading_rows(df, "v", k, descending, tie="id").collect()
+            key = lambda r: ((r["v"] is not None) != descending, (-r["v"] if descending else r["v"]) if r["v"] is not None else 0, r["id"])
+            assert {r["id"] for r in rows} == {r["id"] for r in sorted(df.collect(), key=key)[:k]}
+            assert len(rows) == min(k, 5000)
+
+
+def test_alert_names_are_merged_row_by_row(spark):
+    df = spark.createDataFrame([("PAYMENT", None), (None, "DEBIT"), ("A", "B")], "type string, transaction_type string")
+    assert [r["transaction_type"] for r in validate.normalize_alerts(df).collect()] == ["PAYMENT", "DEBIT", "B"]
