@@ -8,11 +8,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Text handed to one numpy step, in characters; a longer single text is its own step.
+#: Text handed to one numpy step, in bytes.
 STEP_CHARS = 1_000_000
 
 
@@ -44,17 +45,19 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def in_steps(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Arrow batches cut into steps of about ``most`` characters, with their texts (null as empty)."""
+    """Arrow batches cut into steps of about ``most`` bytes of text, with their texts (null as empty).
+
+    Only the texts of one step are Python strings at a time; a longer single text is a step of its own.
+    """
     for batch in batches:
-        texts = [x or "" for x in batch.column(text).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start = size = 0
-        for i, x in enumerate(texts):
-            if size and size + len(x) > most:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate([*sizes, most + 1]):
+            if i > start and (size + n > most or i == batch.num_rows):
+                part = batch.slice(start, i - start)
+                yield part, [x or "" for x in part.column(text).to_pylist()]
                 start, size = i, 0
-            size += len(x) + 1
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            size += n + 1
 
 
 def append_columns(docs: DataFrame, text_col: str, fields: list[T.StructField], run: Callable[[list[str]], list[pa.Array]]) -> DataFrame:

@@ -21,7 +21,7 @@ from tallywatch.llm.common import append_columns
 
 MARK = "▁"
 #: Words whose ids a Python worker remembers; it forgets all when it has so many.
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 600_000
 #: A BPE model has merge ranks, no probabilities: a piece of rank r scores -ln(r + 2) - PIECE_COST.
 PIECE_COST = 6.0
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")

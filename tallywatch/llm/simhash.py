@@ -32,7 +32,7 @@ BUCKET_ROWS = 64
 #: Fingerprints of one tree; a larger bucket gets more trees.
 SHARD_ROWS = 16_384
 #: (query, node) pairs of one step of a search.
-_PAIRS = 1 << 20
+_PAIRS = 1 << 18
 
 _UNNAMED = 1 << 62
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
