@@ -44,20 +44,25 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
 
 
+def cuts(sizes: list[int], most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
+    """(start, rows) of steps of rows of at most ``most`` in all; a larger single row is a step of its own."""
+    start = size = 0
+    for i, n in enumerate([*sizes, most + 1]):
+        if i > start and (size + n > most or i == len(sizes)):
+            yield start, i - start
+            start, size = i, 0
+        size += n + 1
+
+
 def in_steps(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Arrow batches cut into steps of about ``most`` bytes of text, with their texts (null as empty).
 
     Only the texts of one step are Python strings at a time; a longer single text is a step of its own.
     """
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
-        start = size = 0
-        for i, n in enumerate([*sizes, most + 1]):
-            if i > start and (size + n > most or i == batch.num_rows):
-                part = batch.slice(start, i - start)
-                yield part, [x or "" for x in part.column(text).to_pylist()]
-                start, size = i, 0
-            size += n + 1
+        for start, rows in cuts(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist(), most):
+            part = batch.slice(start, rows)
+            yield part, [x or "" for x in part.column(text).to_pylist()]
 
 
 def append_columns(docs: DataFrame, text_col: str, fields: list[T.StructField], run: Callable[[list[str]], list[pa.Array]]) -> DataFrame:

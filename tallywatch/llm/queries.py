@@ -143,12 +143,15 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    # Written between the two, so that a task has one Python worker at a time.
+    coded = common.written(coded.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "piece_ids"), "piece-ids")
+    decoded = F.sha2("decoded", 256)
     return pieces.decode(coded, path).select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
         F.xxhash64("piece_ids").alias("ids_hash"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same_text"),
+        decoded.alias("decoded_sha256"),
+        (decoded == F.col("text_sha256")).alias("same_text"),
     )
 
 
