@@ -36,7 +36,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, and the text that they decode to."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), path)
+    # Written between the two, so that a task has one Python worker at a time.
+    coded = written(pieces.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), "piece-ids")
     return pieces.decode(coded, path).select("doc_id", "lang", "source", F.col("decoded").alias("text"), F.size("piece_ids").alias("n_pieces"), "piece_ids")
 
 
