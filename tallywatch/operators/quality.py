@@ -66,7 +66,9 @@ def _without(item: Column, keys: Sequence[str], strings: bool) -> Column:
 def _parsed(df: DataFrame, json: str) -> DataFrame:
     """Parse once; the rules read the parsed column many times."""
     keys = F.coalesce(F.json_object_keys(json), F.array().cast("array<string>"))
-    return df.withColumns({"_doc": F.try_parse_json(json), "_keys": keys})
+    groups = F.json_object_keys(F.get_json_object(json, "$.historical_comparison"))
+    return df.withColumns({"_doc": F.try_parse_json(json), "_keys": keys,
+                           "_groups": F.coalesce(groups, F.array().cast("array<string>"))})
 
 
 def _shape_rules(doc: Column, keys: Column, required: Sequence[str], allowed: Sequence[str], stored: bool) -> dict[str, Column]:
@@ -88,10 +90,11 @@ def _shape_rules(doc: Column, keys: Column, required: Sequence[str], allowed: Se
 
         rules[f"not_strings:{key}"] = F.exists(_items(_get(doc, key)), bad_text)
     comparison = _get(doc, "historical_comparison")
-    missing_group = F.lit(False)
+    # A generated payload may hold more groups, a stored result may not.
+    wrong_group = F.lit(stored) & (F.size(F.array_except("_groups", F.array(*[F.lit(g) for g in CASE_GROUPS]))) > 0)
     for group in CASE_GROUPS:
-        missing_group = missing_group | ~_is(_get(comparison, group), "ARRAY")
-    rules["invalid:historical_comparison"] = here("historical_comparison") & (~_is(comparison, "OBJECT") | missing_group)
+        wrong_group = wrong_group | ~_is(_get(comparison, group), "ARRAY")
+    rules["invalid:historical_comparison"] = here("historical_comparison") & (~_is(comparison, "OBJECT") | wrong_group)
     for group in CASE_GROUPS:
         rules[f"invalid:historical_comparison.{group}"] = F.exists(
             _items(_get(comparison, group)), lambda i: _without(i, ["source_id", "comparison"], not stored))
@@ -105,7 +108,7 @@ def _shape_rules(doc: Column, keys: Column, required: Sequence[str], allowed: Se
 def check_payloads(df: DataFrame, json: str) -> DataFrame:
     """Adds ``violations``: every rule that a generated payload breaks, in rule order."""
     rules = _shape_rules(F.col("_doc"), F.col("_keys"), PAYLOAD_KEYS, PAYLOAD_KEYS, stored=False)
-    return _parsed(df, json).withColumn("violations", violations(rules)).drop("_doc", "_keys")
+    return _parsed(df, json).withColumn("violations", violations(rules)).drop("_doc", "_keys", "_groups")
 
 
 def check_results(df: DataFrame, json: str) -> DataFrame:
@@ -113,11 +116,13 @@ def check_results(df: DataFrame, json: str) -> DataFrame:
     doc = F.col("_doc")
     required = [*PAYLOAD_KEYS, *RESULT_ONLY_KEYS]
     rules = _shape_rules(doc, F.col("_keys"), required, [*required, *OPTIONAL_RESULT_KEYS], stored=True)
-    status = _text(doc, "investigation_status")
-    rules["invalid:investigation_status"] = status.isNotNull() & ~status.isin(RESULT_STATUSES)
+    # A key with a JSON null is there, and null is no valid value.
+    here = lambda key: F.array_contains("_keys", key)  # noqa: E731 - one-line predicate
+    known = F.coalesce(_text(doc, "investigation_status").isin(RESULT_STATUSES), F.lit(False))
+    rules["invalid:investigation_status"] = here("investigation_status") & ~known
     assessment = _get(doc, "alert_assessment")
-    rules["invalid:alert_assessment"] = assessment.isNotNull() & _without(assessment, ASSESSMENT_KEYS, False)
-    return _parsed(df, json).withColumn("violations", violations(rules)).drop("_doc", "_keys")
+    rules["invalid:alert_assessment"] = here("alert_assessment") & _without(assessment, ASSESSMENT_KEYS, False)
+    return _parsed(df, json).withColumn("violations", violations(rules)).drop("_doc", "_keys", "_groups")
 
 
 def investigation_status(status: str = "retrieval_status", missing: str = "missing_evidence") -> Column:

@@ -212,3 +212,21 @@ def test_supported_claims_stay(spark):
     texts = [r[0] for r in df.select(quality.guarded_claim(
         F.col("t"), F.col("src"), F.array(F.lit("amount")), F.lit("a text on balance patterns"))).collect()]
     assert texts[0].startswith("The customer") and texts[1].startswith("RBI treats")
+
+
+def test_results_refuse_null_status_and_extra_groups(spark):
+    import json
+
+    from tallywatch.operators import quality
+
+    good = {key: [] for key in quality.PAYLOAD_KEYS} | {key: "x" for key in quality.RESULT_ONLY_KEYS} | {
+        "investigation_summary": "text", "investigation_status": "completed", "historical_comparison": {"fraud_cases": [], "normal_cases": []},
+        "alert_assessment": {key: None for key in quality.ASSESSMENT_KEYS}}
+    wider = {"historical_comparison": good["historical_comparison"] | {"other_cases": []}}
+    cases = [{}, {"investigation_status": None}, wider, {"alert_assessment": None}, {"historical_comparison": None}]
+    df = spark.createDataFrame([(i, json.dumps(good | change)) for i, change in enumerate(cases)], "id int, payload string")
+    found = {r["id"]: r["violations"] for r in quality.check_results(df, "payload").collect()}
+    assert found == {0: [], 1: ["invalid:investigation_status"], 2: ["invalid:historical_comparison"],
+                     3: ["invalid:alert_assessment"], 4: ["invalid:historical_comparison"]}
+    payload = {key: good[key] for key in quality.PAYLOAD_KEYS} | wider
+    assert quality.check_payloads(spark.createDataFrame([(json.dumps(payload),)], "payload string"), "payload").first()["violations"] == []
