@@ -40,6 +40,8 @@ def _byte_chars() -> dict[int, str]:
 
 _BYTE_CHARS = _byte_chars()
 _BLANK = _BYTE_CHARS[32]
+#: Marks that are tokens of their own after letters, whatever follows the blank behind them.
+_MARKS = ".,!|;"
 
 
 class WordEncoder:
@@ -59,9 +61,8 @@ class WordEncoder:
         if sys.byteorder != "little":
             raise RuntimeError("ids are packed in the byte order of the machine, which must be little-endian")
         self.kind, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
-        # Ids of words after a blank, and of words at the start of a line.
+        # Ids of words after a blank, and of words after a line end, which stands in front of their key.
         self.known: dict[str, bytes] = {}
-        self.begun: dict[str, bytes] = {}
         self.line_end = self.whole(["\n"])[0]
         # Only for a plain byte-level BPE may the text be taken apart.
         split = self.tokenizer.pre_tokenizer
@@ -78,48 +79,53 @@ class WordEncoder:
         spelled = (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARS) for w in words)
         return [array(code, [x.id for x in merge(blank + w)]).tobytes() for w in spelled]
 
-    def learn(self, words: list[str]) -> None:
-        """Remember new words (without their blank). A mark after letters is a token of its own, so such words share the letters."""
-        marked = [w for w in words if w[-1:] in {".", ",", "!", "|", ";"} and w[:-1].isalpha()]
-        stems = {w[:-1] for w in marked} - self.known.keys()
-        marks = dict(zip(m := sorted({w[-1] for w in marked}), self.whole(m)))
+    def learn(self, words: set[str]) -> None:
+        """Remember new words. A mark after letters is a token of its own, so such words share the letters."""
+        heads = [w for w in words if w[0] == "\n"]
+        begun = [w for w in heads if w[1:].isalpha()]
+        self.known.update(zip(begun, (self.line_end + x for x in self.letters([w[1:] for w in begun], ""))))
+        odd = list(set(heads).difference(begun))
+        self.known.update(zip(odd, self.whole(odd)))
+        words = words.difference(heads)
+        marked = [w for w in words if w[-1] in _MARKS and w[:-1].isalpha()]
         plain = [w for w in words if w.isalpha()]
-        stems = list(stems | set(plain))
+        # Differences with the dictionary itself: with its keys, all of them would be walked through.
+        stems = list({w[:-1] for w in marked}.union(plain).difference(self.known))
         self.known.update(zip(stems, self.letters(stems)))
-        rest = list(set(words).difference(marked, plain))
-        self.known.update(zip(rest, self.whole([" " + w for w in rest])))
+        marks = dict(zip(_MARKS, self.whole(list(_MARKS))))
         self.known.update((w, self.known[w[:-1]] + marks[w[-1]]) for w in marked)
+        rest = list(words.difference(marked, plain))
+        self.known.update(zip(rest, self.whole([" " + w for w in rest])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        apart = [i for i, x in enumerate(texts) if self.apart and not any(s in x for s in self.special)]
-        words = {i: texts[i].split(" ") for i in apart}
-        # Lines are split off too: a lone line end between two non-blanks is a token of its own.
-        lines = {i: [x.split(" ") for x in texts[i].split("\n")] for i in apart}
-        words = lambda: set().union(*(line for found in lines.values() for line in found))
-        seen = words()
+        # A lone line end between two non-blanks is a token of its own, so lines are taken apart too: it goes
+        # in front of the word that follows, and one before the text makes its first word such a word.
+        keys = {i: ("\n" + x).replace("\n", " \n").split(" ")[1:] for i, x in enumerate(texts) if self.apart and not any(s in x for s in self.special)}
+        seen = set().union(*keys.values())
+        new = seen.difference(self.known)
         # Known words stand at lone blanks, so only new ones need be looked at.
-        if loose := {w for w in seen - self.known.keys() - self.begun.keys() if not _tight(w)}:
-            for i in apart:
-                if not all(map(loose.isdisjoint, lines[i])):
-                    lines[i] = [_words(texts[i])]
-            seen = words()
-        if len(self.known) + len(seen) > KNOWN_WORDS:
+        pieces = {}
+        if loose := {w for w in new if not _tight(w.removeprefix("\n"))}:
+            pieces = {i: _words(texts[i]) for i, found in keys.items() if not loose.isdisjoint(found)}
+            for i, found in pieces.items():
+                keys[i] = [w for w in found[1:] if _tight(w)]
+            seen = set().union(*keys.values())
+            new = seen.difference(self.known)
+        if len(self.known) + len(new) > KNOWN_WORDS:
             self.known.clear()
-        if len(self.begun) + len(seen) > KNOWN_WORDS:
-            self.begun.clear()
-        self.learn(list(set().union(*(line[1:] for found in lines.values() for line in found)) - self.known.keys()))
-        heads = {line[0] for found in lines.values() for line in found} - self.begun.keys()
-        plain = [w for w in heads if w.isalpha()]
-        self.begun.update(zip(plain, self.letters(plain, "")))
-        odd = [w for w in heads.difference(plain) if _tight(w)]
-        self.begun.update(zip(odd, self.whole(odd)))
-        rest = [w for w in heads if not _tight(w)]
-        begun = dict(zip(rest, self.whole(rest)))
-        known, start = self.known.__getitem__, self.begun.get
-        for i, found in lines.items():
-            out[i] = self.line_end.join([(begun[line[0]] if line[0] in begun else start(line[0])) + b"".join(map(known, line[1:])) for line in found])
+            new = seen
+        self.learn(new)
+        known, skip = self.known.__getitem__, len(self.line_end)
+        out: list[bytes | None] = [None] * len(texts)
+        for i, found in keys.items():
+            out[i] = b"".join(map(known, found))
+            if i not in pieces:
+                out[i] = out[i][skip:]
+        # The first word of such a text, and what ends in white space, is asked for as it stands.
+        for i, found in pieces.items():
+            first, last = self.whole([found[0], f" {found[-1]}"])
+            out[i] = first + out[i] + (last if len(found) > 1 and not _tight(found[-1]) else b"")
         left = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(left, self.whole([texts[i] for i in left])):
             out[i] = x
