@@ -113,10 +113,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as packed 32-bit integers."""
         parts = [None if MARK in x else _WORD.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
-        new = {w for p in parts if p for w in p}
+        seen = set().union(*(p for p in parts if p))
+        # A difference with the dictionary itself: with its keys, all of them would be walked through.
+        new = seen.difference(self.known)
         if len(self.known) + len(new) > KNOWN_WORDS:
             self.known.clear()
-        fresh = sorted(new - self.known.keys())
+            new = seen
+        fresh = sorted(new)
         self.known.update(zip(fresh, (np.array(x, "<i4").tobytes() for x in viterbi(fresh, self.pieces))))
         known = self.known.__getitem__
         return [self._with_marks(x) if p is None else b"".join(map(known, p)) for x, p in zip(texts, parts)]
