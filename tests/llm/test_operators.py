@@ -175,8 +175,21 @@ def test_encoder_equals_the_library():
     draw = random.Random(3)
     texts = ["", " ", "a\n b\tc \n\n d", "don't  stop,now!  ok.", "\n\nfoo bar\n", "a <|endoftext|> b", "one.\nTwo three\nfour "]
     texts += ["".join(draw.choice(" \n\tab.,!'é你1  ") for _ in range(draw.randint(0, 30))) for _ in range(500)]
-    for text, packed in zip(texts, encoder.encode(texts)):
-        assert np.frombuffer(packed, encoder.kind).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    # Words, line starts and white space that come again in later calls, where they stand in memory.
+    parts = ["a", "foo", "x.\n", "don't", "'s", "A's", "é", "1２", "\n", "\n\n", " ", "  ", "\t", "\r\n", "\u3000", "|", ";", "<|endoftext|>"]
+    texts += ["".join(draw.choices(parts, k=draw.randint(0, 10))) for _ in range(5000)]
+    for start in range(0, len(texts), 250):
+        step = texts[start : start + 250]
+        assert encoder.encode(step) == encoder.whole(step)
+    assert np.frombuffer(encoder.encode(["a foo"])[0], encoder.kind).tolist() == encoder.tokenizer.encode("a foo", add_special_tokens=False).ids
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "KNOWN_WORDS", 50)
+    encoder = tokenfiles.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for start in range(0, 400, 20):
+        step = [f"w{chr(97 + i % 26)}{i} again.\nline {i}" for i in range(start, start + 20)]
+        assert encoder.encode(step) == encoder.whole(step)
 
 
 def test_secrets(spark):
