@@ -261,8 +261,15 @@ def hex_fingerprint(fp: Column) -> Column:
 
 #: What near copies share: this part of their distinct shingles of so many words.
 SIMILARITY, SHINGLE_WORDS = 0.8, 5
-#: Texts with that in common differ in few words, so fingerprints of their distinct words are at most so far apart.
+#: Fingerprints of distinct words this close are the fast path to candidates. Copies that gained or lost a passage are
+#: often further apart, so what the fast path leaves apart is compared by shared shingles, which misses none.
 WORD_RADIUS = 6
+#: Texts that are looked at for frequent shingles, in how many of them a shingle is frequent, and the most that are kept.
+SAMPLE_TEXTS, FREQUENT, FREQUENT_ROWS = 4_000, 4, 200_000
+#: Rows of one shingle that stand in one cell; the rows of a more frequent one are dealt to the pairs of their blocks.
+CELL_ROWS = 2_048
+#: Bits of a text's sign: each shingle turns one over, so the signs of two texts differ in no more bits than the texts do in shingles.
+SIGN_BITS = 256
 
 
 def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -277,12 +284,133 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
+def frequent_shingles(texts: DataFrame, rows: int, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted hashes of shingles that are frequent in a sample of the ``rows`` texts of ``texts`` (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part in in_steps(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.unique(shingle_hashes(x, words)) for x in part]).view(np.int64))], names=["token"])
+
+    sample = texts.where(F.pmod("id", F.lit(max(1, rows // SAMPLE_TEXTS))) == 0)
+    counts = sample.select("id", "text").mapInArrow(run, "token bigint").groupBy("token").count().where(F.col("count") >= FREQUENT)
+    return np.sort(np.array([r.token for r in counts.orderBy(F.desc("count"), "token").limit(FREQUENT_ROWS).collect()], np.int64))
+
+
+def prefixes(texts: DataFrame, similarity: float, words: int, frequent: np.ndarray) -> DataFrame:
+    """(token, id, size, place, sign): the first shingles of each text of ``texts`` (id, text), in one order for all texts.
+
+    The order is by hash, with ``frequent`` ones last. Two texts that share ``similarity`` of their shingles share one
+    of so many first ones at least, whatever the order is. A text without words has the token 0. The sign stands at place 0 only.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value
+        for step, part in in_steps(batches):
+            sets = [np.unique(shingle_hashes(x, words)).view(np.int64) for x in part]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            rows = np.maximum(sizes, 1)
+            tokens = np.concatenate([x if len(x) else np.zeros(1, np.int64) for x in sets])
+            owner = np.repeat(np.arange(len(sets)), rows)
+            turns = np.bincount(owner * SIGN_BITS + (tokens & (SIGN_BITS - 1)), minlength=len(sets) * SIGN_BITS) & 1
+            signs = np.packbits(turns.astype(bool).reshape(len(sets), SIGN_BITS), axis=1)
+            if len(last):
+                late = last[np.minimum(np.searchsorted(last, tokens), len(last) - 1)] == tokens
+                tokens = tokens[np.lexsort((late, owner))]
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(rows) - rows, rows)
+            first = place <= (sizes - np.ceil(similarity * sizes - 1e-9))[owner]
+            owner, place = owner[first], place[first]
+            sign = pa.array([signs[i].tobytes() if not at else None for i, at in zip(owner.tolist(), place.tolist())], pa.binary())
+            ids = step.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[first]), pa.array(ids[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(place.astype(np.int32)), sign], names=["token", "id", "size", "place", "sign"])
+
+    return texts.select("id", "text").mapInArrow(run, "token bigint, id bigint, size int, place int, sign binary")
+
+
+def cell_pairs(groups: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, parts: np.ndarray, blocks: np.ndarray, signs: np.ndarray, similarity: float, one: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that meet in a group (sorted), are of different ``parts`` and can share ``similarity`` of their shingles.
+
+    ``blocks`` is -1, or the block of a row in a group that is for the pairs of two blocks only. With ``one``, a pair of parts gives one pair.
+    """
+    n = len(ids)
+    ends = np.searchsorted(groups, groups, side="right")
+    after = np.cumsum(ends - np.arange(n) - 1)
+    out, start = [], 0
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(after, (after[start - 1] if start else 0) + _PAIRS, side="right")))
+        rows = np.arange(start, stop)
+        count = ends[rows] - rows - 1
+        i = np.repeat(rows, count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        # At the first shingle that both have, all others that they share come after it in both.
+        share = similarity / (1 + similarity) * (sizes[i] + sizes[j]) - 1e-6
+        fits = (parts[i] != parts[j]) & ((blocks[i] < 0) | (blocks[i] != blocks[j])) & (np.minimum(sizes[i] - places[i], sizes[j] - places[j]) >= share)
+        i, j = i[fits], j[fits]
+        apart = np.bitwise_count(signs[i] ^ signs[j]).sum(axis=1, dtype=np.int64)
+        fits = apart <= (1 - similarity) / (1 + similarity) * (sizes[i] + sizes[j]) + 1e-6
+        i, j = i[fits], j[fits]
+        x, y = (parts, ids)[not one][i], (parts, ids)[not one][j]
+        _, keep = np.unique(np.c_[np.minimum(x, y), np.maximum(x, y)], axis=0, return_index=True)
+        out.append((ids[i[keep]], ids[j[keep]]))
+        start = stop
+    return np.concatenate([x[0] for x in out] or [ids[:0]]), np.concatenate([x[1] for x in out] or [ids[:0]])
+
+
+def pairs_apart(shared: DataFrame, signs: DataFrame, groups: DataFrame, similarity: float, one: bool, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(a, b): pairs of rows of ``shared`` (token, id, size, place, n) with one token that ``groups`` (node, component) leaves apart.
+
+    All that can be links by their sizes, places and ``signs`` (id, sign), or with ``one`` at least one for each two groups that meet in a cell.
+    """
+    rows = shared.join(groups.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "size", "place", "n", F.coalesce("component", "id").alias("part"))
+    mixed = rows.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("token")
+    blocks = F.ceil(F.col("n") / cell_rows).cast("int")
+    rows = rows.join(mixed, "token", "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cell = F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))
+    # In the cell of a block with itself all rows are compared, in that of two blocks the rows of one with those of the other.
+    rows = rows.join(signs, "id").select(cell.alias("group"), "id", "size", "place", "part", "sign", F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            found = table.column("group").to_numpy()
+            cut = int(np.searchsorted(found, found[-1])) if len(found) else 0  # the last group may go on
+            if cut:
+                yield met(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+        if held:
+            yield met(pa.Table.from_batches(held))
+
+    def met(table: pa.Table) -> pa.RecordBatch:
+        columns = [table.column(c).to_numpy(zero_copy_only=False) for c in ("group", "id", "size", "place", "part", "block")]
+        signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint64).reshape(len(table), -1)
+        a, b = cell_pairs(*columns, signs, similarity, one)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    dealt = rows.repartition("group").sortWithinPartitions("group", "id")
+    return dealt.mapInArrow(run, "a bigint, b bigint").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified_links(marked: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts share ``similarity`` of their distinct shingles (Jaccard)."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = written(shingle_sets(rows_of(marked, met).dropDuplicates(["id"]), words), "shingles")
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    either = F.size("x") + F.size("y") - both
+    return written(pairs.join(left, "a").join(right, "b").where((either == 0) | (both >= similarity * either)).select("a", "b"), "links")
+
+
 def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, radius: int = WORD_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, component) for every row: rows of one component are near copies of each other, directly or by way of others.
 
-    Candidates are texts whose fingerprints of distinct words are within ``radius`` bits: for each text its nearest in
-    each bucket, and enough others to connect all. Of these, pairs that share ``similarity`` of their distinct shingles
-    of ``words`` words (Jaccard) are links. Equal texts are one node; null, empty and blank texts are near copies of each other.
+    Two texts are linked if they share ``similarity`` of their distinct shingles of ``words`` words (Jaccard); the
+    components are those of all such pairs. Candidates come first from texts whose fingerprints of distinct words are
+    within ``radius`` bits: for each text its nearest in each bucket, and enough others to connect all. Then texts that
+    the links found so far leave apart are compared wherever they share one of their first shingles (see prefixes): one
+    pair for each two groups, then all pairs. Equal texts are one node; null, empty and blank texts are near copies of each other.
     """
     marked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hashed = marked.select(text_hash("text").alias("doc_id"), "text")
@@ -291,18 +419,33 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int
     equal = prints.join(heads, "fp").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     near = fingerprint_links(heads.select(F.col("head").alias("id"), "fp"), radius, nearest=True)
     pairs = written(equal.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = shingle_sets(rows_of(marked, met).dropDuplicates(["id"]), words)
-    sets = written(sets, "shingles")
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    either = F.size("x") + F.size("y") - both
-    links = pairs.join(left, "a").join(right, "b").where((either == 0) | (both >= similarity * either)).select("a", "b")
-    groups = components(links, "copies").withColumnRenamed("node", "_node")
+    links = verified_links(marked, pairs, similarity, words)
+    groups = components(links, "copies")
+    texts = one_of_each(marked)
+    firsts = written(prefixes(texts, similarity, words, frequent_shingles(texts, prints.count(), words)), "prefixes")
+    often = firsts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(firsts.drop("sign").join(often, "token").distinct(), "shared-prefixes")
+    signs = firsts.where("place = 0").select("id", "sign").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    signs = written(signs, "signs")
+    for one in (True, False):
+        more = verified_links(marked, written(pairs_apart(shared, signs, groups, similarity, one), "candidates"), similarity, words)
+        if more.take(1):
+            links = links.unionByName(more)
+            groups = components(links, "copies")
+    groups = groups.withColumnRenamed("node", "_node")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_hash(text_col).alias("text_hash"))
     return rows.join(groups, F.col("text_hash") == F.col("_node"), "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("component"))
 
 
+def one_of_each(marked: DataFrame) -> DataFrame:
+    """(id, text) of ``marked`` (doc_id, text): equal texts come once, but for rows that repeat the least doc_id or have none."""
+    rows = marked.select(text_hash("text").alias("id"), "doc_id", "text")
+    again = written(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1 AND least IS NOT NULL").select("id", "least"), "repeated")
+    if again.count() <= BROADCAST_IDS:
+        again = F.broadcast(again)
+    return rows.join(again, "id", "left").where("least IS NULL OR doc_id = least").select("id", "text")
+
+
 def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the rows of ``docs`` whose text hash is in ``ids``; up to BROADCAST_IDS ids are sent to the texts."""
     ids = written(ids, "ids")

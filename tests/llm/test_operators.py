@@ -92,6 +92,60 @@ def test_near_copies_leave_one(spark, docs):
     assert ids == Counter([1, 4, 5, 7, 8, 10, None, 12])  # 2 and 3 copy 1; 6 and 9 are as empty as 5; 7 stays once
 
 
+def shingle_set(text: str) -> set[tuple[str, ...]]:
+    parts = text.lower().split()
+    return {tuple(parts[i : i + 5]) for i in range(len(parts) - 4)}
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = shingle_set(a), shingle_set(b)
+    return len(x & y) / len(x | y)
+
+
+def groups_by_all_pairs(texts: dict[int, str]) -> set[frozenset[int]]:
+    parent = {i: i for i in texts}
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j and jaccard(texts[i], texts[j]) >= 0.8:
+                parent[root(i)] = root(j)
+    return {frozenset(i for i in texts if root(i) == r) for r in map(root, texts)}
+
+
+def groups_found(spark, texts: dict[int, str]) -> set[frozenset[int]]:
+    rows = simhash.near_copy_groups(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    return {frozenset(r.doc_id for r in rows if r.component == c) for c in {r.component for r in rows}}
+
+
+def test_near_copies_that_gained_or_lost_a_passage(spark):
+    rng, texts = random.Random(11), {}
+    fresh = lambda n: [f"w{rng.getrandbits(48):x}" for _ in range(n)]
+    for n in (40, 100, 300):
+        for part in (0.1, 0.15, 0.2):
+            for _ in range(4):
+                own, m = fresh(n), int(part * n)
+                spots = set(rng.sample(range(0, n, 10), max(1, m // 10)))
+                changed = [w + "x" if i in spots else w for i, w in enumerate(own)]
+                for copy in (own, own + fresh(m), own[m:], changed):
+                    texts[len(texts)] = " ".join(copy)
+    want = groups_by_all_pairs(texts)
+    assert sum(len(g) > 1 for g in want) >= 30
+    assert groups_found(spark, texts) == want
+
+
+def test_cells_of_a_frequent_shingle_hold_every_pair(spark):
+    shared = spark.createDataFrame([(5, i, 10, 0, 30) for i in range(30)], "token bigint, id bigint, size int, place int, n bigint")
+    groups = spark.createDataFrame([(i, i // 2) for i in range(30)], "node bigint, component bigint")
+    signs = shared.select("id", F.lit(bytes(simhash.SIGN_BITS // 8)).alias("sign"))
+    found = [(r.a, r.b) for r in simhash.pairs_apart(shared, signs, groups, 0.8, False, cell_rows=4).collect()]
+    assert sorted(found) == [(i, j) for i in range(30) for j in range(i + 1, 30) if i // 2 != j // 2]
+
+
 def test_overlaps_with_substitutions(spark):
     item = words(50, 30).split()
     inside = words(51, 20).split() + item[5:25] + words(52, 20).split()
