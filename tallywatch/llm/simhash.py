@@ -408,7 +408,8 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int
 
     Two texts are linked if they share ``similarity`` of their distinct shingles of ``words`` words (Jaccard); the
     components are those of all such pairs. Candidates come first from texts whose fingerprints of distinct words are
-    within ``radius`` bits: for each text its nearest in each bucket, and enough others to connect all. Then texts that
+    within ``radius`` bits: for each text its nearest in each bucket, and enough others to connect all. This cut is made
+    before links are verified, so it may drop a link beside unrelated texts of the same words; none is lost by it, as texts that
     the links found so far leave apart are compared wherever they share one of their first shingles (see prefixes): one
     pair for each two groups, then all pairs. Equal texts are one node; null, empty and blank texts are near copies of each other.
     """

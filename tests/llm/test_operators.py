@@ -138,6 +138,17 @@ def test_near_copies_that_gained_or_lost_a_passage(spark):
     assert groups_found(spark, texts) == want
 
 
+def test_near_copies_beside_an_unrelated_text_of_the_same_words(spark):
+    rng, texts = random.Random(12), {}
+    for _ in range(12):
+        own = [f"w{rng.getrandbits(48):x}" for _ in range(100)]
+        for text in (own + own[:5], own + own[5:10], rng.sample(own, 100)):
+            texts[len(texts)] = " ".join(text)
+    want = groups_by_all_pairs(texts)
+    assert sorted(map(len, want)) == [1] * 12 + [2] * 12
+    assert groups_found(spark, texts) == want
+
+
 def test_cells_of_a_frequent_shingle_hold_every_pair(spark):
     shared = spark.createDataFrame([(5, i, 10, 0, 30) for i in range(30)], "token bigint, id bigint, size int, place int, n bigint")
     groups = spark.createDataFrame([(i, i // 2) for i in range(30)], "node bigint, component bigint")
