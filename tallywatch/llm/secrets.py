@@ -2,13 +2,15 @@
 
 A window of fixed width slides over each candidate string. The counts of its characters are updated by one
 character in and one out, and with them the sum of c*log2(c), so a step costs the same for any width. Windows
-at or above the threshold of their character class are joined into spans. Strings on the allow-list are skipped.
+at or above the threshold of their character class are joined into spans. Parts on the allow-list are skipped, and
+windows that are made of words.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,21 +35,54 @@ CLASSES = {
     "base64": (re.compile(r"[A-Za-z0-9+/_=-]{24,}"), 24, 3.9),
 }
 
-#: Candidate strings that are no secrets: documentation keys, UUIDs, dates and times, plain sequences, words without a digit.
-ALLOW = [
-    re.compile(r"EXAMPLE", re.I),
-    re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I),
-    re.compile(r"\d{4}-\d\d-\d\d"),
-    re.compile(r"0123456789|abcdefghij", re.I),
-    re.compile(r"\A[^0-9]*\Z"),
-    re.compile(r"\A[0-9_=/+-]*\Z"),
-]
+
+
+def _rest(letters: str) -> str:
+    """Pattern of as many of ``letters`` as follow in their order."""
+    return "".join(f"(?:{c}" for c in letters) + ")?" * len(letters)
+
+
+#: Parts of candidate strings that are no secrets: documentation keys, UUIDs, dates, plain sequences. What stands beside them is scanned.
+ALLOW = re.compile(
+    r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|AKIA[A-Z0-9]{0,9}EXAMPLE|EXAMPLE"
+    r"|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
+    r"|\d{4}-\d\d-\d\d"
+    r"|0123456789|abcdefghij" + _rest("klmnopqrstuvwxyz"),
+    re.I,
+)
+#: What remains is no secret without a letter.
+_NO_LETTER = re.compile(r"[0-9_=/+-]*")
+_DIGIT = re.compile(r"[0-9]")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_VOWEL = re.compile(r"[aeiouy]", re.I)
+_CONSONANTS = re.compile(r"[b-df-hj-np-tv-xz]{5}", re.I)
+#: A window without a digit is made of words if so much of its letters is in words; a word has so many letters and such a part of vowels.
+WORD_PART, WORD_LETTERS, VOWEL_PART = 0.6, 3, 0.25
 
 _STEP = [0.0] + [c * math.log2(c) for c in range(1, 257)]
 
 
-def entropy_windows(text: str, width: int, least: float) -> list[tuple[int, int]]:
-    """Joined spans of the windows of ``text`` whose entropy is ``least`` or more."""
+def made_of_words(window: str) -> bool:
+    """Whether a window without a digit looks like words (a path, a name) and not like drawn letters."""
+    if _DIGIT.search(window):
+        return False
+    runs = _WORD.findall(window)
+    words = sum(len(x) for x in runs if len(x) >= WORD_LETTERS and len(_VOWEL.findall(x)) >= VOWEL_PART * len(x) and not _CONSONANTS.search(x))
+    return words >= WORD_PART * sum(map(len, runs))
+
+
+def parts(candidate: str) -> list[tuple[int, str]]:
+    """(start, text) of what remains of a candidate string without what is on the allow-list."""
+    out, at = [], 0
+    for m in ALLOW.finditer(candidate):
+        out.append((at, candidate[at : m.start()]))
+        at = m.end()
+    out.append((at, candidate[at:]))
+    return [(a, x) for a, x in out if not _NO_LETTER.fullmatch(x)]
+
+
+def entropy_windows(text: str, width: int, least: float, skip: Callable[[str], bool] | None = None) -> list[tuple[int, int]]:
+    """Joined spans of the windows of ``text`` whose entropy is ``least`` or more, without those that ``skip`` holds for."""
     counts: dict[str, int] = {}
     total, spans, top = 0.0, [], math.log2(width) - least
     for i, c in enumerate(text):
@@ -62,6 +97,8 @@ def entropy_windows(text: str, width: int, least: float) -> list[tuple[int, int]
         # Entropy is log2(width) - total / width.
         if i + 1 >= width and total <= top * width + 1e-9:
             start = i + 1 - width
+            if skip and skip(text[start : i + 1]):
+                continue
             if spans and start <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], i + 1)
             else:
@@ -83,8 +120,9 @@ def entropy_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[in
     found = []
     for pattern, width, least in CLASSES.values():
         for m in pattern.finditer(text):
-            if not any(x.search(m[0]) for x in ALLOW):
-                found += [(m.start() + a, m.start() + b) for a, b in entropy_windows(m[0], width, least)]
+            for at, part in parts(m[0]):
+                if len(part) >= width:
+                    found += [(m.start() + at + a, m.start() + at + b) for a, b in entropy_windows(part, width, least, made_of_words)]
     joined: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if joined and a <= joined[-1][1]:

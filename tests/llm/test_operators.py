@@ -268,6 +268,17 @@ def test_secrets(spark):
     assert clean[4] == "see [SECRET] here" and clean[2] == "token: short" and clean[5] is None
 
 
+def test_a_key_beside_what_is_allowed():
+    key, letters = "x9Kd82LmQz71PvRt64WnYb35", "xQkdRzLmTvQzWpPvKtBgWnYbHs"
+    for before in ("backups/2024-01-05/", "123e4567-e89b-12d3-a456-426614174000/", "EXAMPLE/", "0123456789/", "abcdefghijklm/"):
+        text = f"see {before}{key} here"
+        assert any(a <= text.index(key) and b == text.index(key) + len(key) for a, b, _ in secrets.all_spans(text)), before
+    assert secrets.all_spans(f"see {letters} here") == [(4, 4 + len(letters), 3)]
+    plain = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "backups/2024-01-05/daily-summary/customers", "getCustomerOrderSummaryByIdentifier", "docs/articles/long-path-names/figures/index"]
+    for text in plain:
+        assert secrets.all_spans(text) == [], text
+
+
 @pytest.mark.parametrize("width, least", [(5, 1.5), (8, 2.9)])
 def test_entropy_windows_against_plain_count(width, least):
     draw = random.Random(9)
