@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywatch.llm.common import append_columns, in_steps, written
+from tallywatch.llm.common import append_columns, in_steps, text_hash, written
 
 #: Characters of the longest n-gram. Four 16-bit symbols are one 64-bit number.
 ORDER = 4
-#: Rows that all models together may have (24 bytes each where they are broadcast); with more, the order falls by one.
+#: Rows that all models together may have to be broadcast (24 bytes each); with more, they stay a table that is joined.
 MAX_ROWS = 6_000_000
 #: Rejection: so many standard deviations above the mean cross-entropy of the language's training texts.
 REJECT_SPREADS = 4.0
@@ -172,24 +172,72 @@ class Models:
         return sums / np.maximum(length, 1)[:, None], np.where(lettered, length, 0)
 
 
-def fit(training: DataFrame, order: int = ORDER, max_rows: int = MAX_ROWS) -> Models | None:
+class ModelTable:
+    """Models too large to be broadcast: their rows stay a table, only the languages and the floor are known here."""
+
+    def __init__(self, rows: DataFrame, order: int):
+        self.rows, self.order = rows, order
+        self.langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+        self.floor = 1.0 / (1 + rows.where("order = 1 AND term IS NOT NULL").select("gram").distinct().count())
+
+    def _level(self, n: int, kind: str, missing: float) -> DataFrame:
+        """(gram, values): the ``kind`` of each n-gram or context in every language."""
+        own = self.rows.where((F.col("order") == n) & F.col(kind).isNotNull())
+        each = [F.coalesce(F.max(F.when(F.col("lang") == x, F.col(kind))), F.lit(missing)) for x in self.langs]
+        return own.groupBy("gram").agg(F.array(*each).alias("values"))
+
+    def bits(self, grams: DataFrame) -> DataFrame:
+        """(gram, bits) of the distinct ``grams`` (gram), as Models.bits has them: a value for each language."""
+        out = grams.withColumn("p", F.array(*[F.lit(self.floor) for _ in self.langs]))
+        every = lambda missing: F.array(*[F.lit(missing) for _ in self.langs])
+        for n in range(1, self.order + 1):
+            part = F.col("gram").bitwiseAND((1 << (_BITS * n)) - 1) if n < 4 else F.col("gram")
+            out = out.withColumn("part", part).withColumn("context", F.shiftrightunsigned("part", _BITS))
+            terms = self._level(n, "term", 0.0).select(F.col("gram").alias("part"), F.col("values").alias("terms"))
+            rests = self._level(n, "rest", 1.0).select(F.col("gram").alias("context"), F.col("values").alias("rests"))
+            out = out.join(terms, "part", "left").join(rests, "context", "left")
+            rest = F.zip_with(F.coalesce("rests", every(1.0)), "p", lambda r, q: r * q)
+            out = out.select("gram", F.zip_with(F.coalesce("terms", every(0.0)), rest, lambda t, r: t + r).alias("p"))
+        return out.select("gram", F.transform("p", lambda q: -F.log2(q)).alias("bits"))
+
+    def sums(self, texts: DataFrame) -> DataFrame:
+        """(hash, sums, chars) of the lettered ``texts`` (hash, text): bits of the whole text in each language, and its characters."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for step, part in in_steps(batches):
+                gram, owner, lettered = ngrams(part, order)
+                gram, owner = gram[lettered[owner]], owner[lettered[owner]]
+                place = np.lexsort((gram, owner))
+                gram, owner = gram[place], owner[place]
+                first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])]) if len(gram) else np.zeros(0, np.int64)
+                hashes = step.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[owner[first]]), pa.array(gram[first]), pa.array(np.diff(np.r_[first, len(gram)]).astype(np.int64))], names=["hash", "gram", "n"])
+
+        order = self.order
+        counts = written(texts.select("hash", "text").mapInArrow(run, "hash bigint, gram bigint, n bigint"), "text-ngrams")
+        bits = self.bits(counts.select("gram").distinct())
+        each = [F.sum(F.col("n") * F.col("bits")[i]) for i in range(len(self.langs))]
+        return counts.join(bits, "gram").groupBy("hash").agg(F.array(*each).alias("sums"), F.sum("n").alias("chars"))
+
+
+def fit(training: DataFrame, order: int = ORDER, max_rows: int = MAX_ROWS) -> Models | ModelTable | None:
     """Models of ``training`` (lang, text), over all its rows; rows with a null lang or text say nothing. None without training texts.
 
-    The models go to every task, so their rows are counted first: if there are more than ``max_rows``, the
-    order is one less, and so on down to single characters.
+    Their rows are counted first: up to ``max_rows`` they go to every task, more stay a table in the shared
+    folder. The order is the same for any number.
     """
     counts = written(count_ngrams(training.where("lang IS NOT NULL AND text IS NOT NULL"), order), "ngrams")
-    for n in range(order, 0, -1):
-        model = written(smoothed(counts, n), "language-models")
-        if n == 1 or model.count() <= max_rows:
-            break
-        shorter = F.col("gram").bitwiseAND((1 << (_BITS * (n - 1))) - 1)
-        counts = counts.groupBy("lang", shorter.alias("gram")).agg(F.sum("n").alias("n"))
-    rows = model.toPandas()
-    return Models(rows, n) if len(rows) else None
+    model = written(smoothed(counts, order), "language-models")
+    rows = model.count()
+    if rows > max_rows:
+        return ModelTable(model, order)
+    return Models(model.toPandas(), order) if rows else None
+
+
+_FOUND = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType()), T.StructField("chars", T.LongType())]
 
 
-def identify(docs: DataFrame, models: Models | None, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, models: Models | ModelTable | None, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score, bits (cross-entropy per character of that language), chars.
 
     A text that is null, empty or without a letter is "und" with score 0 and null bits, and so is every text
@@ -197,7 +245,8 @@ def identify(docs: DataFrame, models: Models | None, text_col: str = "text") ->
     text of SURE_CHARS characters had this cross-entropy, less for shorter ones: from 1 / languages to 1. Columns
     with the names of new ones are replaced, all others stay; an empty table gives no rows.
     """
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType()), T.StructField("chars", T.LongType())]
+    if isinstance(models, ModelTable):
+        return _identify_by_join(docs, models, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(texts: list[str]) -> list[pa.Array]:
@@ -213,7 +262,21 @@ def identify(docs: DataFrame, models: Models | None, text_col: str = "text") ->
         least = bits[np.arange(len(texts)), best]
         return [pa.array(names.tolist(), pa.string()), pa.array(np.where(none, 0.0, score)), pa.array(least, mask=none), pa.array(chars.astype(np.int64))]
 
-    return append_columns(docs, text_col, fields, run)
+    return append_columns(docs, text_col, _FOUND, run)
+
+
+def _identify_by_join(docs: DataFrame, models: ModelTable, text_col: str) -> DataFrame:
+    """``identify`` with the n-grams of all distinct texts joined to the model rows."""
+    new = {f.name for f in _FOUND}
+    hashed = docs.select(text_hash(text_col).alias("hash"), F.col(text_col).alias("text"))
+    sums = models.sums(hashed.dropDuplicates(["hash"])).select(F.col("hash").alias("_hash"), F.transform("sums", lambda x: x / F.col("chars")).alias("_each"), F.col("chars").alias("_chars"))
+    least = F.array_min("_each")
+    found = sums.withColumn("_bits", least).withColumn("_lang", F.array(*map(F.lit, models.langs))[(F.array_position("_each", least) - 1).cast("int")])
+    chances = F.transform("_each", lambda x: F.pow(F.lit(2.0), -(x - F.col("_bits")) * F.least("_chars", F.lit(SURE_CHARS))))
+    found = found.withColumn("_score", 1 / F.aggregate(chances, F.lit(0.0), lambda a, x: a + x)).drop("_each")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    out = docs.withColumn("_key", text_hash(text_col)).join(found, F.col("_key") == F.col("_hash"), "left")
+    return out.select(*kept, F.coalesce("_lang", F.lit("und")).alias("lang_pred"), F.coalesce("_score", F.lit(0.0)).alias("score"), F.col("_bits").alias("bits"), F.coalesce("_chars", F.lit(0)).cast("bigint").alias("chars"))
 
 
 def calibrated(found: DataFrame, training: DataFrame, spreads: float = REJECT_SPREADS) -> DataFrame:

@@ -221,6 +221,22 @@ def test_language_models(spark):
     assert {r.lang_pred for r in langid.identify(asked, None).collect()} == {"und"}
 
 
+def test_large_language_models_keep_their_order(spark, docs):
+    langs = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+    training = docs.where("doc_id IS NOT NULL").select(langs.alias("lang"), "text")
+    extra = [(900, None), (901, ""), (902, "123 ..."), (903, "zq"), (903, "zq"), (904, "ÄÖ \U00010400 word w"), (None, "alpha")]
+    asked = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id bigint, text string"))
+    small, large = langid.fit(training), langid.fit(training, max_rows=10)
+    assert isinstance(small, langid.Models) and small.order == large.order == langid.ORDER
+    order = lambda r: (str(r.doc_id), str(r.text), r.lang_pred)
+    want, found = (sorted(langid.identify(asked, m).collect(), key=order) for m in (small, large))
+    assert len(want) == len(found)
+    for w, f in zip(want, found):
+        assert (w.doc_id, w.text, w.lang_pred, w.chars) == (f.doc_id, f.text, f.lang_pred, f.chars)
+        assert w.score == pytest.approx(f.score) and (w.bits is None) == (f.bits is None)
+        assert w.bits is None or w.bits == pytest.approx(f.bits)
+
+
 def test_token_store_round_trip(spark, docs, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     shards = tokenfiles.write_store(docs, str(tmp_path / "store"), path)
