@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywatch.llm import ann, common, decontam, langid, pieces, quality, repeats, secrets, simhash, tokenfiles, urlfilter
+from tallywatch.llm import ann, common, decontam, langid, licenses, negatives, pieces, quality, repair, repeats, secrets, simhash, tokenfiles, urlfilter
 from tallywatch.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -158,3 +158,69 @@ def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_repeated_bytes")
 def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_repair")
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    repaired = repair.repair(repair.damaged(original))
+    return repair.digest(original, repaired)
+
+
+_NEGATIVES_SQL = """
+WITH rows AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+    list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+    list_reduce(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * c.e[i]), lambda x, y: x + y)::BIGINT AS score
+  FROM rows a JOIN rows c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id AND len(a.e) = len(c.e)),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank,
+  s.other_id AS negative_id, positive_score, s.score AS negative_score
+FROM positives JOIN scores s USING (anchor_id)
+WHERE NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op12_hard_negatives", _NEGATIVES_SQL)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=moved)
+
+
+_LICENSE_WORDS = "list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+_LICENSE_SQL = f"""
+WITH templates(label, body) AS (VALUES {", ".join(f"('{label}', '{text}')" for label, text in licenses.TEMPLATES)}),
+t AS (SELECT row_number() OVER () AS tid, label, list_distinct(w) AS w FROM (SELECT label, {_LICENSE_WORDS.format("body")} AS w FROM templates)),
+tw AS (SELECT tid, label, len(w) AS size, unnest(w) AS word FROM t),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_LICENSE_WORDS.format("text")} AS w FROM documents),
+dw AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS at FROM d),
+placed AS (SELECT r, word, unnest([at // 32, at // 32 - 1]) AS block FROM dw WHERE word IN (SELECT word FROM tw)),
+met AS (
+  SELECT r, label, size, block, tid, count(DISTINCT word) AS shared
+  FROM placed JOIN tw USING (word) WHERE block >= 0 GROUP BY ALL HAVING count(DISTINCT word) >= ceil(size * {licenses.THRESHOLD} - 1e-9)),
+found AS (SELECT r, list(DISTINCT label) AS found, max(shared::DOUBLE / size) AS part FROM met GROUP BY r),
+base AS (
+  SELECT r, label, at FROM (
+    SELECT r, at, word, lead(word) OVER w AS second, lead(word, 2) OVER w AS third FROM dw WINDOW w AS (PARTITION BY r ORDER BY at))
+  JOIN (VALUES ('cc', 'by', NULL, 'cc-by'), ('general', 'public', 'license', 'gpl'), ('all', 'rights', 'reserved', 'reserved')) p(a, b, c, label)
+    ON word = a AND second = b AND (c IS NULL OR third = c)),
+places AS (SELECT r, count(*) AS n, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(found, [])))), ','), '') AS labels,
+  CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(part, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN places USING (r) LEFT JOIN found USING (r)
+"""
+
+
+@query("op13_license_scan", _LICENSE_SQL)
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(table(spark, sf_dir, "documents")))
