@@ -201,18 +201,18 @@ WITH templates(label, body) AS (VALUES {", ".join(f"('{label}', '{text}')" for l
 t AS (SELECT row_number() OVER () AS tid, label, list_distinct(w) AS w FROM (SELECT label, {_LICENSE_WORDS.format("body")} AS w FROM templates)),
 tw AS (SELECT tid, label, len(w) AS size, unnest(w) AS word FROM t),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_LICENSE_WORDS.format("text")} AS w FROM documents),
-dw AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS at FROM d),
-placed AS (SELECT r, word, unnest([at // 32, at // 32 - 1]) AS block FROM dw WHERE word IN (SELECT word FROM tw)),
+dw AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
+placed AS (SELECT r, word, unnest([pos // 32, pos // 32 - 1]) AS block FROM dw WHERE word IN (SELECT word FROM tw)),
 met AS (
   SELECT r, label, size, block, tid, count(DISTINCT word) AS shared
   FROM placed JOIN tw USING (word) WHERE block >= 0 GROUP BY ALL HAVING count(DISTINCT word) >= ceil(size * {licenses.THRESHOLD} - 1e-9)),
 found AS (SELECT r, list(DISTINCT label) AS found, max(shared::DOUBLE / size) AS part FROM met GROUP BY r),
 base AS (
-  SELECT r, label, at FROM (
-    SELECT r, at, word, lead(word) OVER w AS second, lead(word, 2) OVER w AS third FROM dw WINDOW w AS (PARTITION BY r ORDER BY at))
+  SELECT r, label, pos FROM (
+    SELECT r, pos, word, lead(word) OVER w AS second, lead(word, 2) OVER w AS third FROM dw WINDOW w AS (PARTITION BY r ORDER BY pos))
   JOIN (VALUES ('cc', 'by', NULL, 'cc-by'), ('general', 'public', 'license', 'gpl'), ('all', 'rights', 'reserved', 'reserved')) p(a, b, c, label)
     ON word = a AND second = b AND (c IS NULL OR third = c)),
-places AS (SELECT r, count(*) AS n, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY r)
+places AS (SELECT r, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(labels, []), coalesce(found, [])))), ','), '') AS labels,
