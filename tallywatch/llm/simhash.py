@@ -268,20 +268,45 @@ WORD_RADIUS = 6
 SAMPLE_TEXTS, FREQUENT, FREQUENT_ROWS = 4_000, 4, 200_000
 #: Rows of one shingle that stand in one cell; the rows of a more frequent one are dealt to the pairs of their blocks.
 CELL_ROWS = 2_048
-#: Bits of a text's sign: each shingle turns one over, so the signs of two texts differ in no more bits than the texts do in shingles.
+#: Least bits of a text's sign: each shingle turns one bit over, so the signs of two texts differ in no more bits than the texts do in
+#: shingles. A sign has at least as many bits as the text has shingles; the longer of two signs is folded.
 SIGN_BITS = 256
+#: A token's rows from which on they are first compared with a few of them only.
+HEAD_ROWS, HEADS = 16, 4
+
+
+def text_sign(tokens: np.ndarray) -> np.ndarray:
+    """64-bit words of a text's sign: bit k is the parity of its shingles whose hash ends in k. The number of words is a power of two."""
+    bits = max(SIGN_BITS, 1 << max(len(tokens) - 1, 0).bit_length())
+    return np.packbits((np.bincount(tokens & (bits - 1), minlength=bits) & 1).astype(bool), bitorder="little").view(np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32)), pa.array(np.concatenate(arrays)))
 
 
 def shingle_sets(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, shingles): the distinct shingle hashes of each text of ``docs`` (id, text)."""
+    """(id, size, sign, shingles): the distinct shingle hashes of each text of ``docs`` (id, text), their number and the text's sign."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step, texts in in_steps(batches):
             sets = [np.unique(shingle_hashes(x, words)).view(np.int64) for x in texts]
-            offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([step.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["id", "shingles"])
+            sizes = pa.array(np.array([len(x) for x in sets], np.int32))
+            yield pa.RecordBatch.from_arrays([step.column(0), sizes, _lists([text_sign(x) for x in sets]), _lists(sets)], names=["id", "size", "sign", "shingles"])
+
+    return docs.select("id", "text").mapInArrow(run, "id bigint, size int, sign array<bigint>, shingles array<bigint>")
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, shingles array<bigint>")
+
+def differing_bits(x: Column, y: Column) -> Column:
+    """Bits in which two signs differ, the longer one folded to the length of the other."""
+    short = F.least(F.size(x), F.size(y))
+
+    def folded(sign: Column, i: Column) -> Column:
+        parts = F.transform(F.sequence(i, F.size(sign) - 1, short), lambda j: F.get(sign, j))
+        return F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseXOR(b))
+
+    each = F.transform(F.sequence(F.lit(0), short - 1), lambda i: F.bit_count(folded(x, i).bitwiseXOR(folded(y, i))))
+    return F.aggregate(each, F.lit(0), lambda a, b: a + b)
 
 
 def frequent_shingles(texts: DataFrame, rows: int, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -297,10 +322,10 @@ def frequent_shingles(texts: DataFrame, rows: int, words: int = SHINGLE_WORDS) -
 
 
 def prefixes(texts: DataFrame, similarity: float, words: int, frequent: np.ndarray) -> DataFrame:
-    """(token, id, size, place, sign): the first shingles of each text of ``texts`` (id, text), in one order for all texts.
+    """(token, id, part, size, place, often): the first shingles of each text of ``texts`` (id, text, part), in one order for all texts.
 
-    The order is by hash, with ``frequent`` ones last. Two texts that share ``similarity`` of their shingles share one
-    of so many first ones at least, whatever the order is. A text without words has the token 0. The sign stands at place 0 only.
+    The order is by hash, with ``frequent`` ones last (``often``). Two texts that share ``similarity`` of their shingles share one
+    of so many first ones at least, whatever the order is. A text without words has the token 0.
     """
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
@@ -312,28 +337,112 @@ def prefixes(texts: DataFrame, similarity: float, words: int, frequent: np.ndarr
             rows = np.maximum(sizes, 1)
             tokens = np.concatenate([x if len(x) else np.zeros(1, np.int64) for x in sets])
             owner = np.repeat(np.arange(len(sets)), rows)
-            turns = np.bincount(owner * SIGN_BITS + (tokens & (SIGN_BITS - 1)), minlength=len(sets) * SIGN_BITS) & 1
-            signs = np.packbits(turns.astype(bool).reshape(len(sets), SIGN_BITS), axis=1)
+            late = np.zeros(len(tokens), bool)
             if len(last):
                 late = last[np.minimum(np.searchsorted(last, tokens), len(last) - 1)] == tokens
-                tokens = tokens[np.lexsort((late, owner))]
+                order = np.lexsort((late, owner))
+                tokens, late = tokens[order], late[order]
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(rows) - rows, rows)
             first = place <= (sizes - np.ceil(similarity * sizes - 1e-9))[owner]
             owner, place = owner[first], place[first]
-            sign = pa.array([signs[i].tobytes() if not at else None for i, at in zip(owner.tolist(), place.tolist())], pa.binary())
-            ids = step.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[first]), pa.array(ids[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(place.astype(np.int32)), sign], names=["token", "id", "size", "place", "sign"])
+            names = [step.column(c).to_numpy(zero_copy_only=False)[owner] for c in (0, 2)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (tokens[first], *names, sizes[owner].astype(np.int32), place.astype(np.int32), late[first])],
+                names=["token", "id", "part", "size", "place", "often"],
+            )
+
+    return texts.select("id", "text", "part").mapInArrow(run, "token bigint, id bigint, part bigint, size int, place int, often boolean")
 
-    return texts.select("id", "text").mapInArrow(run, "token bigint, id bigint, size int, place int, sign binary")
 
+_SHARED = ["token", "id", "part", "size", "place"]
 
-def cell_pairs(groups: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, parts: np.ndarray, blocks: np.ndarray, signs: np.ndarray, similarity: float, one: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ids that meet in a group (sorted), are of different ``parts`` and can share ``similarity`` of their shingles.
 
-    ``blocks`` is -1, or the block of a row in a group that is for the pairs of two blocks only. With ``one``, a pair of parts gives one pair.
+def shared_firsts(firsts: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(token, id, part, size, place, n): the rows of ``firsts`` whose token stands in two parts; ``n`` rows have it, null for
+    tokens in ``often`` and for those in more than ``cell_rows`` texts, all of whose rows are kept.
+
+    A token's rows meet in one task, which reads them in order and holds at most ``cell_rows`` of them; those in ``often`` are dealt by their text too.
+    """
+    key = F.when(F.col("often"), F.xxhash64("token", "id")).otherwise(F.col("token"))
+    schema = pa.schema([*((c, pa.int64()) for c in _SHARED[:3]), ("size", pa.int32()), ("place", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {c: np.zeros(0, schema.field(c).type.to_pandas_dtype()) for c in _SHARED}
+        endless = None  # a token of which rows have gone out already
+
+        def out(rows: dict[str, np.ndarray], n: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array(rows[c]) for c in _SHARED), n], schema=schema)
+
+        def whole(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+            """Of groups that are there to the last row, those of two parts."""
+            token = rows["token"]
+            starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            counts = np.diff(np.r_[starts, len(token)])
+            mixed = np.minimum.reduceat(rows["part"], starts) != np.maximum.reduceat(rows["part"], starts)
+            kept = np.repeat(mixed, counts)
+            return out({c: x[kept] for c, x in rows.items()}, pa.array(np.repeat(counts, counts)[kept]))
+
+        def unknown(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+            return out(rows, pa.nulls(len(rows["token"]), pa.int64()))
+
+        for batch in batches:
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in [*_SHARED, "often"]}
+            often = new.pop("often").astype(bool)
+            if often.any():
+                yield unknown({c: x[often] for c, x in new.items()})
+                new = {c: x[~often] for c, x in new.items()}
+            if endless is not None:
+                same = new["token"] == endless
+                if same.any():
+                    yield unknown({c: x[same] for c, x in new.items()})
+                    new = {c: x[~same] for c, x in new.items()}
+            rows = {c: np.concatenate([held[c], new[c]]) for c in _SHARED}
+            again = np.r_[False, (rows["token"][1:] == rows["token"][:-1]) & (rows["id"][1:] == rows["id"][:-1])][: len(rows["token"])]
+            rows = {c: x[~again] for c, x in rows.items()}
+            n = len(rows["token"])
+            if not n:
+                held = rows
+                continue
+            cut = int(np.searchsorted(rows["token"], rows["token"][-1]))  # the last group may go on
+            if cut:
+                yield whole({c: x[:cut] for c, x in rows.items()})
+            held = {c: x[cut:] for c, x in rows.items()}
+            if n - cut > cell_rows:
+                endless = int(held["token"][0])
+                yield unknown(held)
+                held = {c: x[:0] for c, x in held.items()}
+        if len(held["token"]):
+            yield whole(held)
+
+    dealt = firsts.withColumn("key", key).repartition("key").sortWithinPartitions("token", "id").drop("key")
+    found = written(dealt.mapInArrow(run, "token bigint, id bigint, part bigint, size int, place int, n bigint"), "shared-firsts")
+    return found
+
+
+def least_common(sizes: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """How many first shingles two texts of these sizes share at least, if they share ``similarity`` of all.
+
+    The first shingles of one of them are all before the last one of the other, so beyond those that they share as first ones, no more
+    than the rest of that text can be shared.
+    """
+    rest = np.maximum(np.ceil(similarity * sizes - 1e-9), np.ceil(similarity * others - 1e-9)) - 1
+    return np.maximum(np.ceil(similarity / (1 + similarity) * (sizes + others) - 1e-6) - rest, 1)
+
+
+def cell_pairs(groups: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, parts: np.ndarray, held: np.ndarray, blocks: np.ndarray, similarity: float, heads: bool = False) -> list[np.ndarray]:
+    """Pairs of ids that meet in a group (sorted by group, then size), and what they can still share from their places on: a, b, both sizes, n groups, rest.
+
+    Only pairs of different ``parts`` whose sizes fit, and which both hold enough shared first shingles (``held``). ``blocks`` is -1, or the block of a row
+    in a group that is for the pairs of two blocks only. With ``heads``, only HEADS rows of a group are paired with those after them, and only if the group has HEAD_ROWS rows.
     """
     n = len(ids)
-    ends = np.searchsorted(groups, groups, side="right")
+    # A row is compared with those after it that are not too large.
+    width = int(sizes.max(initial=0)) + 2
+    rank = np.r_[False, groups[1:] != groups[:-1]].cumsum() * width if n else groups
+    ends = np.searchsorted(rank + sizes, rank + np.minimum(np.floor(sizes / similarity + 1e-6).astype(np.int64), width - 2), side="right")
+    if heads:
+        first, rows = np.searchsorted(groups, groups), np.searchsorted(groups, groups, side="right") - np.searchsorted(groups, groups)
+        ends = np.where(((np.arange(n) - first) % np.maximum(rows // HEADS, 1) == 0) & (rows >= HEAD_ROWS), ends, np.arange(n) + 1)
     after = np.cumsum(ends - np.arange(n) - 1)
     out, start = [], 0
     while start < n:
@@ -342,33 +451,50 @@ def cell_pairs(groups: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: n
         count = ends[rows] - rows - 1
         i = np.repeat(rows, count)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-        # At the first shingle that both have, all others that they share come after it in both.
-        share = similarity / (1 + similarity) * (sizes[i] + sizes[j]) - 1e-6
-        fits = (parts[i] != parts[j]) & ((blocks[i] < 0) | (blocks[i] != blocks[j])) & (np.minimum(sizes[i] - places[i], sizes[j] - places[j]) >= share)
-        i, j = i[fits], j[fits]
-        apart = np.bitwise_count(signs[i] ^ signs[j]).sum(axis=1, dtype=np.int64)
-        fits = apart <= (1 - similarity) / (1 + similarity) * (sizes[i] + sizes[j]) + 1e-6
+        fits = (parts[i] != parts[j]) & ((blocks[i] < 0) | (blocks[i] != blocks[j])) & (np.minimum(held[i], held[j]) >= least_common(sizes[i], sizes[j], similarity))
         i, j = i[fits], j[fits]
-        x, y = (parts, ids)[not one][i], (parts, ids)[not one][j]
-        _, keep = np.unique(np.c_[np.minimum(x, y), np.maximum(x, y)], axis=0, return_index=True)
-        out.append((ids[i[keep]], ids[j[keep]]))
+        swap = ids[i] > ids[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        out.append([ids[i], ids[j], sizes[i], sizes[j], np.minimum(sizes[i] - places[i], sizes[j] - places[j])])
         start = stop
-    return np.concatenate([x[0] for x in out] or [ids[:0]]), np.concatenate([x[1] for x in out] or [ids[:0]])
+    a, b, x, y, rest = (np.concatenate(c) for c in zip(*out)) if out else (ids, ids, sizes, sizes, places)
+    order = np.lexsort((b, a))
+    a, b, x, y, rest = a[order], b[order], x[order], y[order], rest[order]
+    starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+    if not len(a):
+        return [a, b, x, y, np.zeros(0, np.int64), rest]
+    return [a[starts], b[starts], x[starts], y[starts], np.diff(np.r_[starts, len(a)]), np.maximum.reduceat(rest, starts)]
+
+
+def _broadcast_if_small(rows: DataFrame) -> DataFrame:
+    """``rows`` (written), to be broadcast if they are BROADCAST_IDS or fewer."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
-def pairs_apart(shared: DataFrame, signs: DataFrame, groups: DataFrame, similarity: float, one: bool, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(a, b): pairs of rows of ``shared`` (token, id, size, place, n) with one token that ``groups`` (node, component) leaves apart.
+def pairs_apart(shared: DataFrame, moved: DataFrame | None, similarity: float, heads: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(a, b): all pairs of texts in ``shared`` (token, id, part, size, place, n) that can share ``similarity`` of their shingles and whose
+    parts ``moved`` (part, now) leaves apart.
 
-    All that can be links by their sizes, places and ``signs`` (id, sign), or with ``one`` at least one for each two groups that meet in a cell.
+    A pair stays if its sizes fit, if it has enough first shingles in common (see least_common), and if from the first of them on
+    both texts are long enough: all that two texts share comes from there on. With ``heads`` only some likely pairs are found, few for each row: those
+    of a few rows of a frequent shingle that share half of their first shingles.
     """
-    rows = shared.join(groups.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "size", "place", "n", F.coalesce("component", "id").alias("part"))
-    mixed = rows.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("token")
-    blocks = F.ceil(F.col("n") / cell_rows).cast("int")
-    rows = rows.join(mixed, "token", "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cell = F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))
+    held = shared.groupBy("id").agg(F.count("*").cast("int").alias("held"))
+    rows = shared.join(held, "id")
+    if moved is not None:
+        rows = rows.join(moved, "part", "left").withColumn("part", F.coalesce("now", "part")).drop("now")
+    known = rows.where("n IS NOT NULL").select("id", "size", "place", "part", "held", F.lit(-1).alias("block"), F.col("token").alias("group"))
+    # Tokens of many rows: those of two parts, in cells of two blocks of rows each.
+    many = rows.where("n IS NULL").drop("n").dropDuplicates(["token", "id"])
+    counts = many.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("rows")).where("least <> most")
+    counts = _broadcast_if_small(written(counts.select("token", F.ceil(F.col("rows") / cell_rows).cast("int").alias("blocks")), "frequent-firsts"))
+    many = many.join(counts, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
     # In the cell of a block with itself all rows are compared, in that of two blocks the rows of one with those of the other.
-    rows = rows.join(signs, "id").select(cell.alias("group"), "id", "size", "place", "part", "sign", F.when(F.col("block") == F.col("other"), -1).otherwise(F.col("block")).alias("block"))
+    many = many.select("id", "size", "place", "part", "held", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("block"), cell.alias("group"))
+
+    names = ["a", "b", "a_size", "b_size", "common", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -384,23 +510,34 @@ def pairs_apart(shared: DataFrame, signs: DataFrame, groups: DataFrame, similari
             yield met(pa.Table.from_batches(held))
 
     def met(table: pa.Table) -> pa.RecordBatch:
-        columns = [table.column(c).to_numpy(zero_copy_only=False) for c in ("group", "id", "size", "place", "part", "block")]
-        signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint64).reshape(len(table), -1)
-        a, b = cell_pairs(*columns, signs, similarity, one)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        columns = [table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("group", "id", "size", "place", "part", "held", "block")]
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cell_pairs(*columns, similarity, heads)], names=names)
 
-    dealt = rows.repartition("group").sortWithinPartitions("group", "id")
-    return dealt.mapInArrow(run, "a bigint, b bigint").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dealt = known.unionByName(many).repartition("group").sortWithinPartitions("group", "size", "id")
+    found = dealt.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
+    found = found.groupBy("a", "b").agg(F.first("a_size").alias("a_size"), F.first("b_size").alias("b_size"), F.sum("common").alias("common"), F.max("rest").alias("rest"))
+    share = F.lit(similarity / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) - 1e-6
+    rest = F.ceil(F.lit(similarity) * F.greatest("a_size", "b_size") - 1e-9) - 1
+    if heads:
+        found = found.where(F.col("common") >= (1 - similarity) / 2 * F.least("a_size", "b_size"))
+    return found.where((F.col("rest") >= share) & (F.col("common") + rest >= share)).select("a", "b")
 
 
 def verified_links(marked: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts share ``similarity`` of their distinct shingles (Jaccard)."""
+    """Those of ``pairs`` (a, b) whose texts share ``similarity`` of their distinct shingles (Jaccard).
+
+    Their signs rule most others out before shingles are joined.
+    """
     met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = written(shingle_sets(rows_of(marked, met).dropDuplicates(["id"]), words), "shingles")
+    brief = sets.select("id", F.struct("size", "sign").alias("brief"))
+    near = pairs.join(brief.select(F.col("id").alias("a"), F.col("brief").alias("x")), "a").join(brief.select(F.col("id").alias("b"), F.col("brief").alias("y")), "b")
+    total = F.col("x.size") + F.col("y.size")
+    near = near.where(differing_bits(F.col("x.sign"), F.col("y.sign")) <= (1 - similarity) / (1 + similarity) * total + 1e-6).select("a", "b")
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     either = F.size("x") + F.size("y") - both
-    return written(pairs.join(left, "a").join(right, "b").where((either == 0) | (both >= similarity * either)).select("a", "b"), "links")
+    return written(near.join(left, "a").join(right, "b").where((either == 0) | (both >= similarity * either)).select("a", "b"), "links")
 
 
 def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS, radius: int = WORD_RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,8 +547,9 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int
     components are those of all such pairs. Candidates come first from texts whose fingerprints of distinct words are
     within ``radius`` bits: for each text its nearest in each bucket, and enough others to connect all. This cut is made
     before links are verified, so it may drop a link beside unrelated texts of the same words; none is lost by it, as texts that
-    the links found so far leave apart are compared wherever they share one of their first shingles (see prefixes): one
-    pair for each two groups, then all pairs. Equal texts are one node; null, empty and blank texts are near copies of each other.
+    the links found so far leave apart are compared wherever they share enough of their first shingles (see prefixes); a large group of
+    copies is first joined by way of a few of them, so that its pairs are not all made.
+    Equal texts are one node; null, empty and blank texts are near copies of each other.
     """
     marked = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hashed = marked.select(text_hash("text").alias("doc_id"), "text")
@@ -422,17 +560,16 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int
     pairs = written(equal.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     links = verified_links(marked, pairs, similarity, words)
     groups = components(links, "copies")
-    texts = one_of_each(marked)
-    firsts = written(prefixes(texts, similarity, words, frequent_shingles(texts, prints.count(), words)), "prefixes")
-    often = firsts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(firsts.drop("sign").join(often, "token").distinct(), "shared-prefixes")
-    signs = firsts.where("place = 0").select("id", "sign").join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    signs = written(signs, "signs")
-    for one in (True, False):
-        more = verified_links(marked, written(pairs_apart(shared, signs, groups, similarity, one), "candidates"), similarity, words)
+    named = _broadcast_if_small(written(groups.where("node <> component").select(F.col("node").alias("id"), "component"), "copy-names"))
+    texts = one_of_each(marked).join(named, "id", "left").select("id", "text", F.coalesce("component", "id").alias("part"))
+    shared = shared_firsts(prefixes(texts, similarity, words, frequent_shingles(texts, prints.count(), words)))
+    moved = None
+    for heads in (True, False):
+        more = verified_links(marked, written(pairs_apart(shared, moved, similarity, heads), "candidates"), similarity, words)
         if more.take(1):
             links = links.unionByName(more)
             groups = components(links, "copies")
+            moved = _broadcast_if_small(written(groups.where("node <> component").select(F.col("node").alias("part"), F.col("component").alias("now")), "copy-names"))
     groups = groups.withColumnRenamed("node", "_node")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_hash(text_col).alias("text_hash"))
     return rows.join(groups, F.col("text_hash") == F.col("_node"), "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("component"))

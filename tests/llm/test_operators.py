@@ -150,11 +150,63 @@ def test_near_copies_beside_an_unrelated_text_of_the_same_words(spark):
 
 
 def test_cells_of_a_frequent_shingle_hold_every_pair(spark):
-    shared = spark.createDataFrame([(5, i, 10, 0, 30) for i in range(30)], "token bigint, id bigint, size int, place int, n bigint")
-    groups = spark.createDataFrame([(i, i // 2) for i in range(30)], "node bigint, component bigint")
-    signs = shared.select("id", F.lit(bytes(simhash.SIGN_BITS // 8)).alias("sign"))
-    found = [(r.a, r.b) for r in simhash.pairs_apart(shared, signs, groups, 0.8, False, cell_rows=4).collect()]
-    assert sorted(found) == [(i, j) for i in range(30) for j in range(i + 1, 30) if i // 2 != j // 2]
+    firsts = spark.createDataFrame([(5, i, i // 2, 4, 0, False) for i in range(30)], "token bigint, id bigint, part bigint, size int, place int, often boolean")
+    want = [(i, j) for i in range(30) for j in range(i + 1, 30) if i // 2 != j // 2]
+    for rows, cell_rows in ((firsts, 4), (firsts.withColumn("often", F.col("id") >= 0), 4), (firsts, 100), (firsts.unionByName(firsts), 100)):
+        shared = simhash.shared_firsts(rows, cell_rows=cell_rows)
+        assert {r.n for r in shared.collect()} == {None if cell_rows == 4 else 30}
+        found = [(r.a, r.b) for r in simhash.pairs_apart(shared, None, 0.8, cell_rows=4).collect()]
+        assert sorted(found) == want
+
+
+def test_signs_differ_in_no_more_bits_than_texts_in_shingles(spark):
+    draw = np.random.default_rng(2)
+    pairs = []
+    for _ in range(60):
+        n, gone, new = draw.integers(1, 3000), draw.integers(0, 300), draw.integers(0, 900)
+        x = draw.integers(-(1 << 63), 1 << 63, n)
+        y = np.r_[x[gone:], draw.integers(-(1 << 63), 1 << 63, new)]
+        pairs.append((simhash.text_sign(x).tolist(), simhash.text_sign(y).tolist(), len(set(x.tolist()) ^ set(y.tolist()))))
+    rows = spark.createDataFrame(pairs, "x array<bigint>, y array<bigint>, apart long")
+    rows = rows.withColumn("bits", simhash.differing_bits(F.col("x"), F.col("y"))).collect()
+    assert all(r.bits <= r.apart for r in rows) and sum(r.bits > 0.4 * r.apart for r in rows) > 20
+    assert all(r.bits == 0 for r in rows if r.apart == 0)
+
+
+def test_a_large_group_is_joined_by_way_of_a_few(spark):
+    rows = [(t, i, i, 20, t, False) for t in range(3) for i in range(30)]
+    shared = simhash.shared_firsts(spark.createDataFrame(rows, "token bigint, id bigint, part bigint, size int, place int, often boolean"))
+    found = {(r.a, r.b) for r in simhash.pairs_apart(shared, None, 0.8, True).collect()}
+    assert {(0, i) for i in range(1, 30)} <= found and len(found) < 5 * 30
+    moved = spark.createDataFrame([(i, 0) for i in range(1, 28)], "part bigint, now bigint")
+    assert {(r.a, r.b) for r in simhash.pairs_apart(shared, moved, 0.8).collect()} == {(i, j) for j in (28, 29) for i in range(j)}
+
+
+def test_firsts_of_one_part_go(spark):
+    rows = [(t, 10 * t + i, 10 * t + (i if t % 3 else 0), 10, 0, False) for t in range(40) for i in range(t % 5 + 1)]
+    shared = simhash.shared_firsts(spark.createDataFrame(rows, "token bigint, id bigint, part bigint, size int, place int, often boolean"))
+    want = {(t, i, t % 5 + 1) for t, i, *_ in rows if t % 3 and t % 5}
+    assert {(r.token, r.id, r.n) for r in shared.collect()} == want and shared.count() == len(want)
+
+
+def test_cell_pairs_by_size():
+    sizes = np.array([8, 9, 10, 12, 15, 30])
+    ids, none = np.arange(6), np.full(6, -1)
+    a, b, *_ = simhash.cell_pairs(np.zeros(6, np.int64), ids, sizes, np.zeros(6, np.int64), ids, np.full(6, 9), none, 0.8)
+    assert {(int(x), int(y)) for x, y in zip(a, b)} == {(i, j) for i in range(6) for j in range(i + 1, 6) if sizes[i] >= 0.8 * sizes[j]}
+
+
+def test_near_copies_share_enough_first_shingles():
+    draw = random.Random(8)
+    for _ in range(3000):
+        n, m = draw.randint(0, 60), draw.randint(0, 60)
+        pool = draw.sample(range(10**6), n + m)
+        common = draw.randint(0, min(n, m))
+        a, b = sorted(pool[:n]), sorted(pool[n - common : n - common + m])
+        both = len(set(a) & set(b))
+        if both >= 0.8 * (len(a) + len(b) - both) and both:
+            firsts = [set(x[: len(x) - int(np.ceil(0.8 * len(x) - 1e-9)) + 1]) for x in (a, b)]
+            assert len(firsts[0] & firsts[1]) >= simhash.least_common(np.array([len(a)]), np.array([len(b)]), 0.8)[0]
 
 
 def test_overlaps_with_substitutions(spark):
