@@ -372,7 +372,8 @@ def repair(rows: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
 
     whole = cut.where("whole").select("*", F.lit(NOTHING).alias("state"), F.col("paths")[0]["edits"].alias("edits")).drop("paths")
     split = cut.where("NOT whole").drop("paths").join(chosen, ["part", "seq"])
-    return whole.unionByName(split).mapInArrow(apply, _REPAIRED_SQL)
+    # The flag is a literal on both sides, so that a filter by it leaves one side out.
+    return whole.mapInArrow(apply, _REPAIRED_SQL).withColumn("whole", F.lit(True)).unionByName(split.mapInArrow(apply, _REPAIRED_SQL).withColumn("whole", F.lit(False)))
 
 
 def repaired_rows(repaired: DataFrame) -> DataFrame:
