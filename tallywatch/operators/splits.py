@@ -114,9 +114,12 @@ def stratified_split(
 
 
 def seeded_sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
-    """k rows without replacement, the same rows for the same seed."""
+    """k rows without replacement, the same rows for the same seed, in no particular order.
+
+    Rows whose keys have the same hash at the edge are taken by key; rows that share a key are alike to it.
+    """
     hashed = df.withColumn("_hash", hash_order(F.col(key), seed))
-    return leading_rows(hashed, "_hash", k).drop("_hash")
+    return leading_rows(hashed, "_hash", k, tie=key).drop("_hash")
 
 
 def expected_sizes(total: int, shares: Sequence[float]) -> list[int]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywatch.plans import casework, checks, evaluation, jobs, operations, pipeline  # noqa: F401
+from tallywatch.plans import casework, checks, evaluation, forests, jobs, operations, pipeline  # noqa: F401
 from tallywatch.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

