@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywatch.llm.common import append_columns, cuts
+from tallywatch.llm.common import cuts
 
 MARK = "▁"
 #: Words whose ids a Python worker remembers; it forgets all when it has so many.
@@ -126,7 +126,11 @@ class Encoder:
 
     def _with_marks(self, text: str) -> bytes:
         """A text that holds U+2581 itself, which is spelled in bytes so that it is not decoded as a blank."""
-        other = next(c for c in _STAND_INS if c not in text)
+        other = next((c for c in _STAND_INS if c not in text), None)
+        if other is None:
+            # Texts with all stand-ins too: any code point that it lacks will do.
+            used = set(text)
+            other = next(c for c in map(chr, range(0xF0000, 0x10FFFE)) if c not in used)
         words = _WORD.findall(MARK + text.replace(MARK, other).replace(" ", MARK))
         fresh = sorted(set(words))
         ids = dict(zip(fresh, viterbi(fresh, self.pieces, lambda c: self.pieces.fallback(MARK if c == other else c))))
@@ -153,12 +157,27 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "p
     """
     shared = docs.sparkSession.sparkContext.broadcast(Pieces(path))  # the size of the vocabulary, whatever the corpus
 
-    def run(texts: list[str]) -> list[pa.Array]:
-        coded = _encoder(path, shared.value).encode(texts)
+    kept = [f for f in docs.schema.fields if f.name != ids_col]
+    source = docs.select(F.col(f"`{text_col}`").alias("_text"), *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)))
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+
+    def ids_of(texts: pa.Array) -> pa.Array:
+        coded = _encoder(path, shared.value).encode([x or "" for x in texts.to_pylist()])
         offsets = np.cumsum([0, *(len(x) // 4 for x in coded)], dtype=np.int32)
-        return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+
+    def step(batches):
+        for batch in batches:
+            for start, rows in cuts(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()):
+                part = batch.slice(start, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], ids_of(part.column(0))], names=schema.names)
+                del part
+            # Only one batch of texts stands in a worker: the next is read when this one is gone.
+            del batch
+            pa.default_memory_pool().release_unused()
 
-    return append_columns(docs, text_col, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], run)
+    out = source.mapInArrow(step, schema)
+    return out.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)), ids_col)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
@@ -182,6 +201,9 @@ def decode(rows: DataFrame, path: str, ids_col: str = "piece_ids", out_col: str
                     values = values[(values >= 0) & (values < size)].tolist()
                     texts.append(b"".join(map(content.__getitem__, values))[1:].decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], names=schema.names)
+                del part, texts
+            del batch
+            pa.default_memory_pool().release_unused()
 
     out = source.mapInArrow(step, schema)
     return out.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)), out_col)

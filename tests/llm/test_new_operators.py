@@ -218,3 +218,14 @@ def test_repair_query_equals_brute_force(spark):
     path = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{path}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted(map(tuple, queries.QUERIES["op11_conversation_repair"](spark, path).collect()), key=str) == plain_digest(rows)
+
+
+def test_text_with_the_mark_and_all_stand_ins():
+    import public_tokenizers
+
+    from tallywatch.llm import pieces
+
+    vocabulary = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "a " + pieces.MARK + "".join(pieces._STAND_INS) + " b"
+    ids = np.frombuffer(pieces.Encoder(vocabulary).encode([text])[0], "<i4")
+    assert b"".join(vocabulary.content[i] for i in ids)[1:].decode() == text
