@@ -4,7 +4,8 @@ Every vector is moved by a centre, scaled to length one, rotated by a random ort
 kept as its signs: one packed bit a component. Two numbers go with the code: the length of the moved
 vector and the inner product of the unit vector with its own code. With them the inner product of a
 query and a vector is estimated from the bits alone, without bias, and the estimate has an error bound.
-A vector is compared exactly only if its least possible distance is not above the k-th smallest greatest one.
+Vectors are compared exactly in the order of their least possible distances, some at a time; a vector whose least possible
+distance is above the k-th exact distance found so far is left out. The bound holds with the probability that its width gives.
 
 Queries and vectors meet in blocks: rows of either table get a block number by the hash of their id, each
 pair of blocks is one group of bounded size, and each group returns at most k rows a query.
@@ -20,17 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors and queries of one block; together they bound the memory of a task.
-BLOCK_ROWS, QUERY_ROWS = 32_768, 1_024
+#: Vectors and queries of one block; together they bound the memory of a task. Every vector is sent once for each block of queries.
+BLOCK_ROWS, QUERY_ROWS = 32_768, 16_384
 #: Vectors that the centre of the codes is taken from. Every vector is indexed; only the centre is fitted.
 CENTRE_ROWS = 4_096
 #: Width of the error bound in standard errors of the estimate.
-EPSILON = 6.0
+EPSILON = 3.0
+#: Vectors compared in each round before the limit is taken anew, as multiples of ``k``; the last round takes all that are left.
+_ROUNDS = (4, 16, 64)
 #: Exactly compared pairs held at once.
 _PAIRS = 16_384
 
 _CODED = "dim int, id bigint, vector array<double>, code binary, length double, fit double"
-_FOUND = "query_id bigint, vec_id bigint, score double"
+_FOUND = "query_id bigint, vec_id bigint, score double, compared bigint"
 
 
 @lru_cache(maxsize=4)
@@ -56,8 +59,8 @@ def encode(vectors: np.ndarray, centre: np.ndarray, seed: int) -> tuple[np.ndarr
     return np.packbits(turned > 0, axis=1), length, fit
 
 
-def bounds(query: np.ndarray, codes: np.ndarray, length: np.ndarray, fit: np.ndarray, centre: np.ndarray, seed: int, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-    """Least and greatest squared distance of each query to each code, up to the error bound."""
+def least_distances(query: np.ndarray, codes: np.ndarray, length: np.ndarray, fit: np.ndarray, centre: np.ndarray, seed: int, epsilon: float) -> np.ndarray:
+    """The least squared distance of each query to each code, up to the error bound."""
     dim = query.shape[1]
     with np.errstate(all="ignore"):
         moved = (query - centre) @ rotation(dim, seed).T
@@ -66,10 +69,9 @@ def bounds(query: np.ndarray, codes: np.ndarray, length: np.ndarray, fit: np.nda
         product = (moved.astype(np.float32) @ signs.T).astype(np.float64) / fit
         width = np.sqrt(np.maximum(1 - fit * fit, 0)) / fit * epsilon / np.sqrt(max(dim - 1, 1)) * size + 1e-5 * size
         middle = length**2 + size**2 - 2 * length * product
-        low, high = middle - 2 * length * width, middle + 2 * length * width
+        low = middle - 2 * length * width
     # A vector at the centre has no direction, and very large values overflow: such rows are always compared.
-    bad = ~(np.isfinite(low) & np.isfinite(high))
-    return np.where(bad, -np.inf, low), np.where(bad, np.inf, high)
+    return np.where(np.isfinite(low), low, -np.inf)
 
 
 def exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -80,6 +82,33 @@ def exact(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def rerank(low: np.ndarray, queries: np.ndarray, columns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance) of all pairs compared exactly: ``low`` holds a row of least squared distances a query, infinite
+    where a pair is not to be compared, ``columns`` the vectors component by component."""
+    left, limit = low.copy(), np.full(len(low), np.inf)
+    nearest = np.full((len(low), k), np.inf)
+    found: list[tuple[np.ndarray, ...]] = []
+    for most in (*(k * r for r in _ROUNDS), None):
+        open_ = (left < np.inf) & (left <= limit[:, None])
+        if most is None or most >= left.shape[1]:
+            q, v = np.nonzero(open_)
+        else:
+            first = np.argpartition(left, most - 1, axis=1)[:, :most]
+            q, place = np.nonzero(np.take_along_axis(open_, first, axis=1))
+            v = first[q, place]
+        score = np.concatenate([exact(queries[q[p : p + _PAIRS]].T, columns[:, v[p : p + _PAIRS]]) for p in range(0, len(q), _PAIRS)] or [np.zeros(0)])
+        found.append((q, v, score))
+        left[q, v] = np.inf
+        if most is None or not len(q) or most >= left.shape[1]:
+            break
+        seen = np.full((len(low), most), np.inf)
+        seen[q, place] = score
+        nearest = np.partition(np.concatenate([nearest, seen], axis=1), k - 1, axis=1)[:, :k]
+        with np.errstate(over="ignore"):
+            limit = nearest[:, k - 1] ** 2 * (1 + 1e-12)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _searcher(k: int, centres: dict[int, list[float]], seed: int, epsilon: float):
     def search(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[np.ndarray] = []
@@ -92,19 +121,19 @@ def _searcher(k: int, centres: dict[int, list[float]], seed: int, epsilon: float
             asked, names = matrix(queries.column("vector").combine_chunks(), dim), queries.column("id").to_numpy()
             step = max(1, 4_000_000 // len(ids))
             for s in range(0, len(names), step):
-                low, high = bounds(asked[s : s + step], codes, length, fit, centre, seed, epsilon)
-                own = names[s : s + step, None] == ids[None, :]
-                low[own], high[own] = np.inf, np.inf
-                most = np.partition(high, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(low), np.inf)
-                q, v = np.nonzero((low <= most[:, None]) & ~own)
-                score = np.concatenate([exact(asked[s + q[p : p + _PAIRS]].T, rows[:, v[p : p + _PAIRS]]) for p in range(0, len(q), _PAIRS)] or [np.zeros(0)])
+                low = least_distances(asked[s : s + step], codes, length, fit, centre, seed, epsilon)
+                low[names[s : s + step, None] == ids[None, :]] = np.inf
+                q, v, score = rerank(low, asked[s : s + step], rows, k)
+                compared = np.bincount(q, minlength=len(low))
                 order = np.lexsort((ids[v], score, q))
                 q, v, score = q[order], v[order], score[order]
                 rank = np.arange(len(q)) - np.searchsorted(q, q)
                 kept = rank < k
-                found.append([names[s + q[kept]], ids[v[kept]], score[kept]])
-        parts = [np.concatenate(x) for x in zip(*found)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": parts[0], "vec_id": parts[1], "score": parts[2]})
+                # The number of comparisons stands in the first row of each query.
+                found.append([names[s + q[kept]], ids[v[kept]], score[kept], np.where(rank == 0, compared[q], 0)[kept]])
+        none = np.zeros(0, np.int64)
+        parts = [np.concatenate(x) for x in zip(*found)] or [none, none, np.zeros(0), none]
+        return pa.table(dict(zip(("query_id", "vec_id", "score", "compared"), parts)))
 
     return search
 
@@ -121,15 +150,15 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nearest_codes(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 42, epsilon: float = EPSILON) -> DataFrame:
-    """The ``k`` nearest vectors of each query: query_id, rank, vec_id, score (Euclidean distance).
+    """The ``k`` nearest vectors of each query: query_id, rank, vec_id, score (Euclidean distance), compared (vectors compared exactly for the query).
 
     Vectors and queries that are null, empty, zero or hold a null or non-finite component take no part, nor
     does a row without id. A query is not compared with rows of its own id, and only with vectors of its own
-    length. Ties go to the smaller id. Rows that repeat an id and vector are all candidates. Fewer than ``k``
+    length. Ties go to the smaller id. Rows that repeat an id and vector are all candidates, but one query. Fewer than ``k``
     candidates are all returned; empty tables give no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
+    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).dropDuplicates(["id", "vector"])
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(CENTRE_ROWS).select("dim", F.posexplode("vector").alias("place", "x"))
     centres: dict[int, list[float]] = {}
     for dim, place, x in sorted(sample.groupBy("dim", "place").agg(F.avg("x")).collect()):
@@ -154,4 +183,5 @@ def nearest_codes(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: s
     keys = ["dim", "block", "lot"]
     found = coded.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_searcher(k, centres, seed, epsilon), _FOUND)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = found.withColumns({"rank": F.row_number().over(best), "compared": F.sum("compared").over(Window.partitionBy("query_id"))})
+    return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "compared")

@@ -89,7 +89,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 @query("op10_nearest_codes", _NEAREST_SQL)
 def nearest_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return ann.nearest_codes(rows, rows.where(F.col("vec_id") % 100 == 0), 10)
+    return ann.nearest_codes(rows, rows.where(F.col("vec_id") % 100 == 0), 10).drop("compared")
 
 
 _WORDS_SQL = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
