@@ -83,6 +83,14 @@ def append_columns(docs: DataFrame, text_col: str, fields: list[T.StructField],
     return out.select(*(F.col(f"c{i}").alias(f.name) for i, f in enumerate(kept)), *(f.name for f in fields))
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, made longer until no column of ``frames`` has it in any case: the name of a helper column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Ids that may be broadcast: about 50 MB as a hash table.
 BROADCAST_IDS = 1_000_000
 
@@ -90,12 +98,13 @@ BROADCAST_IDS = 1_000_000
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id and text hash are in ``gone`` (id, text_hash); null ids match null ids.
 
-    ``gone`` is counted: up to BROADCAST_IDS rows are sent to the documents, more are joined by shuffle.
+    ``gone`` is counted: up to BROADCAST_IDS rows are sent to the documents, more are joined by shuffle. ``docs`` may have columns of any name.
     """
-    gone = written(gone.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "rows-to-drop")
+    key, sign = unused("_id", docs), unused("_hash", docs)
+    gone = written(gone.select(F.col("id").alias(key), F.col("text_hash").alias(sign)).distinct(), "rows-to-drop")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (text_hash(text_col) == F.col("_hash"))
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col(key)) & (text_hash(text_col) == F.col(sign))
     return docs.join(gone, same, "left_anti")
 
 

@@ -275,8 +275,9 @@ def _identify_by_join(docs: DataFrame, models: ModelTable, text_col: str) -> Dat
     chances = F.transform("_each", lambda x: F.pow(F.lit(2.0), -(x - F.col("_bits")) * F.least("_chars", F.lit(SURE_CHARS))))
     found = found.withColumn("_score", 1 / F.aggregate(chances, F.lit(0.0), lambda a, x: a + x)).drop("_each")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    out = docs.withColumn("_key", text_hash(text_col)).join(found, F.col("_key") == F.col("_hash"), "left")
-    return out.select(*kept, F.coalesce("_lang", F.lit("und")).alias("lang_pred"), F.coalesce("_score", F.lit(0.0)).alias("score"), F.col("_bits").alias("bits"), F.coalesce("_chars", F.lit(0)).cast("bigint").alias("chars"))
+    # The columns of ``docs`` travel as one, so that none can clash with a helper column.
+    out = docs.select(F.struct(*kept).alias("row"), text_hash(text_col).alias("key")).join(found, F.col("key") == F.col("_hash"), "left")
+    return out.select("row.*", F.coalesce("_lang", F.lit("und")).alias("lang_pred"), F.coalesce("_score", F.lit(0.0)).alias("score"), F.col("_bits").alias("bits"), F.coalesce("_chars", F.lit(0)).cast("bigint").alias("chars"))
 
 
 def calibrated(found: DataFrame, training: DataFrame, spreads: float = REJECT_SPREADS) -> DataFrame:
@@ -286,4 +287,6 @@ def calibrated(found: DataFrame, training: DataFrame, spreads: float = REJECT_SP
     room = F.sqrt(F.greatest(F.lit(1.0), SURE_CHARS * 10 / F.col("chars")))
     above = F.col("bits") > F.col("_mean") + spreads * F.greatest("_spread", F.lit(0.05)) * room
     # A row a language, so the limits are small whatever the corpus.
-    return found.join(F.broadcast(limits), F.col("lang_pred") == F.col("_lang"), "left").withColumn("rejected", F.coalesce(above, F.lit(True))).drop("_lang", "_mean", "_spread")
+    kept = [F.col(f"`{c}`") for c in found.columns if c != "rejected"]
+    rows = found.select(F.struct(*kept).alias("row"), "lang_pred", "bits", "chars")
+    return rows.join(F.broadcast(limits), F.col("lang_pred") == F.col("_lang"), "left").select("row.*", F.coalesce(above, F.lit(True)).alias("rejected"))

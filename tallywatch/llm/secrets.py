@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywatch.llm.common import append_columns
+from tallywatch.llm.common import append_columns, unused
 
 # Patterns of the three base kinds, and the least length of what they must match.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -165,8 +165,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     def clean(texts: list[str]) -> list[pa.Array]:
         return [pa.array([_cut(x, spans, mark) if (spans := all_spans(x)) else None for x in texts], pa.string())]
 
-    found = append_columns(docs, text_col, [T.StructField("_redacted", T.StringType())], clean)
-    return found.select(*(F.coalesce("_redacted", F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    redacted = unused("_redacted", docs)
+    found = append_columns(docs, text_col, [T.StructField(redacted, T.StringType())], clean)
+    return found.select(*(F.coalesce(redacted, F.col(c)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
 def _cut(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:

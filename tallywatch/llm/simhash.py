@@ -605,8 +605,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("id"), "text_hash")
     if not again.take(1):
         return left
-    once = left.withColumns({"_id": F.col(id_col).cast("bigint"), "_hash": text_hash(text_col)})
-    again = again.select(F.col("id").alias("_i"), F.col("text_hash").alias("_h"))
-    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
-    repeated = once.join(again, same, "left_semi").dropDuplicates(["_id", "_hash"]).drop("_id", "_hash")
-    return without_rows(left, again.select(F.col("_i").alias("id"), F.col("_h").alias("text_hash")), id_col, text_col).unionByName(repeated)
+    once = left.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("own"), text_hash(text_col).alias("sign"))
+    same = F.col("own").eqNullSafe(F.col("id")) & (F.col("sign") == F.col("text_hash"))
+    repeated = once.join(again, same, "left_semi").dropDuplicates(["own", "sign"]).select("row.*")
+    return without_rows(left, again, id_col, text_col).unionByName(repeated)

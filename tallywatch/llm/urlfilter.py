@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywatch.llm.common import written
+from tallywatch.llm.common import unused, written
 
 #: (verdict, host, path prefix).
 Rule = tuple[str, str, str]
@@ -124,8 +124,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, url_col: str
     universe = written(judged.groupBy("key").agg(F.bool_or("listed").alias("listed")), "url-keys")
     listed = universe.where("listed").count()
     if listed * math.log2(1 / FIRST_RATE) * 1.5 > max_bits:  # more than may travel with the plan
-        marks = universe.where("listed").select(F.col("key").alias("_key"), F.lit(True).alias("_listed"))
-        rows = rows.join(marks, key == F.col("_key"), "left").withColumn("_in", F.col("_listed").isNotNull()).drop("_key", "_listed")
-    else:
-        rows = rows.withColumn("_in", member(cascade(universe), key))
-    return rows.withColumn("verdict", F.when(F.col("_in"), "block").otherwise("allow")).drop("_in")
+        mark = unused("_listed", rows)
+        marks = universe.where("listed").select(F.col("key").alias(mark))
+        rows, inside = rows.join(marks, key == F.col(mark), "left"), F.col(mark).isNotNull()
+        return rows.withColumn("verdict", F.when(inside, "block").otherwise("allow")).drop(mark)
+    return rows.withColumn("verdict", F.when(member(cascade(universe), key), "block").otherwise("allow"))

@@ -427,3 +427,46 @@ def test_nearest_codes_are_exact(spark):
         assert [s for _, s in found[q]] == pytest.approx([d for d, _ in far[:10]])
     assert found[500] == [(405, 1.0)]
     assert ann.nearest_codes(table.limit(0), table).count() == 0
+    assert len(found[200]) == 10
+
+
+def test_codes_rule_out_most_vectors(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in table.collect() if r.embedding is not None]
+    vectors, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    got = ann.nearest_codes(table, table.where("vec_id % 100 = 0")).collect()
+    found, compared = {}, {r.query_id: r.compared for r in got}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in found:
+        far = np.sqrt(((vectors - vectors[ids == q][0]) ** 2).sum(axis=1))
+        far[ids == q] = np.inf
+        hits += len(found[q] & set(ids[np.lexsort((ids, far))[:10]].tolist()))
+    share = sum(compared.values()) / (len(found) * (len(ids) - 1))
+    assert hits >= 0.99 * 10 * len(found), hits
+    assert share < 0.5, share
+
+
+def test_helper_columns_do_not_clash(spark):
+    fields = ", ".join(f"{c} string" for c in ("_id", "_hash", "_key", "_lang", "_mean", "_spread", "_redacted", "_in", "_listed", "_i", "_h", "row", "id", "key", "own", "sign"))
+    base = words(1, 60)
+    rows = [(1, base), (2, base + " more"), (3, "token: abcdefgh12345678 stays"), (3, "token: abcdefgh12345678 stays"), (4, None), (None, "x")]
+    docs = spark.createDataFrame([(i, t, f"http://a.net/es/{i}", *["kept"] * 16) for i, t in rows], f"doc_id long, text string, url string, {fields}")
+
+    def same(df, n):
+        got = df.collect()
+        assert len(got) == n and all(r[c] == "kept" for r in got for c in docs.columns[3:])
+        return got
+
+    assert sorted(str(r.doc_id) for r in same(simhash.drop_near_copies(docs), 4)) == ["1", "3", "4", "None"]
+    items = spark.createDataFrame([(1, base)], "item_id long, text string")
+    assert sorted(str(r.doc_id) for r in same(decontam.decontaminate(docs, items), 4)) == ["3", "3", "4", "None"]
+    assert sum("[SECRET]" in (r.text or "") for r in same(secrets.redact(docs), 2 * 3)) == 2
+    for bits in (urlfilter.MAX_BITS, 0):
+        assert {r.verdict for r in same(urlfilter.filter_urls(docs, max_bits=bits), 6)} == {"block"}
+    taught = spark.createDataFrame([("en", words(5, 90)), ("de", words(6, 90).upper())], "lang string, text string")
+    for most in (0, 10**6):
+        models = langid.fit(taught, max_rows=most)
+        told = langid.identify(docs, models)
+        assert {r.rejected for r in same(langid.calibrated(told, told), 6)} <= {True, False}
