@@ -191,14 +191,20 @@ def _score_steps(df: DataFrame, score: str, label: str, groups: Sequence[str] =
 
 
 def curve_points(df: DataFrame, score: str, label: str) -> DataFrame:
-    """ROC and precision-recall points at every distinct score."""
+    """ROC and precision-recall points at every distinct score, and the end point of both curves.
+
+    At the end point nothing is alerted: its threshold is null (above every score), both rates are 0 and the precision is 1.
+    """
     steps = _score_steps(df, score, label)
     false = F.col("alerts") - F.col("tp")
-    return steps.select(
+    points = steps.select(
         F.col(score).alias("threshold"), "tp", false.alias("fp"),
         ratio(F.col("tp"), F.col("pos_total")).alias("tpr"),
         ratio(false, F.col("n_total") - F.col("pos_total")).alias("fpr"),
         ratio(F.col("tp"), F.col("alerts")).alias("precision"))
+    values = {"threshold": None, "tp": 0, "fp": 0, "tpr": 0.0, "fpr": 0.0, "precision": 1.0}
+    end = df.sparkSession.range(1, numPartitions=1).select(*[F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in points.schema])
+    return points.unionByName(end)
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str, groups: Sequence[str] = ()) -> DataFrame:

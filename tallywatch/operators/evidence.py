@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tallywatch.functions.text import decimal_difference, labelled, present
 
@@ -270,6 +270,19 @@ KNOWLEDGE_TEXT_CHARS = 1200
 CASE_TEXT_CHARS = 1000
 
 
+#: Fields of a history item that an answer may quote, and the ids of which the first one names it: fixed values.
+HISTORY_FACTS = (
+    "transaction_id", "alert_id", "event_time", "transaction_type", "amount", "name_orig", "name_dest", "old_balance_orig",
+    "new_balance_orig", "old_balance_dest", "new_balance_dest", "risk_level", "risk_action", "anomaly_score", "xgboost_probability",
+    "xgboost_prediction", "final_prediction", "final_decision_path", "model_version", "investigation_id", "investigation_status", "status",
+)
+HISTORY_IDS = ("transaction_id", "alert_id", "investigation_id")
+HISTORY_TEXTS, HISTORY_TEXT_CHARS, HISTORY_POINTS = ("investigation_summary", "risk_reasoning"), 800, 3
+NO_HISTORY = "No relevant history was retrieved."
+NO_KNOWLEDGE = "No relevant regulatory/domain evidence was retrieved."
+NO_CASES = "No synthetic PaySim {} cases were retrieved."
+
+
 def question_intent(question: str | Column) -> Column:
     text = F.lower(F.col(question) if isinstance(question, str) else question)
     chain = F
@@ -283,9 +296,12 @@ def select_evidence(df: DataFrame, question: str = "question", limits: Mapping[s
 
     ``knowledge`` items carry authority and source_type; a regulatory question
     keeps primary texts of the regulator only. ``cases`` keep two per label.
+    ``history`` has source_id and content (JSON of the facts that are present) of the account's listed items, without those that
+    lack an id or are the current transaction (``transaction_id``, if there is such a column). ``missing`` says in sentences what
+    was looked for in vain. A list that the question's class does not use is null.
     """
     intent = F.col("intent")
-    empty_history = intent.isin("transaction", "historical", "account")
+    uses_history = intent.isin("transaction", "historical", "account")
     uses_knowledge, uses_cases = intent.isin("transaction", "historical", "regulatory"), intent.isin("transaction", "historical")
 
     def primary(item: Column) -> Column:
@@ -302,9 +318,49 @@ def select_evidence(df: DataFrame, question: str = "question", limits: Mapping[s
     asked = question_intent(question)
     # A general question about a transaction is answered like a transaction question.
     chosen = df.withColumn("intent", F.when(asked == "general", "transaction").otherwise(asked))
-    return chosen.withColumns({
-        **{name: F.when(empty_history, F.filter(F.slice(name, 1, limits[name]), lambda r: F.lit(True)))
-           for name in ("recent_transactions", "recent_alerts", "previous_investigations") if name in df.columns},
+    listed = [name for name in ("recent_transactions", "recent_alerts", "previous_investigations") if name in df.columns]
+    items = F.concat(*[_history_items(df, name, limits[name]) for name in listed]) if listed else None
+    history = {}
+    if items is not None:
+        current = F.col("transaction_id").cast("string") if "transaction_id" in df.columns else F.lit(None).cast("string")
+        named = F.filter(items, lambda i: i["source_id"].isNotNull() & ~F.coalesce(i["source_id"] == current, F.lit(False)))
+        history = {"history": F.when(uses_history, named)}
+
+    def sentence(used: Column, found: Column, text: str) -> Column:
+        return F.when(used & (F.coalesce(found, F.lit(0)) <= 0), F.lit(text))
+
+    chosen = chosen.withColumns({
+        **{name: F.when(uses_history, F.slice(name, 1, limits[name])) for name in listed}, **history,
         "knowledge": F.when(uses_knowledge, clipped(F.slice(allowed, 1, limits["knowledge"]), KNOWLEDGE_TEXT_CHARS)),
         "cases": F.when(uses_cases, clipped(F.concat(labelled_cases(True), labelled_cases(False)), CASE_TEXT_CHARS)),
     })
+    # Items count as retrieved before those without a name are left out.
+    retrieved = sum((F.coalesce(F.size(name), F.lit(0)) for name in listed), F.lit(0))
+    labels = F.transform("cases", lambda c: F.lower(c["label"].cast("string")).isin("fraud", "1", "true"))
+    sentences = [sentence(uses_history, F.greatest(retrieved, F.lit(0)), NO_HISTORY)] if listed else []
+    sentences += [sentence(uses_knowledge, F.size("knowledge"), NO_KNOWLEDGE)]
+    sentences += [sentence(uses_cases, F.size(F.filter(labels, lambda x: F.coalesce(x, F.lit(False)) == fraud)), NO_CASES.format(name))
+                  for name, fraud in (("fraud", True), ("normal", False))]
+    return chosen.withColumn("missing", F.array_compact(F.array(*sentences)))
+
+
+def _history_items(df: DataFrame, name: str, most: int) -> Column:
+    """The first ``most`` items of the list ``name`` as (source_id, content)."""
+    fields = df.schema[name].dataType.elementType
+
+    def facts(item: Column) -> Column:
+        values = [item[f].alias(f) for f in HISTORY_FACTS if f in fields.names]
+        values += [F.nullif(F.substring(item[f].cast("string"), 1, HISTORY_TEXT_CHARS), F.lit("")).alias(f)
+                   for f in HISTORY_TEXTS if f in fields.names]
+        if "recommended_review_points" in fields.names:
+            points = item["recommended_review_points"]
+            listed = isinstance(fields["recommended_review_points"].dataType, T.ArrayType)
+            values.append((F.slice(points, 1, HISTORY_POINTS) if listed else F.substring(points.cast("string"), 1, HISTORY_TEXT_CHARS))
+                          .alias("recommended_review_points"))
+        return F.to_json(F.struct(*values)) if values else F.lit("{}")
+
+    def item(row: Column) -> Column:
+        ids = [F.nullif(row[f].cast("string"), F.lit("")) for f in HISTORY_IDS if f in fields.names]
+        return F.struct(F.coalesce(*ids, F.lit(None).cast("string")).alias("source_id"), facts(row).alias("content"))
+
+    return F.coalesce(F.transform(F.slice(name, 1, most), item), F.array().cast("array<struct<source_id:string,content:string>>"))

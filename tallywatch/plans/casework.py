@@ -532,3 +532,28 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "conv_id", "turn", "intent", F.coalesce(F.array_join("knowledge.document_id", ","), F.lit("")).alias("knowledge_ids"),
         F.coalesce(F.array_join("cases.document_id", ","), F.lit("")).alias("case_ids"))
+
+
+@query("history_evidence", f"""WITH {CTE_HISTORY}, q AS (SELECT conv_id, turn, lower({_QUESTION}) AS f FROM conversations), asked AS (
+SELECT conv_id, turn, CASE WHEN regexp_matches(f, '\\brbi\\b|reserve bank|regulat|early.warning|(?:\\bews\\b)|\\brfa\\b') THEN 'regulatory'
+  WHEN regexp_matches(f, 'historical|historically|paysim|synthetic|compare|similar cases|past cases') THEN 'historical'
+  WHEN regexp_matches(f, 'account|previous|prior|before|history') THEN 'account' ELSE 'transaction' END AS intent FROM q), named AS (
+SELECT h.event_id, tx_n + alert_n + inv_n AS n, list_filter([split_part(tx_ids, ',', 1), split_part(tx_ids, ',', 2), other.transaction_id, inv.alert_id],
+  lambda s: s <> '' AND s <> h.transaction_id) AS ids
+FROM hist h LEFT JOIN alerts other ON other.alert_id = split_part(alert_ids, ',', 1)
+LEFT JOIN alerts inv ON inv.event_id = TRY_CAST(split_part(split_part(investigation_ids, ',', 1), '-', 3) AS BIGINT))
+SELECT conv_id, turn, event_id, intent, CASE WHEN intent <> 'regulatory' THEN array_to_string(ids, ',') ELSE '' END AS history_ids,
+  CASE WHEN intent <> 'regulatory' THEN len(ids) ELSE 0 END AS history_facts,
+  intent <> 'regulatory' AND n = 0 AS history_missing
+FROM asked JOIN named ON named.event_id = conv_id""")
+def history_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_QUESTION).alias("question"))
+    none = F.array().cast("array<struct<document_id:string,text:string,authority:string,source_type:string,label:string>>")
+    rows = asked.join(_history(spark, sf_dir), F.col("conv_id") == F.col("event_id"))
+    out = evidence.select_evidence(rows.withColumns({"knowledge": none, "cases": none}))
+    ids = F.coalesce("history.source_id", F.array().cast("array<string>"))
+    return out.select(
+        "conv_id", "turn", "event_id", "intent", F.array_join(ids, ",").alias("history_ids"),
+        F.coalesce(F.size(F.filter("history", lambda h: F.get_json_object(h["content"], "$.event_time").isNotNull()
+                                   | F.get_json_object(h["content"], "$.investigation_id").isNotNull())), F.lit(0)).cast("long").alias("history_facts"),
+        F.array_contains("missing", evidence.NO_HISTORY).alias("history_missing"))

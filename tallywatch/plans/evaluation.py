@@ -197,7 +197,8 @@ SELECT score, count(*) AS n, sum(label)::BIGINT AS pos FROM judged GROUP BY scor
 SELECT score, (sum(pos) OVER w)::BIGINT AS tp, (sum(n) OVER w)::BIGINT AS alerts, (sum(pos) OVER ()) AS p,
   (sum(n) OVER ()) AS t FROM v WINDOW w AS (ORDER BY score DESC))
 SELECT score AS threshold, tp, alerts - tp AS fp, round(tp / p, 8)::DOUBLE AS tpr,
-  round((alerts - tp) / (t - p), 8)::DOUBLE AS fpr, round(tp / alerts, 8)::DOUBLE AS precision FROM c""")
+  round((alerts - tp) / (t - p), 8)::DOUBLE AS fpr, round(tp / alerts, 8)::DOUBLE AS precision FROM c
+UNION ALL SELECT NULL, 0, 0, 0, 0, 1""")
 def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(evaluate.curve_points(judged(spark, sf_dir), "score", "label"), ["tpr", "fpr", "precision"])
 

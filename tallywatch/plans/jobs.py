@@ -83,6 +83,35 @@ def csv_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.first_rows(numbered, 3000).select("source_row_id", "nameOrig", "amount")
 
 
+def _uneven_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Transactions as text lines in order: every 40th line has two fields too many, every 40th lacks its last two."""
+    path = scratch_dir(spark, "uneven-csv")
+    rows = corpus_rows(spark, sf_dir).withColumns({"isFlaggedFraud": F.lit("0"), "source_row_id": F.col("source_row_id").cast("long")})
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in CSV_COLUMNS])
+    kind = F.pmod(F.col("source_row_id"), F.lit(40))
+    line = F.when(kind == 3, F.concat(line, F.lit(",more,fields"))).when(kind == 5, F.substring_index(line, ",", 9)).otherwise(line)
+    rows.orderBy("source_row_id").select(line.alias("value")).write.option("header", True).csv(path, quote="", escapeQuotes=False, sep="\u0001")
+    return path
+
+
+_CTE_LINES = f"""{CTE_TX}, kept AS (
+SELECT *, event_id % 40 AS kind, row_number() OVER (ORDER BY event_id) - 1 AS source_row_id FROM tx WHERE event_id % 40 <> 3)"""
+
+
+@query("csv_uneven_rows", f"""WITH {_CTE_LINES}
+SELECT source_row_id, nameOrig, amount::VARCHAR AS amount, CASE WHEN kind <> 5 THEN isFraud::VARCHAR END AS isFraud FROM kept""")
+def csv_uneven_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = readers.csv_lines(spark, _uneven_csv(spark, sf_dir))
+    return readers.csv_rows(lines, as_text=True).select("source_row_id", "nameOrig", "amount", "isFraud")
+
+
+@query("csv_line_rejects", f"""WITH {_CTE_LINES}
+SELECT 'too many fields' AS reject, count(*) AS lines FROM tx WHERE event_id % 40 = 3 GROUP BY 1""")
+def csv_line_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = readers.csv_lines(spark, _uneven_csv(spark, sf_dir))
+    return lines.where("reject IS NOT NULL").groupBy("reject").agg(F.count("*").alias("lines"))
+
+
 @query("producer_events", f"""WITH {CTE_TX}
 SELECT transaction_id, 'paysim' AS source, 'B1' AS batch_id, event_id::INT AS producer_sequence, step, step AS event_step, type,
   amount, nameOrig, isFraud FROM tx""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from tallywatch.schema import CSV_TEXT, CSV_TYPED, TRANSACTION_EVENT
+from tallywatch.schema import CSV_COLUMNS, CSV_TEXT, CSV_TYPED, TRANSACTION_EVENT
 
 def kafka_events(spark: SparkSession, servers: str, topic: str, max_offsets: int | None = None,
                  fail_on_data_loss: bool = True) -> DataFrame:
@@ -38,7 +38,9 @@ def event_order(partition: str = "kafka_partition", offset: str = "kafka_offset"
 
 
 def read_csv(spark: SparkSession, path: str, as_text: bool = False) -> DataFrame:
-    """CSV scan with a declared schema; malformed lines are dropped, nothing is inferred."""
+    """CSV scan with a declared schema; malformed lines are dropped, nothing is inferred.
+
+    Which lines count as malformed depends on the columns that are read; ``csv_lines`` numbers and rejects lines exactly."""
     return (spark.read.schema(CSV_TEXT if as_text else CSV_TYPED).option("header", True)
             .option("mode", "DROPMALFORMED").csv(path))
 
@@ -60,6 +62,44 @@ def with_file_ordinal(df: DataFrame, name: str = "source_row_id") -> DataFrame:
             .withColumn(name, F.col("_within") + F.col("_offset")).drop("_split", "_local", "_within", "_offset"))
 
 
+def csv_lines(spark: SparkSession, path: str, columns: int = len(CSV_COLUMNS)) -> DataFrame:
+    """Every line of the files below its header: file, line_number (from 1, header included), line, source_row_id, reject.
+
+    A line of more than ``columns`` fields is a reject ("too many fields"), one that ends inside quotes too ("open quote"),
+    a blank line as well ("blank"). All others are rows; shorter ones lack their last fields. ``source_row_id`` counts the rows
+    from 0 through all files in the order of their names and is null for rejects. A field cannot hold a line break.
+
+    Lines are counted per file split before they are parsed, so the numbers do not depend on the columns that are read.
+    """
+    split = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    raw = spark.read.text(path).select(split.alias("split"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+    plain = F.when(F.contains("line", F.lit('"')), F.regexp_replace("line", '"[^"]*"', "")).otherwise(F.col("line"))
+    fields = F.length(plain) - F.length(F.replace(plain, F.lit(","))) + 1
+    reject = (F.when(F.trim("line") == "", "blank").when(F.contains(plain, F.lit('"')), "open quote")
+              .when(fields > columns, "too many fields"))
+    within = Window.partitionBy("split").orderBy("place")
+    header = (F.col("split.start") == 0) & (F.col("number") == 1)
+    rows = raw.withColumns({"reject": reject, "number": F.row_number().over(within)}).withColumn("header", header)
+    kept = (F.col("reject").isNull() & ~F.col("header")).cast("long")
+    rows = rows.withColumn("rank", F.sum(kept).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    # One row per file split in these windows, not per line.
+    sizes = rows.groupBy("split").agg(F.count("*").alias("lines"), F.sum(kept).alias("kept"))
+    before = Window.partitionBy(F.lit(0)).orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("split.path").orderBy("split.start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("split", F.coalesce(F.sum("kept").over(before), F.lit(0)).alias("rows_before"),
+                         F.coalesce(F.sum("lines").over(in_file), F.lit(0)).alias("lines_before"))
+    ordinal = F.when(F.col("reject").isNull(), F.col("rank") + F.col("rows_before"))
+    return rows.where("NOT header").join(sizes, "split").select(
+        F.col("split.path").alias("file"), (F.col("number") + F.col("lines_before")).alias("line_number"), "line",
+        ordinal.alias("source_row_id"), "reject")
+
+
+def csv_rows(lines: DataFrame, as_text: bool = False) -> DataFrame:
+    """source_row_id and the columns of the lines that are rows. Missing fields are null; a value that does not fit its type too."""
+    parsed = F.from_csv("line", (CSV_TEXT if as_text else CSV_TYPED).simpleString()[len("struct<"):-1].replace(":", " "), {"mode": "PERMISSIVE"})
+    return lines.where("reject IS NULL").select("source_row_id", parsed.alias("row")).select("source_row_id", "row.*")
+
+
 def first_rows(df: DataFrame, n: int, ordinal: str = "source_row_id") -> DataFrame:
     """The first n rows of the scan by file position."""
     return df.where(F.col(ordinal) < n)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pytest
@@ -238,3 +239,28 @@ def test_results_refuse_null_status_and_extra_groups(spark):
                      3: ["invalid:alert_assessment"], 4: ["invalid:historical_comparison"]}
     payload = {key: good[key] for key in quality.PAYLOAD_KEYS} | wider
     assert quality.check_payloads(spark.createDataFrame([(json.dumps(payload),)], "payload string"), "payload").first()["violations"] == []
+
+
+def test_history_of_selected_evidence(spark):
+    tx = "array<struct<transaction_id:string,event_time:string,amount:double>>"
+    alert = "array<struct<alert_id:string,transaction_id:string,risk_level:string>>"
+    told = "array<struct<investigation_id:string,investigation_summary:string,recommended_review_points:array<string>>>"
+    item = "array<struct<document_id:string,text:string,authority:string,source_type:string,label:string>>"
+    case = [("d1", "x" * 2000, None, None, "1")]
+    rows = [
+        (1, "previous activity?", "T1", [("T1", "t", 1.0), ("T2", None, 2.0), ("T3", "t", 3.0)], [("A1", "", "L1"), ("A2", "T9", "L2")],
+         [("I1", "s" * 900, ["a", "b", "c", "d"])], [], case),
+        (2, "history of it", "T1", [], [], [], [], case),
+        (3, "what does RBI say", "T1", [("T2", "t", 1.0)], [], [], [], case),
+        (4, "past cases", "T1", [("T1", "t", 1.0)], None, [(None, None, None)], None, case),
+    ]
+    schema = f"id int, question string, transaction_id string, recent_transactions {tx}, recent_alerts {alert}, previous_investigations {told}, knowledge {item}, cases {item}"
+    got = {r["id"]: r for r in evidence.select_evidence(spark.createDataFrame(rows, schema)).collect()}
+    assert [h["source_id"] for h in got[1]["history"]] == ["T2", "A1", "I1"]
+    assert json.loads(got[1]["history"][0]["content"]) == {"transaction_id": "T2", "amount": 2.0}
+    last = json.loads(got[1]["history"][2]["content"])
+    assert len(last["investigation_summary"]) == 800 and last["recommended_review_points"] == ["a", "b", "c"]
+    assert got[1]["missing"] == [] and got[2]["history"] == [] and got[2]["missing"] == [evidence.NO_HISTORY]
+    assert got[3]["history"] is None and got[3]["missing"] == [evidence.NO_KNOWLEDGE]
+    assert got[4]["history"] == [] and evidence.NO_HISTORY not in got[4]["missing"]
+    assert got[4]["missing"] == [evidence.NO_KNOWLEDGE, evidence.NO_CASES.format("normal")]

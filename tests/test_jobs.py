@@ -276,3 +276,33 @@ def test_top_features_and_verdicts(spark):
     assert out[0]["top_contributing_features"] == ["a (z=1.00)", "c (z=1.00)", "b (z=0.00)"]
     assert (out[0]["recommended_action"], out[0]["is_anomaly"]) == ("Immediate Escalation / Audit", True)
     assert (out[1]["recommended_action"], out[1]["risk_level"]) == ("Automated Pass", "L1")
+
+
+def test_csv_lines_number_every_row_once(spark, folder):
+    import pathlib
+
+    path = pathlib.Path(folder) / "uneven"
+    path.mkdir()
+    head = "step,type,amount,nameOrig,oldbalanceOrg,newbalanceOrig,nameDest,oldbalanceDest,newbalanceDest,isFraud,isFlaggedFraud\n"
+    good = '{},"DE,BIT",2.5,C,1,1,M,1,1,0,0\n'
+    for name in "ab":
+        lines = [good.format(i) for i in range(1, 11)]
+        lines[3] = "4,DEBIT,2.5,C,1,1,M,1,1,0,0,9,9\n"
+        lines[6] = "7,DEBIT,oops,C\n"
+        lines[8] = "  \n"
+        (path / f"{name}.csv").write_text(head + "".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    try:
+        lines = readers.csv_lines(spark, str(path))
+        rows = readers.csv_rows(lines)
+        got = sorted((r["source_row_id"], r["step"], r["type"], r["amount"], r["isFraud"]) for r in rows.collect())
+        assert rows.count() == len(got) == 16
+        rejects = sorted((r["file"][-5:], r["line_number"], r["reject"]) for r in lines.where("reject IS NOT NULL").collect())
+        assert readers.first_rows(rows, 12).count() == len(readers.first_rows(rows, 12).collect()) == 12
+        assert readers.csv_rows(readers.csv_lines(spark, str(path)), as_text=True).where("amount = 'oops'").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    steps = [1, 2, 3, 5, 6, 7, 8, 10] * 2
+    want = [(i, s, *(("DEBIT", None, None) if s == 7 else ("DE,BIT", 2.5, 0))) for i, s in enumerate(steps)]
+    assert got == want
+    assert rejects == [(f, n, why) for f in ("a.csv", "b.csv") for n, why in ((5, "too many fields"), (10, "blank"))]
