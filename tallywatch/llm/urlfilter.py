@@ -27,9 +27,10 @@ RULES: list[Rule] = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: False positive rates of the first and of the later levels.
-FIRST_RATE, LATER_RATE = 0.02, 0.25
-#: Bits of a level that still travel with the plan (2 MB); a larger list is joined by key instead.
+#: False positive rates of the first and of the later levels. The first is lower where unlisted keys are many: its false
+#: positives, which level 2 encodes, shall be half as many as the listed keys; not below LEAST_RATE.
+FIRST_RATE, LATER_RATE, LEAST_RATE = 0.02, 0.25, 2.0**-40
+#: Bits of a level that still travel with the plan (2 MB). Every level is checked before it is built; where one would be larger, keys are joined instead.
 MAX_BITS = 1 << 24
 _MAX_LEVELS = 64
 
@@ -62,13 +63,18 @@ def _places(key: Column, level: int, hashes: int, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(j)), F.lit(bits)) for j in range(hashes)]
 
 
+def shape(n: int, rate: float) -> tuple[int, int]:
+    """Hashes and bits of a Bloom filter for ``n`` keys."""
+    hashes = max(1, round(math.log2(1 / rate)))
+    return hashes, max(64, math.ceil(n * hashes / math.log(2) / 64) * 64)
+
+
 class Level:
     """One Bloom filter: 64-bit words, kept as a constant of the plan."""
 
     def __init__(self, keys: DataFrame, n: int, number: int, rate: float):
         self.number = number
-        self.hashes = max(1, round(math.log2(1 / rate)))
-        self.bits = max(64, math.ceil(n * self.hashes / math.log(2) / 64) * 64)
+        self.hashes, self.bits = shape(n, rate)
         places = keys.select(F.explode(F.array(*_places(F.col("key"), number, self.hashes, self.bits))).alias("place"))
         words = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits"))
         self.words = [0] * (self.bits // 64)
@@ -81,16 +87,20 @@ class Level:
         return reduce(lambda a, b: a & b, hit)
 
 
-def cascade(universe: DataFrame) -> list[Level]:
-    """Levels for ``universe`` (key string, listed boolean; distinct keys), empty if nothing is listed."""
+def cascade(universe: DataFrame, max_bits: int | None = None) -> list[Level] | None:
+    """Levels for ``universe`` (key string, listed boolean; distinct keys), empty if nothing is listed; None if a level would have over ``max_bits`` bits."""
     sets = {True: universe.where("listed"), False: universe.where("NOT listed")}
     side, n, levels = True, sets[True].count(), []
+    others = sets[False].count() if n else 0
+    rate = max(LEAST_RATE, min(FIRST_RATE, n / (2 * others))) if others else FIRST_RATE
     while n:
         if len(levels) == _MAX_LEVELS:
             raise RuntimeError("the cascade does not end; are the keys distinct?")
-        level = Level(sets[side], n, len(levels) + 1, FIRST_RATE if not levels else LATER_RATE)
+        if max_bits is not None and shape(n, rate)[1] > max_bits:
+            return None
+        level = Level(sets[side], n, len(levels) + 1, rate)
         levels.append(level)
-        side = not side
+        side, rate = not side, LATER_RATE
         sets[side] = sets[side].where(level.has(F.col("key")))
         n = sets[side].count()
     return levels
@@ -122,10 +132,10 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, url_col: str
     key = key_of(F.col("host"), F.col("path"), rules)
     judged = rows.select(key.alias("key"), F.coalesce(F.col("rule").isin(blocked), F.lit(False)).alias("listed"))
     universe = written(judged.groupBy("key").agg(F.bool_or("listed").alias("listed")), "url-keys")
-    listed = universe.where("listed").count()
-    if listed * math.log2(1 / FIRST_RATE) * 1.5 > max_bits:  # more than may travel with the plan
+    levels = cascade(universe, max_bits)
+    if levels is None:
         mark = unused("_listed", rows)
         marks = universe.where("listed").select(F.col("key").alias(mark))
         rows, inside = rows.join(marks, key == F.col(mark), "left"), F.col(mark).isNotNull()
         return rows.withColumn("verdict", F.when(inside, "block").otherwise("allow")).drop(mark)
-    return rows.withColumn("verdict", F.when(member(cascade(universe), key), "block").otherwise("allow"))
+    return rows.withColumn("verdict", F.when(member(levels, key), "block").otherwise("allow"))

@@ -377,6 +377,16 @@ def test_cascade_is_exact(spark):
     assert universe.where(urlfilter.member(levels, F.col("key")) != F.col("listed")).count() == 0
 
 
+def test_levels_stay_small_beside_many_unlisted_keys(spark):
+    universe = spark.range(60_000).selectExpr("CAST(id AS STRING) AS key", "id % 2000 = 0 AS listed")
+    levels = urlfilter.cascade(universe)
+    assert all(level.bits <= levels[0].bits for level in levels[1:]) and levels[0].bits < 1_000
+    assert universe.where(urlfilter.member(levels, F.col("key")) != F.col("listed")).count() == 0
+    many = spark.range(4000).selectExpr("CAST(id AS STRING) AS key", "id >= 40 AS listed")
+    assert urlfilter.cascade(many, max_bits=urlfilter.shape(3960, urlfilter.FIRST_RATE)[1]) is not None
+    assert urlfilter.cascade(many, max_bits=urlfilter.shape(3960, urlfilter.FIRST_RATE)[1] - 1) is None
+
+
 @pytest.mark.parametrize("group_rows", [3, 4096])
 def test_repeats(spark, group_rows):
     passage, draw = words(70, 12), random.Random(4)
