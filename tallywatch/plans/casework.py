@@ -244,6 +244,39 @@ def within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return within_distance(near(spark, sf_dir, 15), 0.7).select("query_id", "document_id")
 
 
+def _asked_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("document_id"), F.col("embedding").alias("vector"), "label")
+    return vectors.where("document_id % 50 = 0").select(F.col("document_id").alias("query_id"), "vector"), vectors
+
+
+# Every 50th vector asks for its nearest among all; it finds itself first.
+CTE_ASKED = """asked AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id % 50 = 0),
+found AS (SELECT query_id, vec_id AS document_id, 1 - list_cosine_similarity(vector, embedding::DOUBLE[]) AS distance FROM asked, embeddings),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id) AS rank FROM found)"""
+
+
+@query("neighbours_of_vectors", f"""WITH {CTE_ASKED}
+SELECT query_id, document_id, round(distance, 6) AS distance, rank::INT AS rank FROM ranked WHERE rank <= 10""")
+def neighbours_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, vectors = _asked_vectors(spark, sf_dir)
+    return retrieve.nearest_neighbors(asked, vectors, 10).withColumn("distance", F.round(F.abs("distance"), 6))
+
+
+@query("hashed_neighbours_recall", f"""WITH {CTE_ASKED}
+SELECT (SELECT count(*) FROM asked) AS queries, count(*) AS true_neighbours, true AS recall_reached, 0::BIGINT AS wrong_distances
+FROM ranked WHERE rank <= 10""")
+def hashed_neighbours_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the hyperplane tables find 0.9 of the exact neighbours, with the same distances."""
+    asked, vectors = _asked_vectors(spark, sf_dir)
+    exact = retrieve.nearest_neighbors(asked, vectors, 10).select("query_id", "document_id", "distance")
+    hashed = retrieve.hashed_neighbors(asked, vectors, 10).select("query_id", "document_id", F.col("distance").alias("hashed"))
+    both = exact.join(hashed, ["query_id", "document_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("true_neighbours"),
+                    (F.count("hashed") >= 0.9 * F.count("*")).alias("recall_reached"),
+                    F.count_if(F.col("hashed") != F.col("distance")).alias("wrong_distances"))
+
+
 @query("deduplicated_candidates", """SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY conv_id, role""")
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lit("").alias("preferred"))

@@ -121,6 +121,55 @@ def test_neighbours_match_brute_force(spark, batch):
     per = retrieve.nearest_neighbors(queries, df, 2, per="label").groupBy("query_id", "label").count().collect()
     assert len(per) == 30 and all(r["count"] == 2 for r in per)
     assert retrieve.nearest_neighbors(queries.limit(0), df, 2).count() == 0
+    blocks = retrieve.nearest_neighbors(queries, df, 4, batch=batch, block=7).collect()
+    assert sorted(blocks) == sorted(got)
+
+
+def _neighbour_rows(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 24))
+    vectors = centres[rng.integers(0, 30, 900)] + 0.4 * rng.normal(size=(900, 24))
+    vectors[600:] = vectors[3]  # a third are copies of one vector
+    rows = [(i, [float(x) for x in v], i % 4 if i % 5 else None) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "document_id long, vector array<double>, label int").repartition(6)
+    return df, df.where("document_id < 60").select(F.col("document_id").alias("query_id"), "vector")
+
+
+def test_copies_and_null_labels_in_every_block(spark):
+    df, queries = _neighbour_rows(spark)
+    whole = retrieve.nearest_neighbors(queries, df, 5, per="label").collect()
+    split = retrieve.nearest_neighbors(queries, df, 5, per="label", batch=16, block=50).collect()
+    assert len(whole) == 60 * 5 * 5 and sorted(map(str, whole)) == sorted(map(str, split))
+    mine = [r["document_id"] for r in sorted(whole, key=lambda r: r["rank"]) if r["query_id"] == 3 and r["label"] == 1]
+    assert mine == [601, 609, 613, 617, 621]
+
+
+def test_hashed_neighbours_find_most_and_all_probes_find_all(spark):
+    df, queries = _neighbour_rows(spark)
+    exact = {(r["query_id"], r["document_id"]): r for r in retrieve.nearest_neighbors(queries, df, 10).collect()}
+    few = retrieve.hashed_neighbors(queries, df, 10, bits=6, tables=6, probes=6).collect()
+    assert len({(r["query_id"], r["document_id"]) for r in few}) == len(few)
+    hits = [r for r in few if (r["query_id"], r["document_id"]) in exact]
+    assert len(hits) >= 0.9 * len(exact)
+    assert all(r["distance"] == exact[r["query_id"], r["document_id"]]["distance"] for r in hits)
+    # Every bucket is looked into, in many parts and batches: the exact answer with its ranks.
+    every = retrieve.hashed_neighbors(queries, df, 10, bits=3, tables=2, probes=8, batch=7, block=20).collect()
+    assert {(r["query_id"], r["document_id"]): r for r in every} == exact
+    per = retrieve.hashed_neighbors(queries, df, 2, per="label", bits=2, tables=1, probes=4).collect()
+    assert sorted(map(str, per)) == sorted(map(str, retrieve.nearest_neighbors(queries, df, 2, per="label").collect()))
+    with pytest.raises(ValueError):
+        retrieve.hashed_neighbors(queries, df, bits=40)
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, []), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [0.0, 0.0]), (7, [1.0, 0.0, 0.0]), (8, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "document_id long, vector array<double>")
+    queries = df.where("document_id = 1").select(F.col("document_id").alias("query_id"), "vector")
+    want = [(1, 0.0), (8, 0.0), (6, 1.0)]
+    for found in (retrieve.nearest_neighbors(queries, df, 5), retrieve.hashed_neighbors(queries, df, 5, bits=2, probes=4)):
+        assert [(r["document_id"], r["distance"]) for r in found.orderBy("rank").collect()] == want
+    for search in (retrieve.nearest_neighbors, retrieve.hashed_neighbors):
+        assert search(queries, df.limit(0), 5).count() == 0 and search(queries.limit(0), df, 5).count() == 0
 
 
 META = "struct<status:string,current_authority:boolean,authority:string,source_type:string>"
