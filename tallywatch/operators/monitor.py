@@ -121,6 +121,42 @@ def firing_spans(states: DataFrame, series: Sequence[str], active: str, hold: in
             .select(*series, "active_since", "firing_from", "active_until"))
 
 
+def rule_limits(at_least: int | None, at_most: int | None) -> tuple[int, int | None]:
+    """Limits of a rule on the count of a window; a rule that an empty window both keeps and breaks is refused."""
+    if at_least is None and at_most is None:
+        raise ValueError("give at_least, at_most or both")
+    low = 0 if at_least is None else at_least
+    if (at_most is None and low <= 0) or (at_most is not None and at_most < low):
+        raise ValueError("the limits leave no count, or all counts, in the rule")
+    return low, at_most
+
+
+def alert_spans(df: DataFrame, series: Sequence[str], until: Column, ts: str = "ts", wanted: Column | None = None, length: int = 10,
+                at_least: int | None = None, at_most: int | None = None, hold: int = 0) -> DataFrame:
+    """Alerts of a rule on the count of the last ``length`` minutes: (series, active_since, firing_from, active_until).
+
+    The rule holds in a minute if ``at_least`` <= count <= ``at_most``; spans in which it holds for more than ``hold``
+    minutes are alerts. Every series is evaluated from its first wanted row to the minute ``until`` (a constant);
+    active_until is null for alerts that still fire then. Work follows the minutes at which a count changes, not all minutes.
+    """
+    low, high = rule_limits(at_least, at_most)
+    minute = F.expr("INTERVAL 1 MINUTE")
+    timed = df.where(F.col(ts).isNotNull()) if wanted is None else df.where(wanted & F.col(ts).isNotNull())
+    counted = per_minute(timed, series, ts)
+    leaving = counted.withColumns({"minute": F.col("minute") + F.make_interval(mins=F.lit(length)), "n": -F.col("n")})
+    changes = counted.unionByName(leaving).where(F.col("minute") <= until).groupBy(*series, "minute").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy(*(series or [F.lit(0)])).orderBy("minute")
+    total = F.sum("n").over(order)
+    parts = changes.withColumns({
+        "_on": (total >= low) & (F.lit(True) if high is None else total <= high),
+        "_to": F.coalesce(F.lead("minute").over(order) - minute, until)})
+    begun = F.col("_on") & ~F.coalesce(F.lag("_on").over(order), F.lit(False))
+    islands = parts.withColumn("_begun", begun.cast("int")).withColumn("_island", F.sum("_begun").over(order)).where("_on")
+    spans = islands.groupBy(*series, "_island").agg(F.min("minute").alias("active_since"), F.max("_to").alias("active_until"))
+    fired = spans.withColumn("firing_from", F.col("active_since") + F.make_interval(mins=F.lit(hold))).where("active_until >= firing_from")
+    return fired.select(*series, "active_since", "firing_from", F.when(F.col("active_until") < until, F.col("active_until")).alias("active_until"))
+
+
 def repeated_failures(df: DataFrame, failed: Column, series: Sequence[str], at_least: int = 3, length: int = 10,
                       ts: str = "ts") -> DataFrame:
     """Windows with at least that many failures."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallywatch.operators import cascade, evaluate, forest, splits
+from tallywatch.operators import cascade, evaluate, forest, monitor, splits
 from tallywatch.operators.features import base_features
 from tallywatch.operators.route import DEFAULT_THRESHOLDS, assign_tiers, decide
 from tallywatch.operators.validate import validate_transactions
@@ -17,7 +17,7 @@ from tallywatch.plans.registry import query, table
 from tallywatch.schema import BASE_FEATURES, BEHAVIOR_FEATURES, CSV_COLUMNS, MODEL_FEATURES
 from tallywatch.session import scratch_dir
 from tallywatch.sources import readers, writers
-from tallywatch.streaming import decisions, router, stateful
+from tallywatch.streaming import alerts, decisions, router, stateful
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,6 +349,54 @@ def streamed_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handled.unionByName(rejected).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+# Rules on a stream: a component without an event for an hour, and three failures in an hour that hold for ten minutes.
+_RULES = {"silent": {"length": 60, "at_most": 0}, "failing": {"length": 60, "at_least": 3, "hold": 10}}
+CTE_ALERTS = """final AS (SELECT date_trunc('minute', max(ts) - INTERVAL 10 MINUTE) - INTERVAL 1 MINUTE AS until FROM events), seen AS (
+SELECT 'silent' AS rule, event_type AS component, date_trunc('minute', ts) AS m FROM events UNION ALL
+SELECT 'failing', event_type, date_trunc('minute', ts) FROM events WHERE value < 3), per AS (
+SELECT rule, component, m, count(*) AS n FROM seen GROUP BY ALL), spine AS (
+SELECT rule, component, unnest(generate_series(min(m), any_value(until), INTERVAL 1 MINUTE)) AS m FROM per, final GROUP BY 1, 2), slid AS (
+SELECT rule, component, m, sum(coalesce(n, 0)) OVER (PARTITION BY rule, component ORDER BY m ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS n
+FROM spine LEFT JOIN per USING (rule, component, m)), act AS (
+SELECT *, m - row_number() OVER (PARTITION BY rule, component ORDER BY m) * INTERVAL 1 MINUTE AS island FROM slid
+WHERE (rule = 'silent' AND n = 0) OR (rule = 'failing' AND n >= 3)), spans AS (
+SELECT rule, component, min(m) AS since, max(m) AS last, CASE rule WHEN 'failing' THEN 600 ELSE 0 END AS hold FROM act GROUP BY rule, component, island),
+alerts AS (SELECT rule, component, epoch(since)::BIGINT AS active_since, (epoch(since) + hold)::BIGINT AS firing_from,
+  CASE WHEN last < until THEN epoch(last)::BIGINT END AS active_until FROM spans, final WHERE epoch(last) >= epoch(since) + hold)"""
+
+
+def _rule_rows(stream_or_table: DataFrame) -> DataFrame:
+    return stream_or_table.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("component"), "value")
+
+
+def _alert_epochs(df: DataFrame, rule: str) -> DataFrame:
+    return df.select(F.lit(rule).alias("rule"), "component", *[F.unix_timestamp(c).alias(c) for c in ("active_since", "firing_from", "active_until")])
+
+
+def _wanted(rule: str):
+    return F.col("value") < 3 if rule == "failing" else None
+
+
+@query("alert_spans", f"WITH {CTE_ALERTS} SELECT * FROM alerts")
+def alert_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rule_rows(table(spark, sf_dir, "events"))
+    newest = rows.agg(F.max("ts")).first()[0]
+    until = F.date_trunc("minute", F.lit(newest).cast("timestamp") - F.expr("INTERVAL 10 MINUTES")) - F.expr("INTERVAL 1 MINUTE")
+    parts = [_alert_epochs(monitor.alert_spans(rows, ["component"], until, wanted=_wanted(rule), **limits), rule) for rule, limits in _RULES.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("streamed_alert_spans", f"WITH {CTE_ALERTS} SELECT * FROM alerts")
+def streamed_alert_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same alerts from timers of the streaming job."""
+    stateful.use_rocksdb(spark)
+    parts = []
+    for rule, limits in _RULES.items():
+        stream = alerts.alert_stream(_rule_rows(_event_stream(spark, sf_dir)), ["component"], wanted=_wanted(rule), **limits)
+        parts.append(_alert_epochs(alerts.alert_states(_run_to_table(spark, stream, "alerts", "append"), ["component"]), rule))
+    return parts[0].unionByName(parts[1])
+
+
 @query("streamed_unique_events", "SELECT count(DISTINCT event_id) AS n FROM events")
 def streamed_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     stateful.use_rocksdb(spark)
