@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallywatch.session import scratch_dir
+
 _EARLIER = (Window.unboundedPreceding, -1)
 
 
@@ -82,126 +84,111 @@ def ranked_values(df: DataFrame, value: str, groups: Sequence[str] = (), bounds:
                    bounds=value_bounds(df, value) if bounds is None else bounds)
 
 
-SMALL_GROUP = 200_000
 _ACCURACY = 10_000
-_MAX_GROUPS = 10_000
-
+# Groups whose rank brackets are broadcast, some 100 numbers each; more are joined by shuffle with the same result.
+BROADCAST_GROUPS = 10_000
 
-def _rank_brackets(df: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str]):
-    """Per group: its size and, per share, a short grid of values around the rank.
 
-    The sketch is off by at most 1/accuracy of the ranks; the grid reaches three
-    times as far, so the wanted rank lies between its ends.
-    """
-    offsets = [k / (2 * _ACCURACY) for k in (-6, -4, -2, 0, 2, 4, 6)]
-    grid = sorted({min(1.0, max(0.0, share + o)) for share in shares for o in offsets})
-    rows = (df.where(F.col(value).isNotNull()).groupBy(*groups)
-            .agg(F.count("*").alias("n"), F.percentile_approx(F.col(value).cast("double"), grid, _ACCURACY).alias("grid"))
-            .limit(_MAX_GROUPS + 1).collect())
-    return grid, offsets, rows
+def _same(names: Sequence[str], others: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for name, other in zip(names, others):
+        same = same & F.col(name).eqNullSafe(F.col(other))
+    return same
 
 
-def _near_ranks(df: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str], grid, offsets, rows) -> DataFrame:
-    """Ranked distinct values near each share only: (groups, target, value, n, n_before).
+def _brackets(rows: DataFrame, keys: Sequence[str], shares: Sequence[float], broadcast_groups: int) -> DataFrame:
+    """Per group: its size and, per share, a short grid of values around the rank.
 
-    Rows below a bracket collapse into one count per task before the shuffle, so
-    only the few values inside the brackets are shuffled and sorted.
+    The sketch is off by at most 1/accuracy of the ranks. The ends of a bracket lie three times as far and two ranks more
+    from the wanted rank, which is a wide share of a small group and a narrow one of a large group. The table is written
+    once, a row per group, and never passes the driver.
     """
-    spark = df.sparkSession
-    table, cuts = [], set()
-    for row in rows:
-        if row["n"] == 0:
-            continue
-        at = dict(zip(grid, row["grid"]))
-        ends = []
-        for share in shares:
-            low, high = share + offsets[0], share + offsets[-1]
-            ends.append((None if low <= 0 else float(at[low]), None if high >= 1 else float(at[high])))
-        table.append((*[row[g] for g in groups], ends, int(row["n"])))
-        cuts |= {float(v) for v in row["grid"]}
-    kinds = ", ".join([f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups]
-                      + ["_ends array<struct<low:double,high:double>>", "n_total long"])
-    brackets = F.broadcast(spark.createDataFrame(table, kinds))  # at most _MAX_GROUPS rows
-    column = F.col(value)
-    matched = df.where(column.isNotNull()).select(*groups, value)
-    joined = matched.join(brackets, list(groups))
-    placed = F.transform("_ends", lambda e, i: F.when(e["low"].isNotNull() & (column < e["low"]), F.struct(
-        i.alias("target"), F.lit(None).cast(df.schema[value].dataType).alias(value))).when(
-        e["high"].isNull() | (column <= e["high"]), F.struct(i.alias("target"), column.alias(value))))
-    entries = joined.select(*groups, "n_total", F.inline(F.array_compact(placed)))
-    counts = entries.groupBy(*groups, "n_total", "target", value).agg(F.count("*").alias("n"))
-    below = counts.where(column.isNull()).select(*groups, "target", F.col("n").alias("_below"))
-    inside = running(counts.where(column.isNotNull()), value, {"n": "n"}, [*groups, "n_total", "target"],
-                     bounds=sorted(cuts)).drop("n_total")
-    ranked = inside.join(below, [*groups, "target"], "left").join(brackets.drop("_ends"), list(groups))
-    return ranked.withColumn("n_before", F.col("n_before") + F.coalesce("_below", F.lit(0))).drop("_below")
-
-
-def order_statistics(
-    df: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str] = (), interpolate: bool = True,
-    small: int = SMALL_GROUP,
-) -> list[dict]:
-    """Exact values at shares of the rank order, per group, as driver rows.
-
-    With ``interpolate`` the position is ``share * (n - 1)`` and neighbours are
-    blended; without, it is ``floor(share * n)`` and the value there is returned.
-    The result holds one row per group and share, never data rows.
+    widths = [6 * 4 ** j / _ACCURACY for j in range(6)]
+    offsets = sorted([*(w * sign for w in widths for sign in (-1, 1)), *(k / _ACCURACY for k in (-2, -1, 0, 1, 2))])
+    grid = sorted({share + o for share in shares for o in offsets if 0 < share + o < 1} | {0.5})
+    sketched = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(F.col("_v").cast("double"), grid, _ACCURACY).alias("_grid"))
+    folder = scratch_dir(rows.sparkSession, "rank-brackets")
+    sketched.write.parquet(folder)
+    stored = rows.sparkSession.read.schema(sketched.schema).parquet(folder)
+    need = 3 / _ACCURACY + F.lit(2.0) / F.col("_n")
+
+    def point(at: float) -> Column:
+        return F.col("_grid")[grid.index(at)] if 0 < at < 1 else F.lit(None).cast("double")
+
+    def target(i: int, share: float) -> Column:
+        low, high = F, F
+        for width in widths:
+            low, high = low.when(need <= width, point(share - width)), high.when(need <= width, point(share + width))
+        cuts = [point(share + o) for o in offsets if 0 < share + o < 1]
+        return F.struct(F.lit(i).alias("target"), low.alias("low"), high.alias("high"), F.array(*cuts).alias("cuts"))
+
+    out = stored.select(*[F.col(k).alias(f"_of{k}") for k in keys], "_n", F.array(*[target(i, s) for i, s in enumerate(shares)]).alias("_targets"))
+    return F.broadcast(out) if stored.count() <= broadcast_groups else out
+
+
+def rank_values(df: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str] = (), interpolate: bool = True,
+                broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
+    """Exact values at shares of the rank order: one row per group and share, (groups, share, quantile, n).
+
+    With ``interpolate`` the position is ``share * (n - 1)`` and neighbours are blended; without, it is
+    ``floor(share * n)`` and the value there is returned. Null values do not count; groups with none have no row, null
+    groups are groups. A sketch brackets each rank; values below a bracket are counted, those inside it are cut into
+    blocks along the sketch, and only the blocks that hold the rank are sorted. One plan serves tables of any size.
     """
+    shares, groups = [float(s) for s in shares], list(groups)
+    keys = [f"_g{i}" for i in range(max(1, len(groups)))]
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(g).alias(k) for g, k in zip(groups, keys)], F.col(value).alias("_v"))
     if not groups:
-        found = order_statistics(df.withColumn("_all", F.lit(0)), value, shares, ["_all"], interpolate, small)
-        return [{k: v for k, v in row.items() if k != "_all"} for row in found]
-    groups, shares = list(groups), [float(s) for s in shares]
-    grid, offsets, rows = _rank_brackets(df, value, shares, groups)
-    if not rows or all(row["n"] == 0 for row in rows):
-        return []
-    wide = len(rows) > _MAX_GROUPS
-    if wide or max(row["n"] for row in rows) <= small:
-        return _statistics(ranked_values(df, value, groups, bounds=None if wide else []), value, shares, groups, interpolate)
-    found = _statistics(_near_ranks(df, value, shares, groups, grid, offsets, rows), value, shares, groups, interpolate)
-    if len(found) == len(shares) * sum(row["n"] > 0 for row in rows):
-        return found
-    return _statistics(ranked_values(df, value, groups), value, shares, groups, interpolate)
-
-
-def _statistics(ranked: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str], interpolate: bool) -> list[dict]:
-    first, last, total = F.col("n_before"), F.col("n_before") + F.col("n") - 1, F.col("n_total")
-    places = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(s).alias("share")) for i, s in enumerate(shares)])
-
-    def ends(share: Column) -> tuple[Column, Column]:
-        if interpolate:
-            return F.floor(share * (total - 1)), F.ceil(share * (total - 1))
-        rank = F.least(F.floor(share * total), total - 1)
-        return rank, rank
-
-    def holds(place: Column) -> Column:
-        low, high = ends(place["share"])
-        here = (first <= high) & (last >= low)
-        return here & (F.col("target") == place["place"]) if "target" in ranked.columns else here
-
-    hits = ranked.withColumn("_p", F.explode(F.filter(places, holds)))
-    share = F.col("_p.share")
-    low, high = ends(share)
-    column = F.col(value)
-    picked = hits.groupBy(*groups, F.col("_p.place").alias("place"), share.alias("share")).agg(
-        F.max(F.when((first <= low) & (low <= last), column)).alias("low"),
-        F.max(F.when((first <= high) & (high <= last), column)).alias("high"),
-        F.max(share * (total - 1) - F.floor(share * (total - 1))).alias("weight"), F.max("n_total").alias("n"))
-    out = []
-    for row in picked.collect():
-        if row["low"] is None or row["high"] is None:
-            continue
-        exact = row["low"] if not interpolate else float(row["low"]) + (float(row["high"]) - float(row["low"])) * row["weight"]
-        out.append({g: row[g] for g in groups} | {"share": row["share"], "quantile": exact, "n": row["n"]})
-    return out
+        # One group: a key that is 0 in every row but no constant, so the join below stays one by key.
+        rows = rows.withColumn(keys[0], F.pmod(F.xxhash64("_v"), F.lit(1)))
+    number = F.col("_v").cast("double")
+    missing = F.lit(None).cast(rows.schema["_v"].dataType)
+
+    def place(t: Column) -> Column:
+        below = t["low"].isNotNull() & (number < t["low"])
+        block = F.size(F.filter(t["cuts"], lambda c: c <= number))
+        return F.when(below, F.struct(t["target"].alias("target"), F.lit(-1).alias("block"), missing.alias("value"))).when(
+            t["high"].isNull() | (number <= t["high"]), F.struct(t["target"].alias("target"), block.alias("block"), F.col("_v").alias("value")))
+
+    brackets = _brackets(rows, keys, shares, broadcast_groups)
+    joined = rows.join(brackets, _same(keys, [f"_of{k}" for k in keys]))
+    entries = joined.select(*keys, "_n", F.inline(F.array_compact(F.transform("_targets", place))))
+    counts = entries.groupBy(*keys, "_n", "target", "block", "value").agg(F.count("*").alias("n"))
+
+    share = F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("target") + 1)
+    position = share * (F.col("_n") - 1)
+    low, high = (F.floor(position), F.ceil(position)) if interpolate else (F.least(F.floor(share * F.col("_n")), F.col("_n") - 1),) * 2
+
+    # At most twenty rows per group and share here.
+    along = Window.partitionBy(*keys, "target")
+    blocks = counts.groupBy(*keys, "_n", "target", "block").agg(F.sum("n").alias("n")).withColumn(
+        "before", F.coalesce(F.sum("n").over(along.orderBy("block").rowsBetween(*_EARLIER)), F.lit(0)))
+    last = F.col("before") + F.col("n") - 1
+    hits = [(F.col("block") >= 0) & (F.col("before") <= rank) & (rank <= last) for rank in (low, high)]
+    found = F.max(hits[0]).over(along) & F.max(hits[1]).over(along)
+    marked = blocks.withColumns({"hit": hits[0] | hits[1], "found": found})
+    # Not to be reached: it would say that a sketch broke its bound.
+    held = marked.where(F.when(F.col("found"), F.col("hit")).otherwise(F.raise_error(F.lit("rank outside its bracket")).cast("boolean")))
+    held = held.select(*[F.col(k).alias(f"_of{k}") for k in [*keys, "target", "block"]], "before")
+
+    names = [*keys, "target", "block"]
+    inside = counts.where("block >= 0").join(held, _same(names, [f"_of{k}" for k in names])).select(*counts.columns, "before")
+    order = Window.partitionBy(*names).orderBy("value").rowsBetween(*_EARLIER)
+    ranked = inside.withColumn("first", F.col("before") + F.coalesce(F.sum("n").over(order), F.lit(0)))
+    end = F.col("first") + F.col("n") - 1
+    picked = ranked.groupBy(*keys, "_n", "target").agg(
+        *[F.max(F.when((F.col("first") <= rank) & (rank <= end), F.col("value"))).alias(name) for name, rank in (("low", low), ("high", high))])
+    exact = F.col("low")
+    if interpolate:
+        step = F.col("high").cast("double") - F.col("low").cast("double")
+        exact = F.col("low").cast("double") + step * (position - F.floor(position))
+    return picked.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], share.alias("share"), exact.alias("quantile"), F.col("_n").alias("n"))
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], groups: Sequence[str] = (),
-                    small: int = SMALL_GROUP) -> DataFrame:
+                    broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """Linear-interpolated exact quantiles: one row per group and share."""
-    found = order_statistics(df, value, shares, groups, small=small)
-    schema = ", ".join([f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups] + ["share double, quantile double, n long"])
-    return df.sparkSession.createDataFrame(
-        [(*[row[g] for g in groups], row["share"], float(row["quantile"]), row["n"]) for row in found], schema)
+    return rank_values(df, value, shares, groups, broadcast_groups=broadcast_groups)
 
 
 def leading_rows(df: DataFrame, column: str, k: int, descending: bool = False, position: Column | None = None,

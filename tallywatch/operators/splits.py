@@ -8,17 +8,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallywatch.functions.ids import hash_order
-from tallywatch.operators.ordered import SMALL_GROUP, leading_rows, order_statistics, ranked_values
+from tallywatch.operators.ordered import leading_rows, rank_values, ranked_values
 
 
-def rows_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int], size: int | None = None) -> dict[int, tuple]:
+def rows_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int]) -> dict[int, tuple]:
     """Order values of the rows at the given 0-based ranks of a total order.
 
     Works column by column: find the value that spans each rank, keep its rows
     only, go on with the next column. Only the found values reach the driver.
     """
     found: dict[int, tuple[tuple, int]] = {rank: ((), rank) for rank in ranks}
-    size = df.count() if size is None else size
     for depth, column in enumerate(order):
         groups = list(order[:depth])
         scope = df
@@ -30,8 +29,7 @@ def rows_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int], siz
                     same = same & (F.col(name) == F.lit(value))
                 match = match | same
             scope = df.where(match)
-        # Few rows need no blocks, which saves the pass that finds their bounds.
-        ranked = ranked_values(scope.select(*order[:depth + 1]), column, groups, [] if size <= SMALL_GROUP else None)
+        ranked = ranked_values(scope.select(*order[:depth + 1]), column, groups)
         hit = F.lit(False)
         for prefix, rest in found.values():
             same = (F.col("n_before") <= rest) & (F.lit(rest) < F.col("n_before") + F.col("n"))
@@ -39,7 +37,6 @@ def rows_at_ranks(df: DataFrame, order: Sequence[str], ranks: Sequence[int], siz
                 same = same & (F.col(name) == F.lit(value))
             hit = hit | same
         rows = ranked.where(hit).select(*groups, column, "n_before", "n").collect()
-        size = sum(row["n"] for row in rows)
         for rank, (prefix, rest) in list(found.items()):
             for row in rows:
                 if tuple(row[g] for g in groups) == prefix and row["n_before"] <= rest < row["n_before"] + row["n"]:
@@ -63,7 +60,7 @@ def chronological_label(
         used += share
         ends.append(math.floor(round(used, 9) * total))
     inner = sorted({end for end in ends if 0 < end < total})
-    cuts = rows_at_ranks(df, order, inner, total) if inner else {}
+    cuts = rows_at_ranks(df, order, inner) if inner else {}
     kinds = {f.name: f.dataType for f in df.schema.fields}
     here = F.struct(*[F.col(c) for c in order])
 
@@ -102,7 +99,7 @@ def stratified_split(
         used += share
         ends.append(round(used, 9))
     # One value per class and cut: the classes are few, so the cuts become literals.
-    cuts = order_statistics(hashed, "_hash", ends, [label], interpolate=False)
+    cuts = rank_values(hashed, "_hash", ends, [label], interpolate=False).collect()
     split = F
     for end, name in zip(ends, names):
         below = F.lit(False)

@@ -160,8 +160,9 @@ def test_impute_touches_only_holes(spark):
     assert [(r["v"], r["c"]) for r in rows] == [(1.0, "a"), (2.0, "Unknown"), (3.0, "b")]
 
 
-def test_quantiles_of_large_groups_use_brackets(spark):
-    """The bracket path, forced by a low size limit, must equal numpy as well."""
+@pytest.mark.parametrize("broadcast_groups", [0, 100])
+def test_quantiles_of_large_groups(spark, broadcast_groups):
+    """Brackets that are broadcast and brackets that are joined by shuffle both equal numpy."""
     import numpy as np
 
     rng = np.random.default_rng(4)
@@ -169,7 +170,7 @@ def test_quantiles_of_large_groups_use_brackets(spark):
     df = spark.createDataFrame([(int(i % 4 == 0), float(v)) for i, v in enumerate(values)], "g int, v double").repartition(7)
     shares = [0.0, 0.01, 0.5, 0.6, 0.95, 0.999, 1.0]
     for groups in ([], ["g"]):
-        rows = exact_quantiles(df, "v", shares, groups, small=100).collect()
+        rows = exact_quantiles(df, "v", shares, groups, broadcast_groups=broadcast_groups).collect()
         assert len(rows) == len(shares) * (2 if groups else 1)
         for row in rows:
             mine = values if not groups else values[(np.arange(len(values)) % 4 == 0) == bool(row["g"])]
@@ -177,6 +178,24 @@ def test_quantiles_of_large_groups_use_brackets(spark):
             assert row["n"] == len(mine)
 
 
+def test_ranks_of_many_small_and_odd_groups(spark):
+    from tallywatch.operators.ordered import rank_values
+
+    rows = [(f"g{i % 700}" if i % 700 else None, (i * 7919) % 1000) for i in range(3000)] + [("only", 5), ("none", None), ("inf", 10**15)]
+    df = spark.createDataFrame(rows, "g string, v long").repartition(5)
+    groups = {}
+    for g, v in rows:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    for bound in (0, 10_000):
+        got = rank_values(df, "v", [0.25, 1.0], ["g"], interpolate=False, broadcast_groups=bound).collect()
+        want = {(g, s): sorted(vs)[min(int(s * len(vs)), len(vs) - 1)] for g, vs in groups.items() for s in (0.25, 1.0)}
+        assert {(r["g"], r["share"]): r["quantile"] for r in got} == want and len(got) == len(want)
+    assert exact_quantiles(df.limit(0), "v", [0.5]).count() == 0 and exact_quantiles(df.where("v IS NULL"), "v", [0.5], ["g"]).count() == 0
+    plan = rank_values(df, "v", [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert "NestedLoop" not in plan and "Join Cross" not in plan
+
+
 def test_leading_rows_by_selection(spark):
     from tallywatch.operators.ordered import leading_rows
 
