@@ -134,7 +134,7 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
         "amount": F.col("amount") + 1, "version": F.lit("second"), "written": F.lit(2)})
     keys = ["nameOrig", "transaction_id", "event_date"]
     for batch in (first, again, again):  # the repeated batch must change nothing
-        writers.upsert(spark, path, batch, keys, "written")
+        writers.upsert(spark, path, batch, keys, "written", buckets=2)
     return spark.read.parquet(path).select("nameOrig", "transaction_id", F.col("event_date").cast("string").alias("event_date"),
                                            "version", "amount")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallywatch.schema import DECISION_PAYLOAD
@@ -13,6 +14,10 @@ LEDGER_COLUMNS = ["transaction_id", "batch_id", "type", "amount", "nameOrig", "n
                   "xgboost_probability", "final_prediction", "final_decision", "isFraud", "kafka_status",
                   "investigation_status"]
 
+# Buckets of a keyed table inside each partition, and the start of the column that names them.
+BUCKETS = 8
+BUCKET_COLUMN = "key_bucket_of_"
+
 
 def decision_messages(df: DataFrame, *keep: str) -> DataFrame:
     """Key and JSON value per decision; null fields are left out of the JSON."""
@@ -38,26 +43,38 @@ def last_write(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, incoming: DataFrame, keys: Sequence[str], order: str,
-           partition: str = "event_date") -> None:
-    """Keyed upsert into a parquet table partitioned by a column that the key fixes.
+           partition: str = "event_date", buckets: int = BUCKETS) -> None:
+    """Keyed upsert into a parquet table partitioned by a column that the key fixes, and in it by buckets of the key.
 
-    Only partitions that the batch touches are read and rewritten, each replaced
-    as a whole on commit. Repeating a batch gives the same table.
+    Only the buckets that the batch touches are read and rewritten, each replaced as a whole on commit and written by one
+    task, so a hot partition is spread over ``buckets`` tasks and files. Repeating a batch gives the same table. The
+    number of buckets belongs to the table: another one is refused, and so are rows without a partition value.
     """
-    incoming = last_write(incoming, keys, order)
+    bucket = f"{BUCKET_COLUMN}{buckets}"
+    given = F.when(F.col(partition).isNull(), F.raise_error(F.lit(f"{partition} is null"))).otherwise(F.col(partition))
+    newest = last_write(incoming, keys, order).withColumns({
+        partition: given, bucket: F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")})
     try:
-        stored = spark.read.schema(incoming.schema).parquet(path)
-        found = bool(stored.inputFiles())
-    except Exception as error:  # noqa: BLE001 - only a missing path is expected
-        if "PATH_NOT_FOUND" not in str(error):
+        names = spark.read.parquet(path).columns
+    except AnalysisException as error:
+        # A new table; an empty folder has no schema.
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        found = False
-    merged = incoming
-    if found:
-        # One value per partition of the batch, so the scan is pruned before it starts.
-        touched = [row[0] for row in incoming.select(partition).distinct().collect()]
-        merged = last_write(stored.where(F.col(partition).isin(touched)).unionByName(incoming), keys, order)
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+        names = []
+    merged = newest
+    if names:
+        if bucket not in names:
+            raise ValueError(f"{path} is not a table of {buckets} buckets: {names}")
+        # At most one row per partition and bucket of the batch; the scan is pruned by it at run time.
+        touched = F.broadcast(newest.select(partition, bucket).distinct())
+        stored = spark.read.schema(newest.schema).parquet(path).join(touched, [partition, bucket], "left_semi")
+        merged = stored.select(*newest.columns).unionByName(newest)
+    # Rows of a bucket meet once: the aggregation and the write share this shuffle.
+    placed = merged.repartition(partition, bucket)
+    rest = [c for c in newest.columns if c not in (*keys, partition, bucket)]
+    by = list(dict.fromkeys([partition, bucket, *keys]))
+    final = placed.groupBy(*by).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row")).select(*by, "_row.*").select(*newest.columns)
+    final.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition, bucket).parquet(path)
 
 
 def document_lines(df: DataFrame) -> DataFrame:

@@ -142,6 +142,24 @@ def test_upsert_is_idempotent_and_touches_its_dates_only(spark, folder):
     assert {f for f in table.inputFiles() if "event_date=d2" in f} == before
 
 
+def test_upsert_rewrites_the_buckets_of_its_keys_only(spark, folder):
+    schema, keys = "k string, event_date string, v int, o int", ["k", "event_date"]
+    rows = [(f"k{i}", "d1", 1, 1) for i in range(400)]
+    writers.upsert(spark, folder + "/t", spark.createDataFrame(rows, schema).repartition(5), keys, "o", buckets=16)
+    before = set(spark.read.parquet(folder + "/t").inputFiles())
+    assert len(before) == 16  # one file a bucket
+    writers.upsert(spark, folder + "/t", spark.createDataFrame([("k7", "d1", 5, 2), ("k7", "d1", 4, 1), ("k8", "d1", 9, 0)], schema), keys, "o", buckets=16)
+    table = spark.read.parquet(folder + "/t")
+    got = {r["k"]: r["v"] for r in table.collect()}
+    assert len(got) == table.count() == 400 and got["k7"] == 5 and got["k8"] == 1
+    assert 1 <= len(before - set(table.inputFiles())) <= 2 and len(table.inputFiles()) == 16
+    with pytest.raises(ValueError):
+        writers.upsert(spark, folder + "/t", spark.createDataFrame(rows[:1], schema), keys, "o", buckets=4)
+    with pytest.raises(Exception, match="event_date is null"):
+        writers.upsert(spark, folder + "/t", spark.createDataFrame([("x", None, 1, 1)], schema), keys, "o", buckets=16)
+    assert spark.read.parquet(folder + "/t").count() == 400
+
+
 def test_csv_ordinals_follow_the_files(spark, folder):
     df = spark.range(1000).select(F.lit(1).alias("step"), F.lit("DEBIT").alias("type"), F.col("id").cast("double").alias("amount"),
                                   *[F.lit("x").alias(c) for c in ("nameOrig",)], F.lit(0.0).alias("oldbalanceOrg"), F.lit(0.0).alias("newbalanceOrig"),
