@@ -19,7 +19,7 @@ QUERY_BATCH = 2048
 BLOCK_ROWS = 32768
 VECTOR_BLOCK = 2048
 # Hyperplane tables: signature bits, tables, buckets that a query looks into per table. With these, neighbours
-# of a cosine of 0.3 to 0.5 are found to 0.96 and more; near ones (0.8) need a few probes only.
+# of a cosine of 0.3 to 0.5 were found to 0.96 and more in a trial; nearer ones need fewer probes.
 HASH_BITS, HASH_TABLES, HASH_PROBES = 10, 16, 48
 MAX_HASH_BITS = 16
 
