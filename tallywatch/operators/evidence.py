@@ -39,6 +39,7 @@ def account_evidence(alerts: DataFrame, transactions: DataFrame, alert_table: Da
 
     History is reduced to a short list per account first; only lists are joined
     to the alerts. An alert without an account keeps empty lists and a note.
+    The lists of the account come last: a row is wide from then on and is not shuffled again.
     """
     tx = latest_per_key(transactions, "name_orig", [F.col("event_time").desc(), F.col("transaction_id")],
                         RECENT_TRANSACTIONS, transaction_fields, "recent_transactions")
@@ -52,7 +53,7 @@ def account_evidence(alerts: DataFrame, transactions: DataFrame, alert_table: Da
     lists = tx.unionByName(near, allowMissingColumns=True).unionByName(told, allowMissingColumns=True)
     names = ["recent_transactions", "_near", "_told"]
     account = lists.groupBy("name_orig").agg(*[F.any_value(c, ignoreNulls=F.lit(True)).alias(c) for c in names])
-    joined = alerts.join(account, "name_orig", "left").join(results, "alert_id", "left")
+    joined = alerts.join(results, "alert_id", "left").join(account, "name_orig", "left")
     mine = F.filter("_near", lambda r: (r["alert_id"] == F.col("alert_id")) | (
         r["transaction_id"] == F.col("transaction_id")))
     current = F.when(F.size(mine) > 0, mine[0]["alert_id"]).otherwise(F.col("alert_id"))
@@ -143,11 +144,12 @@ def source_status(account: Column, knowledge: Column, cases: Column) -> Column:
         status(knowledge).alias("fraud_knowledge"), status(cases).alias("paysim_cases"))
 
 
-def evidence_context(df: DataFrame) -> DataFrame:
+def evidence_context(df: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
     """Nested context per alert from the account lists, ``knowledge`` and ``cases`` arrays.
 
     ``knowledge`` items carry document_id and text, ``cases`` items document_id,
     text and label. Everything a list holds is bounded by the retrieval limits.
+    The ``kept`` columns of ``df`` follow as they are.
     """
     def is_fraud(case: Column) -> Column:
         return F.lower(case["label"].cast("string")).isin("fraud", "1", "true")
@@ -184,7 +186,7 @@ def evidence_context(df: DataFrame) -> DataFrame:
             F.col("recent_transactions.transaction_id").alias("cassandra_transaction_ids"),
             F.col("recent_alerts.alert_id").alias("cassandra_alert_ids"),
             F.col("previous_investigations.investigation_id").alias("cassandra_investigation_ids"),
-            F.lit("deterministic_retrieval_inventory").alias("summary_type")).alias("evidence_summary"))
+            F.lit("deterministic_retrieval_inventory").alias("summary_type")).alias("evidence_summary"), *kept)
 
 
 def evidence_catalogue(contexts: DataFrame) -> DataFrame:

@@ -313,3 +313,42 @@ def test_history_of_selected_evidence(spark):
     assert got[3]["history"] is None and got[3]["missing"] == [evidence.NO_KNOWLEDGE]
     assert got[4]["history"] == [] and evidence.NO_HISTORY not in got[4]["missing"]
     assert got[4]["missing"] == [evidence.NO_KNOWLEDGE, evidence.NO_CASES.format("normal")]
+
+
+def _plain_plan(spark, make):
+    """The plan without broadcasts and run-time changes, as large tables get it."""
+    changed = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in changed}
+    df = make()
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        return df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_account_lists_are_the_last_shuffled_join(spark):
+    """Rows that hold the lists of their account are not shuffled again, by alert or by question."""
+    from tallywatch.plans import casework
+
+    for make in (casework.account_evidence, casework.missing, casework.evidence_contexts, casework.history_evidence):
+        plan = _plain_plan(spark, lambda: make(spark, "/root/testdata/sf0.001"))
+        shuffled = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+        assert "[name_orig#" in shuffled[0], (make.__name__, shuffled[0])
+
+
+def test_contexts_are_saved_small_with_their_marks(spark, tmp_path):
+    import gzip
+    import json
+
+    from tallywatch.sources import writers
+
+    rows = spark.createDataFrame([("a", "x" * 5000, "2024-01-01"), ("b", "x" * 5000, "2024-01-02"), ("c", "x" * 5000, None)], "alert_id string, body string, event_date string")
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    writers.save_contexts(rows, str(tmp_path / "out"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    files = list((tmp_path / "out").glob("event_date=*/*.json.gz"))
+    assert len(files) == 3 and sum(f.stat().st_size for f in files) < 1000
+    assert sorted(json.loads(gzip.open(f).read())["artifact"] for f in files) == ["a", "b", "c"]
