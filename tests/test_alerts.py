@@ -115,3 +115,17 @@ def test_limits_that_say_nothing_are_refused():
 
 def test_empty_table_has_no_spans(spark):
     assert monitor.alert_spans(spark.createDataFrame([], SCHEMA), ["series"], F.lit(at(5)).cast("timestamp"), at_most=0).count() == 0
+
+
+def test_stream_without_alerts_gives_no_rows(spark, tmp_path):
+    """Events so dense that no rule fires: the query ends with an empty result."""
+    from tallywatch.plans import jobs
+
+    rows = spark.range(40).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 10 * CAST(id AS INT)) AS ts",
+                                      "1L AS user_id", "'view' AS event_type", "5.0D AS value", "'{}' AS props")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    source = next((tmp_path / "events.parquet").glob("*.parquet"))
+    folder = tmp_path / "data"
+    folder.mkdir()
+    source.rename(folder / "events.parquet")
+    assert jobs.streamed_alert_spans(spark, str(folder)).collect() == []
