@@ -324,3 +324,19 @@ def test_csv_lines_number_every_row_once(spark, folder):
     want = [(i, s, *(("DEBIT", None, None) if s == 7 else ("DE,BIT", 2.5, 0))) for i, s in enumerate(steps)]
     assert got == want
     assert rejects == [(f, n, why) for f in ("a.csv", "b.csv") for n, why in ((5, "too many fields"), (10, "blank"))]
+
+
+def test_second_stage_computes_its_rows_once(spark):
+    """Counts, training and the sweep read the same rows: each input row is computed one time."""
+    from tallywatch.operators import cascade
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def label(i):
+        seen.add(1)
+        return int(i % 4 == 0)
+
+    rows = spark.range(0, 200, 1, 2).select((F.col("id") % 4).cast("double").alias("a"), F.rand(1).alias("b"), label.asNondeterministic()("id").alias("isFraud"))
+    stage, table = cascade.train_second_stage(rows, rows.select("*"), ["a", "b"], configs=[{"maxDepth": 2, "maxIter": 2}] * 2)
+    assert stage is not None and table and seen.value <= 400
