@@ -222,9 +222,11 @@ def evidence_catalogue(contexts: DataFrame) -> DataFrame:
 
 def checked_citations(citations: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(citations whose id exists with the same source type, the rest)."""
-    keys = ["alert_id", "source_id", "source_type"]
-    known = catalogue.select(*keys)
-    return citations.join(known, keys, "left_semi"), citations.join(known, keys, "left_anti")
+    # Joined by alert and id alone, by which the catalogue has been grouped already; the type is compared afterwards.
+    known = catalogue.groupBy("alert_id", "source_id").agg(F.collect_set("source_type").alias("_types"))
+    joined = citations.join(known, ["alert_id", "source_id"], "left")
+    stands = F.coalesce(F.array_contains("_types", F.col("source_type")), F.lit(False))
+    return joined.where(stands).select(*citations.columns), joined.where(~stands).select(*citations.columns)
 
 
 def live_behavior_sentence() -> Column:
