@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tallywatch.functions.bound import bound
+
 _ISO = (r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?"
         r"(Z|[+-]\d{2}(:?\d{2})?)?)?$")
 
@@ -13,10 +15,11 @@ def parse_event_time(text: Column) -> Column:
 
     A text without an offset is read as UTC, which is the session time zone.
     """
-    trimmed = F.trim(text)
-    spaced = F.regexp_replace(F.regexp_replace(trimmed, " ", "T"), ",", ".")
-    offset = F.regexp_replace(spaced, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    offset = F.when(offset.rlike(r"T.*[+-]\d{2}$"), F.concat(offset, F.lit(":00"))).otherwise(offset)
-    full = F.when(offset.rlike(r"T\d{2}(Z|[+-].*)?$"),
-                  F.regexp_replace(offset, r"T(\d{2})", "T$1:00")).otherwise(offset)
-    return F.when(trimmed.rlike(_ISO), F.try_to_timestamp(full))
+    def read(trimmed: Column) -> Column:
+        spaced = F.regexp_replace(F.regexp_replace(trimmed, " ", "T"), ",", ".")
+        offset = bound(F.regexp_replace(spaced, r"([+-]\d{2})(\d{2})$", "$1:$2"),
+                       lambda t: F.when(t.rlike(r"T.*[+-]\d{2}$"), F.concat(t, F.lit(":00"))).otherwise(t))
+        full = bound(offset, lambda t: F.when(t.rlike(r"T\d{2}(Z|[+-].*)?$"), F.regexp_replace(t, r"T(\d{2})", "T$1:00")).otherwise(t))
+        return F.when(trimmed.rlike(_ISO), F.try_to_timestamp(full))
+
+    return bound(F.trim(text), read)
