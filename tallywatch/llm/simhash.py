@@ -20,7 +20,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywatch.llm.common import BROADCAST_IDS, in_steps, text_hash, without_rows, written
@@ -264,8 +264,10 @@ SIMILARITY, SHINGLE_WORDS = 0.8, 5
 #: Fingerprints of distinct words this close are the fast path to candidates. Copies that gained or lost a passage are
 #: often further apart, so what the fast path leaves apart is compared by shared shingles, which misses none.
 WORD_RADIUS = 6
-#: Texts that are looked at for frequent shingles, in how many of them a shingle is frequent, and the most that are kept.
-SAMPLE_TEXTS, FREQUENT, FREQUENT_ROWS = 4_000, 4, 200_000
+#: Part of the texts that is looked at for frequent shingles, in how many of them a shingle is frequent, and the most that are kept.
+SAMPLE_SHARE, FREQUENT, FREQUENT_ROWS = 8, 4, 1_000_000
+#: Shingles counted by a task at once.
+_COUNTED = 1 << 21
 #: Rows of one shingle that stand in one cell; the rows of a more frequent one are dealt to the pairs of their blocks.
 CELL_ROWS = 2_048
 #: Least bits of a text's sign: each shingle turns one bit over, so the signs of two texts differ in no more bits than the texts do in
@@ -309,37 +311,51 @@ def differing_bits(x: Column, y: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, b: a + b)
 
 
-def frequent_shingles(texts: DataFrame, rows: int, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted hashes of shingles that are frequent in a sample of the ``rows`` texts of ``texts`` (id, text)."""
+def frequent_shingles(texts: DataFrame, share: int = SAMPLE_SHARE, words: int = SHINGLE_WORDS) -> pa.Table:
+    """(token, n) of the most frequent shingles of one in ``share`` texts of ``texts`` (id, text), rarest first; ``n`` is reckoned for all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(held), return_counts=True)], names=["token", "n"])
+
         for _, part in in_steps(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.unique(shingle_hashes(x, words)) for x in part]).view(np.int64))], names=["token"])
+            held += [np.unique(shingle_hashes(x, words)).view(np.int64) for x in part]
+            size += sum(map(len, held[-len(part) :]))
+            if size > _COUNTED:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
 
-    sample = texts.where(F.pmod("id", F.lit(max(1, rows // SAMPLE_TEXTS))) == 0)
-    counts = sample.select("id", "text").mapInArrow(run, "token bigint").groupBy("token").count().where(F.col("count") >= FREQUENT)
-    return np.sort(np.array([r.token for r in counts.orderBy(F.desc("count"), "token").limit(FREQUENT_ROWS).collect()], np.int64))
+    sample = texts.where(F.pmod("id", F.lit(share)) == 0)
+    counts = sample.select("id", "text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    return counts.orderBy(F.desc("n"), "token").limit(FREQUENT_ROWS).orderBy("n", "token").select("token", (F.col("n") * share).alias("n")).toArrow()
 
 
-def prefixes(texts: DataFrame, similarity: float, words: int, frequent: np.ndarray) -> DataFrame:
+def prefixes(texts: DataFrame, similarity: float, words: int, frequent: pa.Table, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(token, id, part, size, place, often): the first shingles of each text of ``texts`` (id, text, part), in one order for all texts.
 
-    The order is by hash, with ``frequent`` ones last (``often``). Two texts that share ``similarity`` of their shingles share one
+    The order is by hash, with ``frequent`` (token, n) ones last in their order; those of half of ``cell_rows`` texts are ``often``. Two texts that share ``similarity`` of their shingles share one
     of so many first ones at least, whatever the order is. A text without words has the token 0.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    token, n = (frequent.column(c).to_numpy() for c in ("token", "n"))
+    order = np.argsort(token)
+    shared = texts.sparkSession.sparkContext.broadcast((token[order], (order + 1).astype(np.int32), int(np.searchsorted(n, cell_rows // 2)) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = shared.value
+        last, rank, many = shared.value
         for step, part in in_steps(batches):
             sets = [np.unique(shingle_hashes(x, words)).view(np.int64) for x in part]
             sizes = np.array([len(x) for x in sets], np.int64)
             rows = np.maximum(sizes, 1)
             tokens = np.concatenate([x if len(x) else np.zeros(1, np.int64) for x in sets])
             owner = np.repeat(np.arange(len(sets)), rows)
-            late = np.zeros(len(tokens), bool)
+            late = np.zeros(len(tokens), np.int32)
             if len(last):
-                late = last[np.minimum(np.searchsorted(last, tokens), len(last) - 1)] == tokens
+                at = np.minimum(np.searchsorted(last, tokens), len(last) - 1)
+                late = np.where(last[at] == tokens, rank[at], 0)
                 order = np.lexsort((late, owner))
                 tokens, late = tokens[order], late[order]
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(rows) - rows, rows)
@@ -347,7 +363,7 @@ def prefixes(texts: DataFrame, similarity: float, words: int, frequent: np.ndarr
             owner, place = owner[first], place[first]
             names = [step.column(c).to_numpy(zero_copy_only=False)[owner] for c in (0, 2)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (tokens[first], *names, sizes[owner].astype(np.int32), place.astype(np.int32), late[first])],
+                [pa.array(x) for x in (tokens[first], *names, sizes[owner].astype(np.int32), place.astype(np.int32), late[first] >= many)],
                 names=["token", "id", "part", "size", "place", "often"],
             )
 
@@ -429,33 +445,61 @@ def least_common(sizes: np.ndarray, others: np.ndarray, similarity: float) -> np
     return np.maximum(np.ceil(similarity / (1 + similarity) * (sizes + others) - 1e-6) - rest, 1)
 
 
+def head_rows(groups: np.ndarray, ids: np.ndarray, firsts: np.ndarray, parts: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Marks the heads of each group of HEAD_ROWS rows or more: of the HEADS parts whose rows share most of their first shingles, one row each.
+
+    A text of which much is shared is near to many; its share is the same in all groups, so a pair of a head meets in most groups that it has in common.
+    """
+    share = -held / firsts
+    order = np.lexsort((ids, share, parts, groups))
+    g, p = groups[order], parts[order]
+    first = order[np.r_[True, (g[1:] != g[:-1]) | (p[1:] != p[:-1])][: len(g)]]
+    first = first[np.lexsort((ids[first], share[first], groups[first]))]
+    g = groups[first]
+    first = first[np.arange(len(g)) - np.searchsorted(g, g) < HEADS]
+    top = np.zeros(len(ids), bool)
+    top[first] = True
+    return top & (np.searchsorted(groups, groups, side="right") - np.searchsorted(groups, groups) >= HEAD_ROWS)
+
+
 def cell_pairs(groups: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, parts: np.ndarray, held: np.ndarray, blocks: np.ndarray, similarity: float, heads: bool = False) -> list[np.ndarray]:
     """Pairs of ids that meet in a group (sorted by group, then size), and what they can still share from their places on: a, b, both sizes, n groups, rest.
 
-    Only pairs of different ``parts`` whose sizes fit, and which both hold enough shared first shingles (``held``). ``blocks`` is -1, or the block of a row
-    in a group that is for the pairs of two blocks only. With ``heads``, only HEADS rows of a group are paired with those after them, and only if the group has HEAD_ROWS rows.
+    A place is the number of a text's shared first shingles before this one.
+
+    Only pairs of different ``parts`` whose sizes fit, which both hold enough shared first shingles (``held``), and which can share enough before and from
+    their places on. ``blocks`` is -1, or the block of a row in a group that is for the pairs of two blocks only. With ``heads``, only the heads of a group are
+    paired with the others, and only if the group has HEAD_ROWS rows: of HEADS parts the row that shares most of its first shingles.
     """
     n = len(ids)
     # A row is compared with those after it that are not too large.
     width = int(sizes.max(initial=0)) + 2
     rank = np.r_[False, groups[1:] != groups[:-1]].cumsum() * width if n else groups
     ends = np.searchsorted(rank + sizes, rank + np.minimum(np.floor(sizes / similarity + 1e-6).astype(np.int64), width - 2), side="right")
+    begins = np.arange(n) + 1
+    firsts = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    # All of a text but the first shingles that it shares with no other part, and those before this one.
+    left = sizes - np.maximum(firsts - held, 0) - places
     if heads:
-        first, rows = np.searchsorted(groups, groups), np.searchsorted(groups, groups, side="right") - np.searchsorted(groups, groups)
-        ends = np.where(((np.arange(n) - first) % np.maximum(rows // HEADS, 1) == 0) & (rows >= HEAD_ROWS), ends, np.arange(n) + 1)
-    after = np.cumsum(ends - np.arange(n) - 1)
+        top = head_rows(groups, ids, firsts, parts, held)
+        least = np.searchsorted(rank + sizes, rank + np.ceil(similarity * sizes - 1e-6).astype(np.int64))
+        begins, ends = np.where(top, least, 0), np.where(top, ends, 0)
+    after = np.cumsum(ends - begins)
     out, start = [], 0
     while start < n:
         stop = max(start + 1, int(np.searchsorted(after, (after[start - 1] if start else 0) + _PAIRS, side="right")))
         rows = np.arange(start, stop)
-        count = ends[rows] - rows - 1
+        count = ends[rows] - begins[rows]
         i = np.repeat(rows, count)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        j = begins[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
         fits = (parts[i] != parts[j]) & ((blocks[i] < 0) | (blocks[i] != blocks[j])) & (np.minimum(held[i], held[j]) >= least_common(sizes[i], sizes[j], similarity))
+        fits &= np.minimum(places[i], places[j]) + np.minimum(left[i], left[j]) >= similarity / (1 + similarity) * (sizes[i] + sizes[j]) - 1e-6
+        if heads:
+            fits &= ~top[j] | (i < j)
         i, j = i[fits], j[fits]
         swap = ids[i] > ids[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        out.append([ids[i], ids[j], sizes[i], sizes[j], np.minimum(sizes[i] - places[i], sizes[j] - places[j])])
+        out.append([ids[i], ids[j], sizes[i], sizes[j], np.minimum(left[i], left[j])])
         start = stop
     a, b, x, y, rest = (np.concatenate(c) for c in zip(*out)) if out else (ids, ids, sizes, sizes, places)
     order = np.lexsort((b, a))
@@ -476,11 +520,12 @@ def pairs_apart(shared: DataFrame, moved: DataFrame | None, similarity: float, h
     parts ``moved`` (part, now) leaves apart.
 
     A pair stays if its sizes fit, if it has enough first shingles in common (see least_common), and if from the first of them on
-    both texts are long enough: all that two texts share comes from there on. With ``heads`` only some likely pairs are found, few for each row: those
+    both texts are long enough: all that two texts share comes from there on. First shingles that a text shares with no other part count as gone. With ``heads`` only some likely pairs are found, few for each row: those
     of a few rows of a frequent shingle that share half of their first shingles.
     """
-    held = shared.groupBy("id").agg(F.count("*").cast("int").alias("held"))
-    rows = shared.join(held, "id")
+    # Shingles that no other part has cannot be shared: places are counted without them.
+    text = Window.partitionBy("id")
+    rows = shared.withColumns({"held": F.count("*").over(text).cast("int"), "place": F.dense_rank().over(text.orderBy("place")) - 1})
     if moved is not None:
         rows = rows.join(moved, "part", "left").withColumn("part", F.coalesce("now", "part")).drop("now")
     known = rows.where("n IS NOT NULL").select("id", "size", "place", "part", "held", F.lit(-1).alias("block"), F.col("token").alias("group"))
@@ -489,7 +534,14 @@ def pairs_apart(shared: DataFrame, moved: DataFrame | None, similarity: float, h
     counts = many.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("rows")).where("least <> most")
     counts = _broadcast_if_small(written(counts.select("token", F.ceil(F.col("rows") / cell_rows).cast("int").alias("blocks")), "frequent-firsts"))
     many = many.join(counts, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    if heads:
+        # A block is compared with its own heads and with one that all blocks of the token have.
+        share = F.col("held") / (F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1)
+        top = many.where("blocks > 1").groupBy("token").agg(F.min_by(F.struct("id", "size", "place", "part", "held", "blocks", "own"), F.struct(-share, "id")).alias("top"))
+        top = top.select("token", "top.*").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> own").withColumn("own", F.col("other"))
+        many = many.withColumn("other", F.col("own")).unionByName(top.select(*many.columns, "other"))
+    else:
+        many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cell = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
     # In the cell of a block with itself all rows are compared, in that of two blocks the rows of one with those of the other.
     many = many.select("id", "size", "place", "part", "held", F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("block"), cell.alias("group"))
@@ -562,7 +614,7 @@ def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int
     groups = components(links, "copies")
     named = _broadcast_if_small(written(groups.where("node <> component").select(F.col("node").alias("id"), "component"), "copy-names"))
     texts = one_of_each(marked).join(named, "id", "left").select("id", "text", F.coalesce("component", "id").alias("part"))
-    shared = shared_firsts(prefixes(texts, similarity, words, frequent_shingles(texts, prints.count(), words)))
+    shared = shared_firsts(prefixes(texts, similarity, words, frequent_shingles(texts, words=words)))
     moved = None
     for heads in (True, False):
         more = verified_links(marked, written(pairs_apart(shared, moved, similarity, heads), "candidates"), similarity, words)

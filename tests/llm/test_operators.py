@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -182,6 +183,38 @@ def test_a_large_group_is_joined_by_way_of_a_few(spark):
     assert {(r.a, r.b) for r in simhash.pairs_apart(shared, moved, 0.8).collect()} == {(i, j) for j in (28, 29) for i in range(j)}
 
 
+def test_heads_are_the_rows_that_share_most(spark):
+    """Copies of one text, each with edits of its own, are near that text only; it is found wherever it stands in the group."""
+    rows = [(t, i, i, 50, t, False) for i in range(30) for t in range(10) if i == 5 or (t - i) % 10 > 3]
+    shared = simhash.shared_firsts(spark.createDataFrame(rows, "token bigint, id bigint, part bigint, size int, place int, often boolean"))
+    found = {(r.a, r.b) for r in simhash.pairs_apart(shared, None, 0.8, True).collect()}
+    assert {(min(5, i), max(5, i)) for i in range(30) if i != 5} <= found and len(found) < 5 * 30
+
+
+def test_unshared_first_shingles_count_as_gone():
+    """The first shingles of 20 alone are each row's own: what is left is too short, wherever the shared ones stand."""
+    sizes, held = np.full(2, 146), np.array([30, 15])
+    ids, none, group = np.arange(2), np.full(2, -1), np.zeros(2, np.int64)
+    for places, want in (([0, 0], 1), ([14, 14], 1), ([17, 0], 0), ([29, 10], 0)):
+        assert len(simhash.cell_pairs(group, ids, sizes, np.array(places), ids, held, none, 0.8)[0]) == want
+
+
+def test_frequent_shingles_stand_last_by_their_number(spark):
+    text = " ".join(f"w{i}" for i in range(14))
+    tokens = np.unique(simhash.shingle_hashes(text, 5)).view(np.int64)
+    frequent = pa.table({"token": tokens[[3, 0, 1, 2, 4, 5, 7, 8]], "n": [40, 50, 60, 70, 80, 90, 100, 3000]})
+    rows = simhash.prefixes(spark.createDataFrame([(1, text, 1)], "id bigint, text string, part bigint"), 0.8, 5, frequent).orderBy("place").collect()
+    assert [r.token for r in rows[:2]] == tokens[[6, 9]].tolist() and rows[2].token == tokens[3] and not any(r.often for r in rows)
+    short = simhash.prefixes(spark.createDataFrame([(1, text, 1)], "id bigint, text string, part bigint"), 0.0, 5, frequent).collect()
+    assert {r.token for r in short if r.often} == {tokens[8]}
+
+
+def test_shingles_of_many_texts_are_found_in_a_sample(spark):
+    texts = spark.createDataFrame([(i, "a b c d e " + " ".join(f"w{i}x{j}" for j in range(6)), i) for i in range(400)], "id bigint, text string, part bigint")
+    found = simhash.frequent_shingles(texts).to_pydict()
+    assert found == {"token": simhash.shingle_hashes("a b c d e", 5).view(np.int64).tolist(), "n": [400]}
+
+
 def test_firsts_of_one_part_go(spark):
     rows = [(t, 10 * t + i, 10 * t + (i if t % 3 else 0), 10, 0, False) for t in range(40) for i in range(t % 5 + 1)]
     shared = simhash.shared_firsts(spark.createDataFrame(rows, "token bigint, id bigint, part bigint, size int, place int, often boolean"))
