@@ -260,6 +260,50 @@ def test_overlaps_with_substitutions(spark):
     assert decontam.overlaps(docs.limit(0), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_overlaps_hold_pieces_of_texts_only(spark, monkeypatch):
+    """Hits carry a bounded part of the text, items of equal words are searched once, and seeds in lots or joined blocks find the same."""
+    draw = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    bodies = [[draw.choice(vocabulary) for _ in range(n)] for n in (5, 12, 13, 64, 65, 76, 90, 300)]
+    bench = [(i, " ".join(x)) for i, x in enumerate(bodies)] + [(100 + i, " ".join(x).upper()) for i, x in enumerate(bodies)] + [(3, " ".join(bodies[0])), (None, " ".join(bodies[1]))]
+    texts = []
+    for k in range(60):
+        text = [draw.choice(vocabulary) for _ in range(draw.randint(0, 40))]
+        for x in draw.sample(bodies, 2):
+            a = draw.randint(0, max(0, len(x) - 13))
+            piece = x[a : a + draw.randint(10, 200)]
+            for _ in range(draw.randint(0, 4)):
+                piece[draw.randrange(len(piece))] = "zzz"
+            text += piece * draw.randint(1, 3)
+        texts.append((k, " ".join(text)))
+    want = {}
+    for doc, text in texts:
+        d = text.split()
+        for item, body in bench:
+            b = body.lower().split()
+            w = min(13, len(b))
+            need = w if w < 13 else 11
+            for shift in range(-len(b) + w, len(d) - w + 1):
+                for s in range(max(0, -shift), min(len(b), len(d) - shift) - w + 1):
+                    agree = sum(b[j] == d[j + shift] for j in range(s, s + w))
+                    if agree >= need:
+                        was = want.get((doc, item), (10**9, 0, 0))
+                        want[doc, item] = (min(was[0], s + shift), max(was[1], s + shift + w), max(was[2], agree))
+    docs, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    found = {}
+    hits = decontam._hits
+    seen = []
+    monkeypatch.setattr(decontam, "_hits", lambda *a: seen.append(hits(*a)) or seen[-1])
+    for seeds, blocks in ((10**6, 10**6), (200, 0)):
+        monkeypatch.setattr(decontam, "BROADCAST_SEEDS", seeds)
+        monkeypatch.setattr(decontam, "BROADCAST_BLOCKS", blocks)
+        found = {(r.doc_id, r.item_id): (r.first_word, r.end_word, r.best) for r in decontam.overlaps(docs, items).collect()}
+        assert found == want and len(want) > 100
+    assert len(seen) > 3
+    assert max(seen[0].select(F.max(F.size("piece"))).first()) <= decontam.BLOCK_WORDS + 2 * (decontam.WINDOW - 1)
+    assert decontam.decontaminate(docs, items).count() == len(texts) - len({doc for doc, _ in want})
+
+
 def test_masks_cover_every_pair_of_substitutions():
     for a in range(13):
         for b in range(13):
