@@ -102,8 +102,7 @@ def without_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_
     """
     key, sign = unused("_id", docs), unused("_hash", docs)
     gone = written(gone.select(F.col("id").alias(key), F.col("text_hash").alias(sign)).distinct(), "rows-to-drop")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("merge")
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col(key)) & (text_hash(text_col) == F.col(sign))
     return docs.join(gone, same, "left_anti")
 

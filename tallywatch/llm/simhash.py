@@ -209,7 +209,8 @@ def fingerprint_links(nodes: DataFrame, radius: int, shard_rows: int = SHARD_ROW
     keyed = keyed.select("id", "fp", F.xxhash64("mask", "part").alias("bucket"))
     sizes = keyed.groupBy("bucket").count().where(F.col("count") > 1).select("bucket", F.ceil(F.col("count") / shard_rows).cast("int").alias("shards"))
     # A row is in the tree of its own shard, and asks the trees of all shards of its bucket.
-    met = keyed.join(sizes, "bucket").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    # Spark takes the exploded table for as small as the nodes and would send all of its keys to the driver.
+    met = keyed.hint("merge").join(sizes, "bucket").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     met = met.withColumn("tree", F.pmod(F.xxhash64("id"), F.col("shards")) == F.col("shard"))
     shard = F.xxhash64("bucket", "shard")
 
@@ -511,8 +512,8 @@ def cell_pairs(groups: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: n
 
 
 def _broadcast_if_small(rows: DataFrame) -> DataFrame:
-    """``rows`` (written), to be broadcast if they are BROADCAST_IDS or fewer."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    """``rows`` (written), to be broadcast if they are BROADCAST_IDS or fewer; else joined by shuffle, however small their files are."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows.hint("merge")
 
 
 def pairs_apart(shared: DataFrame, moved: DataFrame | None, similarity: float, heads: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -631,16 +632,12 @@ def one_of_each(marked: DataFrame) -> DataFrame:
     """(id, text) of ``marked`` (doc_id, text): equal texts come once, but for rows that repeat the least doc_id or have none."""
     rows = marked.select(text_hash("text").alias("id"), "doc_id", "text")
     again = written(rows.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1 AND least IS NOT NULL").select("id", "least"), "repeated")
-    if again.count() <= BROADCAST_IDS:
-        again = F.broadcast(again)
-    return rows.join(again, "id", "left").where("least IS NULL OR doc_id = least").select("id", "text")
+    return rows.join(_broadcast_if_small(again), "id", "left").where("least IS NULL OR doc_id = least").select("id", "text")
 
 
 def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text) of the rows of ``docs`` whose text hash is in ``ids``; up to BROADCAST_IDS ids are sent to the texts."""
-    ids = written(ids, "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = _broadcast_if_small(written(ids, "ids"))
     return docs.select(text_hash("text").alias("id"), "text").join(ids, "id", "left_semi")
 
 

@@ -242,6 +242,17 @@ def test_near_copies_share_enough_first_shingles():
             assert len(firsts[0] & firsts[1]) >= simhash.least_common(np.array([len(a)]), np.array([len(b)]), 0.8)[0]
 
 
+def test_exploded_keys_are_not_broadcast(spark, tmp_path):
+    """The keys of the nodes' masks go through a shuffle, whatever size Spark takes them for."""
+    draw = random.Random(8)
+    base = [draw.getrandbits(64) for _ in range(40)]
+    values = {x ^ (1 << draw.randrange(64)) for x in base} | set(base)
+    spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(sorted(values))], "id long, fp long").write.parquet(f"{tmp_path}/nodes")
+    found = simhash.fingerprint_links(spark.read.parquet(f"{tmp_path}/nodes"), 6)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert len({(min(r), max(r)) for r in found.collect()}) >= 35
+
+
 def test_overlaps_with_substitutions(spark):
     item = words(50, 30).split()
     inside = words(51, 20).split() + item[5:25] + words(52, 20).split()
