@@ -6,7 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from tallywatch.functions.bound import bound
 from tallywatch.functions.text import decimal_difference, labelled, present
+from tallywatch.session import scratch_dir
 
 # History limits.
 RECENT_TRANSACTIONS = 20
@@ -14,6 +16,8 @@ RECENT_ALERTS = 10
 RECENT_INVESTIGATIONS = 10
 DIGITAL_TYPES = ["TRANSFER", "CASH_OUT", "CASHOUT", "PAYMENT", "DEBIT"]
 KNOWLEDGE_TOPICS = ["EWS and RFA", "transaction monitoring", "fraud investigation", "fraud classification"]
+#: Ids that may be broadcast: about 100 MB as a hash table.
+BROADCAST_KEYS = 500_000
 MODEL_FIELDS = ["anomaly_score", "risk_level", "risk_action", "xgboost_probability", "xgboost_prediction",
                 "final_prediction", "final_decision_path", "final_risk_action", "model_version"]
 
@@ -216,8 +220,31 @@ def evidence_catalogue(contexts: DataFrame) -> DataFrame:
         F.transform(F.col("historical_paysim_context")["normal_cases"], lambda r: entry(
             8, r["document_id"], "paysim_normal")),
     ]
-    entries = contexts.select("alert_id", F.inline(F.concat(*lists))).where(present(F.col("source_id")).isNotNull())
-    return entries.groupBy("alert_id", "source_id").agg(F.max_by("source_type", "source_order").alias("source_type"))
+    named = F.filter(F.concat(*lists), lambda e: present(e["source_id"]).isNotNull())
+    ordered = F.sort_array(F.transform(named, lambda e: F.struct(e["source_id"], e["source_order"], e["source_type"])))
+    latest = bound(ordered, lambda s: F.filter(s, lambda e, i: F.coalesce(F.get(s, i + 1)["source_id"] != e["source_id"], F.lit(True))))
+
+    def entries(rows: DataFrame) -> DataFrame:
+        return rows.select("alert_id", F.inline(latest))
+
+    # The sources of an alert stand in its row; only rows that share their alert's id have to meet.
+    again = _small_table(contexts.groupBy("alert_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("alert_id").alias("_again")), "repeated-alerts")
+    shared = again.count()
+    if not shared:
+        return entries(contexts).select("alert_id", "source_id", "source_type")
+    met, rest = contexts, None
+    if shared <= BROADCAST_KEYS:
+        same = F.col("alert_id").eqNullSafe(F.col("_again"))
+        met, rest = contexts.join(F.broadcast(again), same, "left_semi"), contexts.join(F.broadcast(again), same, "left_anti")
+    grouped = entries(met).groupBy("alert_id", "source_id").agg(F.max_by("source_type", "source_order").alias("source_type"))
+    return grouped if rest is None else grouped.unionByName(entries(rest).select("alert_id", "source_id", "source_type"))
+
+
+def _small_table(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` written to the scratch folder, so that they are worked out once."""
+    path = scratch_dir(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def checked_citations(citations: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:

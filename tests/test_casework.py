@@ -352,3 +352,41 @@ def test_contexts_are_saved_small_with_their_marks(spark, tmp_path):
     files = list((tmp_path / "out").glob("event_date=*/*.json.gz"))
     assert len(files) == 3 and sum(f.stat().st_size for f in files) < 1000
     assert sorted(json.loads(gzip.open(f).read())["artifact"] for f in files) == ["a", "b", "c"]
+
+
+CONTEXT_ROW = ("alert_id string, alert struct<alert_id: string, transaction_id: string>, live_account_context struct<recent_transactions: array<struct<transaction_id: string>>, "
+               "recent_alerts: array<struct<transaction_id: string, alert_id: string>>, previous_investigations: array<struct<alert_id: string, investigation_id: string>>>, "
+               "regulatory_context array<struct<document_id: string>>, historical_paysim_context struct<fraud_cases: array<struct<document_id: string, label: string>>, "
+               "normal_cases: array<struct<document_id: string, label: string>>>")
+
+
+def context(alert, tx, recent=(), documents=(), fraud=(), normal=()):
+    cases = ([(d, "fraud") for d in fraud], [(d, "normal") for d in normal])
+    return (alert, (alert, tx), ([(t,) for t in recent], [("", "old")], [(None, "INV-1")]), [(d,) for d in documents], cases)
+
+
+@pytest.mark.parametrize("keys", [evidence.BROADCAST_KEYS, 0])
+def test_catalogue_of_alerts_that_come_once_is_not_shuffled(spark, monkeypatch, keys):
+    """A later source overrides an earlier one of the same id, within a row and among rows of one alert; only repeated alerts are grouped."""
+    monkeypatch.setattr(evidence, "BROADCAST_KEYS", keys)
+    once = [context("a", "t1", ["t1", "t2", "t2", None, ""], ["k1", "t2"], ["p1", "k1"], ["p1", "p2"]), context("b", None, ["a"])]
+    again = [context("c", "t1", ["x"]), context("c", "t1", [], ["x"], [], ["t1"]), context(None, "t9", ["y"]), context(None, None, ["z"], ["y"])]
+    base = {("old", "cassandra_history"), ("INV-1", "cassandra_history")}
+    want = {
+        "a": base | {("a", "live_transaction"), ("model-output:t1", "model_output"), ("t1", "cassandra_history"), ("t2", "rbi_knowledge"),
+                     ("k1", "paysim_fraud"), ("p1", "paysim_normal"), ("p2", "paysim_normal")},
+        "b": base | {("b", "live_transaction"), ("a", "cassandra_history")},
+        "c": base | {("c", "live_transaction"), ("model-output:t1", "model_output"), ("t1", "paysim_normal"), ("x", "rbi_knowledge")},
+        None: base | {("t9", "live_transaction"), ("model-output:t9", "model_output"), ("y", "rbi_knowledge"), ("z", "cassandra_history"),
+                      ("current-alert", "live_transaction")},
+    }
+
+    def listed(rows):
+        df = evidence.evidence_catalogue(spark.createDataFrame(rows, CONTEXT_ROW))
+        got = [tuple(r) for r in df.collect()]
+        assert len(got) == len(set(got)) and df.columns == ["alert_id", "source_id", "source_type"]
+        return df, {k: {(s, t) for a, s, t in got if a == k} for k in {a for a, _, _ in got}}
+
+    df, got = listed(once)
+    assert got == {k: want[k] for k in "ab"} and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert listed(once + again)[1] == want
