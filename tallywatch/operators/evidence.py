@@ -248,9 +248,15 @@ def _small_table(rows: DataFrame, label: str) -> DataFrame:
 
 
 def checked_citations(citations: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(citations whose id exists with the same source type, the rest)."""
+    """(citations whose id exists with the same source type, the rest).
+
+    Of the catalogue, only sources that some alert cites are brought to the citations, if these are few enough to be sent to it.
+    """
     keys = ["alert_id", "source_id", "source_type"]
+    cited = _small_table(citations.select("source_id", "source_type").distinct(), "cited-sources")
     known = catalogue.select(*keys)
+    if cited.count() <= BROADCAST_KEYS:
+        known = known.join(F.broadcast(cited), ["source_id", "source_type"], "left_semi")
     return citations.join(known, keys, "left_semi"), citations.join(known, keys, "left_anti")
 
 

@@ -390,3 +390,16 @@ def test_catalogue_of_alerts_that_come_once_is_not_shuffled(spark, monkeypatch,
     df, got = listed(once)
     assert got == {k: want[k] for k in "ab"} and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert listed(once + again)[1] == want
+
+
+@pytest.mark.parametrize("keys", [evidence.BROADCAST_KEYS, 0])
+def test_only_cited_sources_meet_the_citations(spark, monkeypatch, keys):
+    monkeypatch.setattr(evidence, "BROADCAST_KEYS", keys)
+    names = "alert_id string, source_id string, source_type string"
+    catalogue = spark.createDataFrame([("a", f"t{i}", "cassandra_history") for i in range(50)] + [("a", "p1", "paysim_fraud")] * 2 + [("b", "p1", "paysim_normal"), (None, "p1", "paysim_fraud")], names)
+    cited = spark.createDataFrame([("a", "p1", "paysim_fraud"), ("a", "p1", "paysim_fraud"), ("b", "p1", "paysim_fraud"), ("a", None, "paysim_fraud"), (None, "p1", "paysim_fraud")], names)
+    kept, rejected = evidence.checked_citations(cited, catalogue)
+    assert [tuple(r) for r in kept.collect()] == [("a", "p1", "paysim_fraud")] * 2
+    assert {tuple(r) for r in rejected.collect()} == {("b", "p1", "paysim_fraud"), ("a", None, "paysim_fraud"), (None, "p1", "paysim_fraud")}
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == (2 if keys else 1)
