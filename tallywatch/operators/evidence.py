@@ -228,7 +228,7 @@ def evidence_catalogue(contexts: DataFrame) -> DataFrame:
         return rows.select("alert_id", F.inline(latest))
 
     # The sources of an alert stand in its row; only rows that share their alert's id have to meet.
-    again = _small_table(contexts.groupBy("alert_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("alert_id").alias("_again")), "repeated-alerts")
+    again = _scratch_table(contexts.groupBy("alert_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("alert_id").alias("_again")), "repeated-alerts")
     shared = again.count()
     if not shared:
         return entries(contexts).select("alert_id", "source_id", "source_type")
@@ -240,7 +240,7 @@ def evidence_catalogue(contexts: DataFrame) -> DataFrame:
     return grouped if rest is None else grouped.unionByName(entries(rest).select("alert_id", "source_id", "source_type"))
 
 
-def _small_table(rows: DataFrame, label: str) -> DataFrame:
+def _scratch_table(rows: DataFrame, label: str) -> DataFrame:
     """``rows`` written to the scratch folder, so that they are worked out once."""
     path = scratch_dir(rows.sparkSession, label)
     rows.write.parquet(path)
@@ -253,11 +253,14 @@ def checked_citations(citations: DataFrame, catalogue: DataFrame) -> tuple[DataF
     Of the catalogue, only sources that some alert cites are brought to the citations, if these are few enough to be sent to it.
     """
     keys = ["alert_id", "source_id", "source_type"]
-    cited = _small_table(citations.select("source_id", "source_type").distinct(), "cited-sources")
+    cited = _scratch_table(citations.select("source_id", "source_type").distinct(), "cited-sources")
     known = catalogue.select(*keys)
     if cited.count() <= BROADCAST_KEYS:
         known = known.join(F.broadcast(cited), ["source_id", "source_type"], "left_semi")
-    return citations.join(known, keys, "left_semi"), citations.join(known, keys, "left_anti")
+    flag = "_known" + "_" * max(map(len, citations.columns))
+    # Written, so that the catalogue is worked out and shuffled once for both results.
+    marked = _scratch_table(citations.join(known.distinct().withColumn(flag, F.lit(True)), keys, "left"), "checked-citations")
+    return marked.where(F.col(flag).isNotNull()).drop(flag), marked.where(F.col(flag).isNull()).drop(flag)
 
 
 def live_behavior_sentence() -> Column:
